@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, packing, token_store
+from . import byte_codec, embedding_dedup, packing, simhash, substring_dedup, token_store, topk
 from .common import Workspace, read
 
 
@@ -24,8 +24,24 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_rows(spark, path)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op4_byte_bpe, op8_token_store]
+    found = [op1_best_fit_packing, op4_byte_bpe, op5_substring_dedup, op7_simhash, op8_token_store, op9_top_k, op10_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
