@@ -148,3 +148,18 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     found = cells.groupBy("p", "s").applyInArrow(cell, "query_id long, tag long, vec_id long, score long")
     best = Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(k: int = 5, every: int = 50, scale: int = 256) -> str:
+    """The same in SQL over unique ids: every query against every candidate."""
+    return f"""
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda e: floor({scale} * CAST(e AS DOUBLE))) AS x FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(CAST(e AS DOUBLE)))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % {every} = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}
+    """
