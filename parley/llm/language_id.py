@@ -110,10 +110,22 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double, n_letters long")
 
 
-def rejected(lang, margin, n_letters):
-    """Rows that a filter drops: no language, or a long text that leads the runner-up by next to nothing.
+def keeps(found: tuple[str, float, float, int]) -> bool:
+    """Whether a filter keeps a text: it has a language, and if long, a lead over the runner-up.
 
     A text in a learned language has a lead of several per cent once it is long enough to have one; short
     texts are given the benefit of the doubt.
     """
-    return (lang == UNKNOWN) | ((margin < 0.002) & (n_letters >= 200))
+    lang, _, margin, size = found
+    return lang != UNKNOWN and (margin >= 0.002 or size < 200)
+
+
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text ``keeps`` accepts. No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([keeps(model.predict(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

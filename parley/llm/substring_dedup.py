@@ -175,41 +175,78 @@ def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row.
+def _left(ws: list[bytes], starts: pa.Scalar, copy: bool | None, window: int) -> list[bytes]:
+    """The words that stay."""
+    if copy and len(ws) >= window:
+        return []
+    if not starts.is_valid:
+        return ws
+    cover = _covered(len(ws), starts.values.to_numpy(), window)
+    return [w for w, c in zip(ws, cover.tolist(), strict=True) if not c]
+
+
+def _with_marks(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with (__starts, __copy) from ``found``, whose rows are unique by id and tag."""
+    right = found.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), F.col("starts").alias("__starts"), F.col("copy").alias("__copy"))
+    same = (F.col(id_col).cast("long") == F.col("__d")) & (F.hash(F.col(text_col).cast("string")) == F.col("__t"))
+    return docs.join(right, same, "left").drop("__d", "__t")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) for every row.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a
     document with a smaller id; all windows are judged on the input. Null and blank texts have no
     words. Rows with a null id lose nothing and count as no one's earlier copy; rows with the same
     id are not earlier than each other. Repeated rows each give a row, an empty table none; other
-    columns are ignored. With ``keep_text``, ``kept`` is null where nothing was removed.
+    columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "substring")
-    found = repeats(docs, work, id_col=id_col, text_col=text_col, window=window)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = repeats(base, Workspace(docs.sparkSession, "substring"), window=window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, sha, kept = [], [], [], []
+            n, gone, sha = [], [], []
             for text, starts, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 ws = _words(text)
-                left = ws
-                if copy and len(ws) >= window:
-                    left = []
-                elif starts.is_valid:
-                    cover = _covered(len(ws), starts.values.to_numpy(), window)
-                    left = [w for w, c in zip(ws, cover.tolist(), strict=True) if not c]
-                out = b" ".join(left)
+                left = _left(ws, starts, copy, window)
                 n.append(len(ws))
                 gone.append(len(ws) - len(left))
-                sha.append(hashlib.sha256(out).hexdigest())
-                kept.append(out.decode() if keep_text and len(left) < len(ws) else None)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * keep_text, names + ["kept"] * keep_text)
+                sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = base.withColumn("tag", F.hash("text"))
-    right = found.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "starts", "copy")
-    joined = keyed.join(right, (F.col("doc_id") == F.col("__d")) & (F.col("tag") == F.col("__t")), "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return joined.select("doc_id", F.col("text").cast("binary"), "starts", "copy").mapInArrow(run, schema)
+    marked = _with_marks(base, found, "doc_id", "text").select("doc_id", F.col("text").cast("binary"), "__starts", "__copy")
+    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the words that ``remove_repeats`` removes, in all its columns.
+
+    A text that loses words becomes the kept words joined by single spaces, and ``size_col`` its length in
+    characters; others stay as they are. A document that loses all its words goes.
+    """
+    found = repeats(docs, Workspace(docs.sparkSession, "substring"), id_col=id_col, text_col=text_col, window=window)
+    names = docs.columns
+    at, size_at = names.index(text_col), names.index(size_col) if size_col else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep, sizes = [], [], []
+            for text, starts, copy in zip(batch.column(at), batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+                own, size = text.as_py(), None
+                if copy or starts.is_valid:
+                    ws = own.encode().split()
+                    left = _left(ws, starts, copy, window)
+                    if len(left) < len(ws):
+                        own = b" ".join(left).decode()
+                        size = len(own)
+                texts.append(own)
+                sizes.append(size)
+                keep.append(size != 0)
+            cols = list(batch.columns[: len(names)])
+            cols[at] = pa.array(texts, cols[at].type)
+            if size_at >= 0:
+                cols[size_at] = pa.array([old if new is None else new for old, new in zip(cols[size_at].to_pylist(), sizes, strict=True)], cols[size_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+
+    return _with_marks(docs, found, id_col, text_col).mapInArrow(run, docs.schema)
