@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 
 import numpy as np
 
@@ -17,9 +18,18 @@ VOCABULARY = "byte_bpe_50k.json"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARK = "\t"  # encodes as one id of its own and never merges with its neighbours
-#: Two characters of white space, one of them a space; and white space beyond these six.
-_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \x0b", "\x0b ", " \x0c", "\x0c ")
-_RARE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space other than spaces and line breaks; a text with any of it takes the careful path.
+_RARE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+
+
+def _shown() -> dict[int, str]:
+    """Byte -> the printable character that byte-level vocabularies write for it."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_SHOWN = _shown()
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,9 +40,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def _parts(text: str) -> list[str]:
     """The text cut before every space that stands alone between non-space characters."""
-    if text[0] == " " or text[-1] == " " or any(p in text for p in _PAIRS) or _RARE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+    odd = text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text or any(c in text for c in (_RARE[:8] if text.isascii() else _RARE))
+    parts = None if odd else text.split(" ")
+    return _CUT.split(text) if parts is None or "" in parts else parts
 
 
 class MemoEncoder:
@@ -40,45 +50,74 @@ class MemoEncoder:
 
     def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.most, self.memo = most, {}
         self.mark = self.plain(_MARK)[0]
+        self.tails: dict[str, bytes] = {}
+        self.merges = Tokenizer(self.tok.model)  # the merges alone, on pieces in shown bytes between marks
+        self.merges.pre_tokenizer = pre_tokenizers.Split(_SHOWN[9], "isolated")
 
     def plain(self, text: str) -> np.ndarray:
         """The library's ids of a whole text."""
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, new: list[str]) -> None:
-        """Encode unknown parts together, a mark and a space before each, and cut the ids at the marks."""
-        even = [p for p in new if p and _MARK not in p and not p[0].isspace() and not p[-1].isspace()]
-        if even:
-            ids = self.plain(f"{_MARK} " + f"{_MARK} ".join(even))
-            at = np.flatnonzero(ids == self.mark).tolist() + [len(ids)]
-            if len(at) == len(even) + 1:
-                raw = ids.tobytes()
-                self.memo.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(even, at, at[1:]))
-        if len(even) != len(new) or even and even[0] not in self.memo:
-            for p in new:
-                if p not in self.memo:
-                    self.memo[p] = self.plain(" " + p).tobytes()
+        """Remember unknown parts.
+
+        Letters, with ASCII punctuation after them or not, are one piece and its tail to the pre-tokenizer,
+        so such pieces go straight to the library's merges, many at once between marks. Other parts that
+        neither start nor end in white space take the whole pipeline together; the rest one by one.
+        """
+        stems: dict[str, list[str]] = {}
+        joint, memo = [], self.memo
+        for p in new:
+            stem = p.rstrip(string.punctuation)
+            if stem.isalpha():
+                stems.setdefault(stem, []).append(p)
+            elif p and _MARK not in p and not p[0].isspace() and not p[-1].isspace():
+                joint.append(p)
+            else:
+                memo[p] = self.plain(" " + p).tobytes()
+        if stems:
+            shown = " ".join(stems).encode().decode("latin-1").translate(_SHOWN)
+            mark, space = _SHOWN[9], _SHOWN[32]
+            got = self._cut(self.merges, mark + space + shown.replace(space, mark + space), len(stems))
+            for (stem, parts), own in zip(stems.items(), got, strict=True):
+                for p in parts:
+                    tail = p[len(stem) :]
+                    if tail and tail not in self.tails:
+                        self.tails[tail] = self.plain(tail).tobytes()
+                    memo[p] = own + self.tails[tail] if tail else own
+        if joint:
+            got = self._cut(self.tok, f"{_MARK} " + f"{_MARK} ".join(joint), len(joint))
+            memo.update(zip(joint, got, strict=True))
+        if len(self.tails) > 50_000:
+            self.tails.clear()
+
+    def _cut(self, tok, text: str, n: int) -> list[bytes]:
+        """The ids between marks, as bytes; ``text`` has ``n`` of them, each after a mark."""
+        ids = np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = (np.flatnonzero(ids == self.mark) * 4).tolist() + [4 * len(ids)]
+        if len(at) != n + 1:
+            raise ValueError("the vocabulary merges the mark; use one that keeps tabs apart")
+        raw = ids.tobytes()
+        return [raw[a + 4 : b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = _parts(text)
-        head = self.plain(first).tobytes()
-        try:
-            return head + b"".join(map(self.memo.__getitem__, rest))
-        except KeyError:
-            new = set(rest).difference(self.memo)
-            if len(self.memo) + len(new) > self.most:
-                self.memo.clear()
+        memo = self.memo
+        new = set(rest).difference(memo)
+        if new:
+            if len(memo) + len(new) > self.most:
+                memo.clear()
                 new = set(rest)
             self._learn(list(new))
-            return head + b"".join(map(self.memo.__getitem__, rest))
+        return self.plain(first).tobytes() + b"".join(map(memo.__getitem__, rest))
 
 
 _ENCODERS: dict[str, MemoEncoder] = {}
