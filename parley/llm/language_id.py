@@ -14,7 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
@@ -76,17 +76,20 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """Dictionaries from at most ``documents`` labelled documents a language, ``part_chars`` characters of each.
 
     Only rows outside the held-out fold with a language and a text are read. They are chosen by a hash of
-    their text, so equal copies cannot crowd a dictionary; the rank is cut before the shuffle. Languages
-    are ordered by how many rows they have.
+    their text below a cut that the language's count sets, four times ``documents`` before equal texts fall
+    together, so equal copies cannot crowd a dictionary and no task ranks a language. Languages are ordered
+    by how many rows they have.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = rows.where((crc_bucket("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for lang, k in counts.items() for x in (lang, int(1_000_000 * min(1.0, 4 * documents / k)))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    own = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
     cut = F.when(F.length("text") > part_chars, F.substring("text", F.lit(1), F.lit(part_chars))).otherwise(F.col("text"))
-    ranked = train.select("lang", F.xxhash64("text").alias("h"), cut.alias("part")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
     parts: dict[str, dict[int, str]] = {}
-    for lang, h, part in ranked.where(F.col("r") <= documents).select("lang", "h", "part").orderBy("lang", "h").collect():
-        parts.setdefault(lang, {})[h] = part
+    for lang, h, part in own.select("lang", F.xxhash64("text").alias("h"), cut.alias("part")).distinct().orderBy("lang", "h", "part").collect():
+        if len(parts.setdefault(lang, {})) < documents:
+            parts[lang][h] = part
     order = sorted(parts, key=lambda x: (-counts[x], x))
     return Model(order, [b" ".join(map(letters, parts[x].values())) for x in order], level)
 

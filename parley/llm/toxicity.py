@@ -12,10 +12,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_bucket
@@ -53,7 +54,7 @@ class Voters:
 
     def __post_init__(self):
         seeds = list(SEED_LEXICONS)
-        self.names = [f"lexicon{i}" for i in range(SHARDS)] + [f"beginning{i}" for i in range(SHARDS)] + [f"seed_{s}" for s in seeds] + ["two_terms", "four_terms", "dense"]
+        self.names = [f"lexicon{i}" for i in range(SHARDS)] + [f"beginning{i}" for i in range(SHARDS)] + [f"seed_{s}" for s in seeds] + ["any_term", "two_terms", "four_terms", "dense"]
         self.whole = {t for t in self.terms if t[-1] != "*"}
         self.starts = {n: {t[:-1] for t in self.terms if t[-1] == "*" and len(t) == n + 1} for n in PREFIXES}
         self.seeds = [set(SEED_LEXICONS[s].split()) for s in seeds]
@@ -78,40 +79,47 @@ class Voters:
             out[at + i] = k > 0
             n = max(n, k)
         at += len(self.seeds)
-        out[at : at + 3] = n >= 2, n >= 4, n >= 2 and n >= 0.01 * len(found)
+        out[at : at + 4] = n >= 1, n >= 2, n >= 4, n >= 2 and n >= 0.01 * len(found)
         out[-2:] = np.log1p(n), min(1.0, 20 * n / (len(found) + 5))
         return out
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, held_out: int) -> DataFrame:
-    """(toxic, text) of at most ``per_class`` labelled rows of each class outside the held-out fold, by hash; equal texts count once."""
-    own = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_bucket("__d", folds) != held_out))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("__d"), "__d")
-    few = own.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).drop("r")  # narrow rows, cut before the shuffle
+    """(toxic, text) of about ``per_class`` labelled rows of each class outside the held-out fold; equal texts count once.
+
+    Rows are taken below a hash cut that the class's count sets, so no task ranks a class. The ids are at most
+    a small multiple of ``per_class``, which bounds the broadcast.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_bucket("__d", folds) != held_out)).distinct()
+    n = dict(own.groupBy("toxic").count().collect())
+    cut = F.create_map(*[F.lit(x) for y, k in n.items() for x in (y, int(1_000_000 * min(1.0, per_class / k)))]) if n else F.create_map(F.lit(0), F.lit(0))
+    few = own.where(F.pmod(F.xxhash64("__d"), F.lit(1_000_000)) < cut[F.col("toxic")])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__d")).select("toxic", "text").distinct()
 
 
-def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: float = 0.9) -> dict[str, int]:
+def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: float = 0.98) -> dict[str, int]:
     """Words and beginnings that mark toxic texts in the sample, dealt to voters in turn.
 
-    A term needs at least four toxic texts and one in 200 of them. A beginning that does as
+    A term needs at least four toxic texts and one in 100 of them, near copies counted once. A beginning that does as
     well stands for the words and longer beginnings under it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for f in _features(words(text.as_py())):
-                    seen.setdefault(f, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], ["term", "pos", "neg"])
-
-    total = dict(labelled.groupBy("toxic").count().collect())
-    n_pos, n_neg = total.get(1, 0), total.get(0, 0)
-    if not n_pos:
-        return {}
-    support = max(4, n_pos // 200)
-    counted = labelled.mapInArrow(run, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+                found = words(text.as_py())
+                terms = list(_features(found))
+                if terms:
+                    # near copies of a text share their least word hash, and so count once
+                    family = min(crc32(w.encode()) for w in found)
+                    n = len(terms)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * n, pa.int32()), pa.array([family] * n, pa.int64())], ["term", "toxic", "family"])
+
+    seen = labelled.mapInArrow(run, "term string, toxic int, family long").distinct()
+    counted = seen.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
+    families = dict(seen.select("toxic", "family").distinct().groupBy("toxic").count().collect())
+    n_pos, n_neg = families.get(1, 0), families.get(0, 0)
+    support = max(4, n_pos // 100)
     # rates, not counts: the sample's classes are not in proportion
     rate = lambda c, n: (F.col(c) + 0.05) / max(n, 1)
     precise = rate("pos", n_pos) / (rate("pos", n_pos) + 5 * rate("neg", n_neg))
@@ -141,10 +149,19 @@ class LabelModel:
     weight: np.ndarray
     correlated: np.ndarray
 
-    def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        fire = np.log(self.on_toxic / self.on_clean)
-        rest = np.log((1 - self.on_toxic) / (1 - self.on_clean))
-        return np.log(self.prior / (1 - self.prior)) + (votes * fire + (1 - votes) * rest) @ self.weight
+    def log_odds(self, votes: np.ndarray, none: int) -> np.ndarray:
+        """Posterior log-odds of toxic. A voter that doesn't fire abstains; where none fires, the silence of
+        the voter ``none``, which fires whenever another does, is the vote for clean."""
+        fire = np.log(self.on_toxic / self.on_clean) * self.weight
+        quiet = np.log((1 - self.on_toxic[none]) / (1 - self.on_clean[none]))
+        return np.log(self.prior / (1 - self.prior)) + votes @ fire + (votes.sum(1) == 0) * quiet
+
+    def with_labelled(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, strength: float = 20.0) -> LabelModel:
+        """Firing rates with the votes on labelled texts added; the moments' estimates count as ``strength`` texts."""
+        a = (strength * self.on_toxic + toxic) / (strength + n_toxic)
+        b = (strength * self.on_clean + clean) / (strength + n_clean)
+        b = np.clip(b, 1e-5, 1 - 1e-4)
+        return LabelModel(self.prior, np.clip(np.maximum(a, b), 1e-4, 1 - 1e-4), b, self.weight, self.correlated)
 
 
 def fit_label_model(n: float, first: np.ndarray, both: np.ndarray, prior: float, *, rounds: int = 4, stray: float = 0.1) -> LabelModel:
@@ -237,7 +254,10 @@ def moments(docs: DataFrame, voters: Voters, text_col: str = "text") -> tuple[fl
 def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = 4000) -> Model:
     """Mine terms, fit the label model to all documents' votes, train the classifier on its posteriors.
 
-    Labels are read for rows outside the held-out fold only, at most ``per_class`` of each class; the class
+    Where voters never fire together (terms of different languages), moments say little, so the labelled
+    texts' votes enter the firing rates as well.
+
+    Labels are read for rows outside the held-out fold only, about ``per_class`` of each class; the class
     prior is the share of toxic rows among all labelled rows outside that fold.
     """
     spark = docs.sparkSession
@@ -260,13 +280,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: i
     x = np.array([r["x"] for r in got])
     count = np.array([r["count"] for r in got], np.float64)
     toxic = np.array([r["toxic"] for r in got])
-    share = model.prior
+    seen = {y: (x[toxic == y, :v] * count[toxic == y, None]).sum(0) for y in (0, 1)}
+    model = model.with_labelled(seen[1], seen[0], count[toxic == 1].sum(), count[toxic == 0].sum())
     # the sample's classes are brought back to their shares
-    for y, part in ((1, share), (0, 1 - share)):
+    for y, part in ((1, model.prior), (0, 1 - model.prior)):
         own = toxic == y
         if own.any():
             count[own] *= part / count[own].sum()
-    posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(x[:, :v]), -30, 30)))
+    none = voters.names.index("any_term")
+    posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(x[:, :v], none), -30, 30)))
     coef, bias = _logistic(x, posterior, count / count.sum() * 4000)
     return Model(voters, model, coef, bias)
 
