@@ -162,7 +162,10 @@ def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_co
     work.drop("full", "first")
     copied = classes.where("n > 1").select(F.col("content").alias("c"), "first")
     copies = base.select("doc_id", content.alias("content"), tag).join(copied, F.col("content") == F.col("c")).where("doc_id > first").select("doc_id", "tag").distinct()
-    copies = work.put(copies, "copies").withColumn("starts", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True))
+    copies = work.put(copies, "copies")
+    # a copy may share its id with a text that was extended, and then has windows too
+    marked = marked.join(copies, ["doc_id", "tag"], "left_anti")
+    copies = copies.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True))
     work.drop("classes")
     release(docs.sparkSession)
     return marked.withColumn("copy", F.lit(False)).unionByName(copies)
