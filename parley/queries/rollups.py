@@ -254,7 +254,7 @@ def l02_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.raw_turns(spark, sf_dir).select("sample_id", "turn_idx", synth.cache_key(F.col("speaker"), F.lit("1.0"), F.col("text")).alias("key"))
 
 
-@query("""SELECT printf('call_%03d', row_number() OVER (ORDER BY k, i)) AS spec, bucket, CAST(round((a + (b - a) * i / (n - 1)) * 1000) AS BIGINT) AS duration_ms, round(13.5 + (row_number() OVER (ORDER BY k, i) * 3.7) % 12.0, 6) AS overlap_pct
+@query("""SELECT printf('call_%03d', row_number() OVER (ORDER BY k, i)) AS spec, bucket, CAST(round((a + (b - a) * i / (n - 1)) * 1000) AS BIGINT) AS duration_ms, CAST(round(13.5 + (row_number() OVER (ORDER BY k, i) * 3.7) % 12.0, 6) AS DOUBLE) AS overlap_pct
     FROM (SELECT *, unnest(range(0, n)) AS i FROM (VALUES (0, 'short_30_70s', 13, 34.0, 66.0), (1, 'medium_70_180s', 13, 76.0, 172.0), (2, 'long_180_300s', 12, 186.0, 294.0), (3, 'very_long_300_600s', 12, 312.0, 585.0)) g(k, bucket, n, a, b))""")
 def l12_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(synth.specifications(spark))

@@ -126,7 +126,7 @@ def d11_least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cpwer(views.turns(spark, sf_dir), edited(spark, sf_dir), ["sample_id"], ["sample_id", "strategy"]).select("sample_id", "strategy", "cost")
 
 
-@query("SELECT sample_id, 0.0 AS cpwer, CAST(0 AS BIGINT) AS cost FROM samples WHERE n_words > 0")
+@query("SELECT sample_id, CAST(0 AS DOUBLE) AS cpwer, CAST(0 AS BIGINT) AS cost FROM samples WHERE n_words > 0")
 def d12_cpwer_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = views.hypotheses(spark, sf_dir).where("strategy = 'labels'")
     return scoring.cpwer(views.turns(spark, sf_dir), h, ["sample_id"], ["sample_id", "strategy"]).select("sample_id", "cpwer", "cost")
@@ -141,7 +141,7 @@ def texts(hyp: DataFrame) -> DataFrame:
     return hyp.select("sample_id", "strategy", "turn_idx", "speaker", F.array_join("words", " ").alias("text"))
 
 
-@query(f""", {ENUMERATED} SELECT sample_id, strategy, 0.0 AS wer, 0.0 AS cer, saa, true AS format_valid FROM best""")
+@query(f""", {ENUMERATED} SELECT sample_id, strategy, CAST(0 AS DOUBLE) AS wer, CAST(0 AS DOUBLE) AS cer, saa, true AS format_valid FROM best""")
 def d14_evaluate_same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = texts(same_words(spark, sf_dir))
     e = scoring.evaluate(h.select("sample_id", "strategy").distinct(), views.raw_turns(spark, sf_dir), h)
