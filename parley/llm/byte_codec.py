@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts above this many characters are cut at safe boundaries, so no call sees a text much longer.
 LONG = 1 << 16
@@ -98,6 +100,7 @@ def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Null text is empty: no ids, both digests of nothing. A null id stays null. Repeated rows each
     give a row, an empty table none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     import public_tokenizers
 
     path, pat = ranks or ranks_path(), pattern or public_tokenizers.PATTERN

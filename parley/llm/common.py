@@ -32,6 +32,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/parley-{label}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -54,6 +55,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to a few MB of text, so that a task's memory doesn't grow with the texts' length.
+
+    A limit that the session already holds below the default stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b").rstrip("b") == "67108864":
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, small_batches
 
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -80,6 +80,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     together, so equal copies cannot crowd a dictionary and no task ranks a language. Languages are ordered
     by how many rows they have.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = rows.where((crc_bucket("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
@@ -101,6 +102,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     nothing was learned. A null id counts as held out: nothing is learned from it. Repeated rows each
     give a row, an empty table none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,6 +127,7 @@ def keeps(found: tuple[str, float, float, int]) -> bool:
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text ``keeps`` accepts. No shuffle."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

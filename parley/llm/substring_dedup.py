@@ -36,7 +36,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Hashes of every window of a word sequence. ``most`` bounds the number of remembered words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         from xxhash import xxh64_intdigest
 
         self.one, self.most = xxh64_intdigest, most
@@ -81,15 +81,6 @@ def chosen(half: np.ndarray, span: int) -> np.ndarray:
     return np.arange(len(half) - span + 1) + sliding_window_view(half, span).argmin(axis=1)
 
 
-_HASHER: list[Hasher] = []
-
-
-def _hasher() -> Hasher:
-    if not _HASHER:
-        _HASHER.append(Hasher())
-    return _HASHER[0]
-
-
 def _words(text) -> list[bytes]:
     raw = text.as_py()
     return raw.split() if raw else []  # bytes split at the six ASCII white spaces only
@@ -113,7 +104,7 @@ def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_co
     tag = F.hash("text").alias("tag")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = _hasher()
+        h = Hasher()
         for batch in batches:
             at, got = [], []
             for text in batch.column(2):
@@ -129,7 +120,7 @@ def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(at, np.int32), _lists(got, np.int64)], ["doc_id", "content", "at", "h"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = _hasher()
+        h = Hasher()
         for batch in batches:
             for doc, tag, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 ws = _words(text)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import small_batches
 
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
@@ -28,6 +29,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     a hash of their text and then by the text, so repeated rows keep a place each. Texts, not ids,
     are shuffled: they are smaller. ``part`` numbers the files in id order.
     """
+    small_batches(docs.sparkSession)
     vocab = vocabulary or bpe.vocabulary_path()
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 

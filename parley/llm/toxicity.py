@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, small_batches
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -260,6 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: i
     Labels are read for rows outside the held-out fold only, about ``per_class`` of each class; the class
     prior is the share of toxic rows among all labelled rows outside that fold.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_bucket("doc_id", folds) != held_out))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).head()[0]
@@ -299,6 +300,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Null and empty texts have no votes and get the score of that. A null id counts as held out. Repeated
     rows each give a row, an empty table none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,6 +315,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``. No shuffle."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
