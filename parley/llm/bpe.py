@@ -120,11 +120,15 @@ class MemoEncoder:
         return self.plain(first).tobytes() + b"".join(map(memo.__getitem__, rest))
 
 
-_ENCODERS: dict[str, MemoEncoder] = {}
+REMEMBERED = 800_000
 
+_ENCODERS: dict[tuple[str, int], MemoEncoder] = {}
 
-def encoder(path: str) -> MemoEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = MemoEncoder(path)
-    return _ENCODERS[path]
+
+def encoder(path: str, most: int = REMEMBERED) -> MemoEncoder:
+    """One encoder for each Python worker and vocabulary. A remembered part takes about 250 bytes."""
+    key = (path, most)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = MemoEncoder(path, most)
+    return _ENCODERS[key]

@@ -11,7 +11,7 @@ from .common import Workspace, read
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"))
+    return packing.pack_documents(read(spark, sf_dir, "documents"), remembered=1_600_000)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Passages by their text: a word goes if the last repeated window that starts at or before it covers it.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50),
+h AS (SELECT r, doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS k FROM s),
+f AS (SELECT k, min(doc_id) AS lo FROM h GROUP BY k),
+z AS (SELECT h.r, s FROM h JOIN f USING (k) WHERE lo < h.doc_id),
+p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d),
+c AS (SELECT p.r, x, p.p, max(z.s) OVER (PARTITION BY p.r ORDER BY p.p) AS last FROM p LEFT JOIN z ON z.r = p.r AND z.s = p.p),
+g AS (SELECT r, count(*) FILTER (p - last < 50) AS gone, string_agg(x, ' ' ORDER BY p) FILTER (last IS NULL OR p - last >= 50) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
+
+#: All pairs by cosine and the closure of their links, over unique ids.
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+m AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle(), "op9_top_k": topk.oracle()}
+    return {"op3_license_scan": license_scan.oracle(), "op5_substring_dedup": SUBSTRING_SQL, "op9_top_k": topk.oracle(), "op10_embedding_dedup": EMBEDDING_SQL}
