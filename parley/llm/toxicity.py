@@ -104,32 +104,47 @@ def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: flo
     well stands for the words and longer beginnings under it.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = words(text.as_py())
-                terms = list(_features(found))
-                if terms:
-                    # near copies of a text share their least word hash, and so count once
-                    family = min(crc32(w.encode()) for w in found)
-                    n = len(terms)
-                    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([y] * n, pa.int32()), pa.array([family] * n, pa.int64())], ["term", "toxic", "family"])
-
-    seen = labelled.mapInArrow(run, "term string, toxic int, family long").distinct()
-    counted = seen.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
-    families = dict(seen.select("toxic", "family").distinct().groupBy("toxic").count().collect())
-    n_pos, n_neg = families.get(1, 0), families.get(0, 0)
+            found = [words(t.as_py()) for t in batch.column(1)]
+            # near copies of a text share their least word hash, and so count once
+            least = [min(map(crc32, map(str.encode, f)), default=-1) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(least, pa.int64())], ["toxic", "family"])
+
+    def terms_of(known: set[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text in batch.column(0):
+                    found = words(text.as_py())
+                    terms = list(_features(found) if known is None else _features(found) & known)
+                    if terms:
+                        family = min(crc32(w.encode()) for w in found)
+                        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([family] * len(terms), pa.int64())], ["term", "family"])
+
+        return run
+
+    def counts(toxic: int, known: set[str] | None) -> DataFrame:
+        rows = labelled.where(F.col("toxic") == toxic).select("text").mapInArrow(terms_of(known), "term string, family long")
+        return rows.distinct().groupBy("term").agg(F.count("*").alias("n"))
+
+    total = dict(labelled.select("toxic", "text").mapInArrow(families, "toxic int, family long").distinct().groupBy("toxic").count().collect())
+    n_pos, n_neg = total.get(1, 0), total.get(0, 0)
     support = max(4, n_pos // 100)
-    # rates, not counts: the sample's classes are not in proportion
-    rate = lambda c, n: (F.col(c) + 0.05) / max(n, 1)
-    precise = rate("pos", n_pos) / (rate("pos", n_pos) + 5 * rate("neg", n_neg))
-    best = counted.where((F.col("pos") >= support) & (precise >= min_precision)).orderBy(F.col("pos").desc(), F.length("term"), "term").limit(most_terms).collect()
+    pos = dict(counts(1, None).where(F.col("n") >= support).collect())
+    neg = dict(counts(0, set(pos)).collect())
+
+    def precise(term: str) -> float:
+        # rates, not counts: the sample's classes are not in proportion
+        a, b = (pos[term] + 0.05) / max(n_pos, 1), (neg.get(term, 0) + 0.05) / max(n_neg, 1)
+        return a / (a + 5 * b)
+
+    best = sorted((t for t in pos if precise(t) >= min_precision), key=lambda t: (-pos[t], len(t), t))[:most_terms]
     kept: dict[str, int] = {}
-    for term, pos, _ in best:
+    for term in best:
         stem = term.rstrip("*")
         under = [t for t in kept if t[-1] == "*" and stem.startswith(t[:-1])]
         if not under:
-            kept[term] = pos
+            kept[term] = pos[term]
     # a word whose own beginning came later and covers little more stays a word
     kept = {t: p for t, p in kept.items() if not (t[-1] == "*" and any(w[-1] != "*" and w.startswith(t[:-1]) and p <= 1.02 * q for w, q in kept.items()))}
     turn = [0, 0]
