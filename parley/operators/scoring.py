@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.assignment import align, best_pairs
-from ..functions.distance import cer, edit_distance, error_rate, word_distance
+from ..functions.distance import edit_distance, error_rate, long_character_distance, word_distance
 from ..functions.text import normalize_turns, words
 
 
@@ -134,7 +134,9 @@ def evaluate(samples: DataFrame, ref: DataFrame, hyp: DataFrame, key: str = "sam
     none = F.array().cast("array<string>")
     base = samples.select(*both).join(text(r, [key], "r"), key, "left").join(text(h, both, "h"), both, "left")
     base = base.withColumn("r", F.coalesce("r", none)).withColumn("h", F.coalesce("h", none))
-    base = base.withColumn("d", word_distance(F.col("r"), F.col("h"))).withColumn("wer", error_rate(F.col("d"), F.size("r"), F.size("h"))).withColumn("cer", cer(F.array_join("r", " "), F.array_join("h", " ")))
+    base = base.withColumn("d", word_distance(F.col("r"), F.col("h"))).withColumn("wer", error_rate(F.col("d"), F.size("r"), F.size("h")))
+    base = base.withColumn("rt", F.array_join("r", " ")).withColumn("ht", F.array_join("h", " "))
+    base = base.withColumn("cer", error_rate(long_character_distance("rt", "ht"), F.length("rt"), F.length("ht")))
     valid = hyp.select(*both).distinct().withColumn("format_valid", F.lit(True))
     saa = speaker_accuracy(confusion(r, h, [key], both), both)
     cp = cpwer(r, h, [key], both).select(*both, "cpwer")

@@ -80,6 +80,13 @@ def test_distance_against_naive(spark):
         assert x.d == naive(x.a, x.b) == distance.edit_distance(x.a, x.b)
 
 
+def test_character_distance():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcé日") for _ in range(r.randint(0, 90))) for _ in range(2))
+        assert distance.character_distance(a, b) == naive(a, b)
+
+
 def test_alignment_is_minimal():
     r = random.Random(6)
     for _ in range(100):
