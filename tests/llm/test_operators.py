@@ -509,6 +509,21 @@ def test_embedding_recall(spark):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    r = np.random.default_rng(12)
+    for dim in (64, 384):
+        rows = []
+        for k in range(400):
+            x, z = r.normal(size=(2, dim))
+            z -= (z @ x) / (x @ x) * x
+            c = r.uniform(0.9001, 0.93) if k % 2 else 0.9001
+            y = c * x / np.linalg.norm(x) + math.sqrt(1 - c * c) * z / np.linalg.norm(z)
+            rows += [(2 * k, x.tolist()), (2 * k + 1, y.tolist())]
+        got = {x.vec_id: x for x in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+        for odd in (0, 1):
+            assert sum(got[2 * k + 1].component_id == 2 * k for k in range(400) if k % 2 == odd) >= 0.9 * 200
+
+
 def test_contract_names(spark):
     from parley.llm import queries
 
