@@ -43,15 +43,19 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the unsigned fingerprint's bit pattern in a long."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the unsigned fingerprint's bit pattern in a long.
+
+    The long columns ``also`` follow unchanged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"), *also).mapInArrow(run, schema)
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -220,6 +224,41 @@ def links(keyed: DataFrame, work: Workspace, *, most_bits: int = MOST_BITS, most
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
+def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS) -> DataFrame:
+    """(node, root) of the nodes that link, from a written table (node, fp)."""
+    n, both = bit_counts(nodes)
+    groups, thresholds = plan(n, both, most_bits)
+    keyed = work.put(keys(nodes, groups, thresholds), "keys")
+    edges = work.put(links(keyed, work, most_bits=most_bits), "edges")
+    work.drop("keys", "hot")
+    return work.put(components(edges, work), "roots")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` but for near copies: one row of each component of linked texts.
+
+    It is the row with the smallest id, a null id coming last; rows that share an id are decided by
+    a hash of all columns. Texts link, not ids: unlike texts under one id, or under none, stay.
+    """
+    work = Workspace(docs.sparkSession, "keep_one")
+    whole = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # the hash skips nulls
+    marked = docs.withColumn("__h", F.xxhash64(*whole)).withColumn("__g", F.xxhash64(F.lit(1), *whole))
+    own = work.put(fingerprints(marked, id_col=id_col, text_col=text_col, words=words, seed=seed, also=("__h", "__g")), "own")
+    roots = linked(work.put(own.select(F.col("fp").alias("node"), "fp").distinct(), "nodes"), work, most_bits)
+    rows = own.groupBy("doc_id", "fp", "__h", "__g").agg(F.count("*").alias("n")).join(roots, F.col("fp") == F.col("node"), "left")
+    rows = work.put(rows.select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g").alias("row"), "n"), "rows")
+    first = rows.groupBy("root").agg(F.min("row").alias("first")).withColumnRenamed("root", "__root")
+    judged = work.put(rows.join(first, F.col("root") == F.col("__root")).select(F.col("row.__h").alias("__a"), F.col("row.__g").alias("__b"), (F.col("row") == F.col("first")).alias("stays"), "n"), "judged")
+    release(docs.sparkSession)
+    same = (F.col("__h") == F.col("__a")) & (F.col("__g") == F.col("__b"))
+    kept = marked.join(judged.where(~F.col("stays")), same, "left_anti")
+    again = judged.where("stays and n > 1")
+    if again.limit(1).count():
+        once = kept.join(again, same, "left_semi").dropDuplicates(["__h", "__g"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -233,12 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = work.put(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "own")
     stand_in = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("fp"), F.lit(1 << 40))  # above any real id
     nodes = work.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.coalesce("least", stand_in).alias("node"), "fp", "least"), "nodes")
-    n, both = bit_counts(nodes)
-    groups, thresholds = plan(n, both, most_bits)
-    keyed = work.put(keys(nodes, groups, thresholds), "keys")
-    edges = work.put(links(keyed, work, most_bits=most_bits), "edges")
-    work.drop("keys", "hot")
-    roots = work.put(components(edges, work), "roots")
+    roots = linked(nodes, work, most_bits)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     real = F.when(F.col("root") <= F.lit((1 << 63) - 1 - (1 << 40)), F.col("root"))
     comps = work.put(named.select(F.col("fp").alias("__fp"), real.alias("component_id")), "components")

@@ -42,6 +42,22 @@ def test_near_duplicates_without_ids(spark):
     assert stage("simhash")(spark, docs_of(spark, rows), DIR).count() == 2
 
 
+def test_near_duplicates_are_judged_row_by_row(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(200)) for k in "abcde"]
+    a, b, c, d, e = texts
+    rows = [(1, a, "en"), (None, a, "en"), (None, b, "en"), (2, c, "en"), (2, d, "en"), (2, d, "en"), (7, d, "en"), (None, e, "en"), (None, e, "en"), (None, e, "de")]
+    rows += [(4, "", "en"), (None, None, None)]
+    got = sorted((r.doc_id or 0, r.text) for r in stage("simhash")(spark, docs_of(spark, rows), DIR).collect())
+    assert got == sorted([(1, a), (0, b), (2, c), (2, d), (0, e), (4, "")])
+
+
+def test_one_id_with_a_smaller_twin_elsewhere(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(200)) for k in "ab")
+    rows = [(1, a, "en"), (5, a, "en"), (5, b, "en")]
+    got = sorted((r.doc_id, r.text) for r in stage("simhash")(spark, docs_of(spark, rows), DIR).collect())
+    assert got == [(1, a), (5, b)]
+
+
 def test_passages_go_and_clean_texts_stay(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"start {passage}\n end", "en"), (2, f"own words {passage} more", "en"), (3, passage, "en"), (4, "kept\n as  it is", "en")]
