@@ -118,3 +118,9 @@ def test_random_invariants():
         assert 0 <= s["saa"] <= 1 and s["wer"] >= 0 and s["cpwer"] >= 0
         assert s["gap"] == pytest.approx(max(0, s["cpwer"] - s["wer"]))
         assert renamed["cpwer"] == pytest.approx(s["cpwer"]) and renamed["saa"] == pytest.approx(s["saa"])
+
+
+def test_bench_times_edited_strategies():
+    import bench
+
+    assert {"d14_evaluate", "d14_evaluate_same_words"} <= set(bench.HEADLINE)
