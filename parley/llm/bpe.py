@@ -45,16 +45,27 @@ def _parts(text: str) -> list[str]:
     return _CUT.split(text) if parts is None or "" in parts else parts
 
 
+#: What Python takes for one remembered part besides its characters and ids.
+_ENTRY = 190
+
+
 class MemoEncoder:
-    """Text -> little-endian uint32 ids as bytes. ``most`` bounds the number of remembered parts."""
+    """Text -> little-endian uint32 ids as bytes, the same as the library's plain call on the whole text.
 
-    def __init__(self, path: str, most: int = 800_000):
+    ``most_bytes`` bounds the memory of remembered parts. The vocabulary's added tokens are ids of their own
+    wherever their strings stand in a text, as the library has it; a text is cut at them first.
+    """
+
+    def __init__(self, path: str, most_bytes: int = 400 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.most, self.memo = most, {}
+        self.most, self.held, self.memo = most_bytes, 0, {}
+        added = {t.content: (int(i).to_bytes(4, "little"), t.lstrip or t.rstrip or t.single_word or t.normalized) for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.added = {a: raw for a, (raw, _) in added.items()}
+        self.bends = any(bends for _, bends in added.values())  # such tokens look at their surroundings
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.mark = self.plain(_MARK)[0]
         self.tails: dict[str, bytes] = {}
         self.merges = Tokenizer(self.tok.model)  # the merges alone, on pieces in shown bytes between marks
@@ -107,28 +118,38 @@ class MemoEncoder:
         return [raw[a + 4 : b] for a, b in zip(at, at[1:])]
 
     def encode(self, text: str) -> bytes:
+        if not any(a in text for a in self.added):
+            return self._encode(text)
+        if self.bends:
+            return self.plain(text).tobytes()
+        return b"".join(self.added[p] if p in self.added else self._encode(p) for p in self.at_added.split(text))
+
+    def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = _parts(text)
         memo = self.memo
         new = set(rest).difference(memo)
         if new:
-            if len(memo) + len(new) > self.most:
+            size = sum(map(len, new)) * 2 + _ENTRY * len(new)
+            if self.held + size > self.most:
                 memo.clear()
-                new = set(rest)
+                self.held, new = 0, set(rest)
+                size = sum(map(len, new)) * 2 + _ENTRY * len(new)
+            self.held += size
             self._learn(list(new))
         return self.plain(first).tobytes() + b"".join(map(memo.__getitem__, rest))
 
 
-REMEMBERED = 800_000
+REMEMBERED_BYTES = 400 << 20
 
 _ENCODERS: dict[tuple[str, int], MemoEncoder] = {}
 
 
-def encoder(path: str, most: int = REMEMBERED) -> MemoEncoder:
-    """One encoder for each Python worker and vocabulary. A remembered part takes about 250 bytes."""
-    key = (path, most)
+def encoder(path: str, most_bytes: int = REMEMBERED_BYTES) -> MemoEncoder:
+    """One encoder for each Python worker and vocabulary."""
+    key = (path, most_bytes)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = MemoEncoder(path, most)
+        _ENCODERS[key] = MemoEncoder(path, most_bytes)
     return _ENCODERS[key]

@@ -69,7 +69,7 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, total, capacity))]
 
 
-def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str | None = None, with_ids: bool = False, remembered: int = bpe.REMEMBERED) -> DataFrame:
+def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, vocabulary: str | None = None, with_ids: bool = False, remembered: int = bpe.REMEMBERED_BYTES) -> DataFrame:
     """One row per piece of each document: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     Null text counts as empty (its only id is the end id); a null id stays null; each row is its own
@@ -125,7 +125,7 @@ def pack(parts: DataFrame, *, length_col: str = "length", capacity: int = 1024,
     return keyed.sortWithinPartitions("__deal", *names).drop("__deal").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, open_bins: int = 2048, remembered: int = bpe.REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, open_bins: int = 2048, remembered: int = bpe.REMEMBERED_BYTES) -> DataFrame:
     """Pieces of all documents with their places: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     An empty table gives no rows. Ties between equally tight bins go to the one opened or filled last.

@@ -22,33 +22,59 @@ from .common import small_batches
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
-def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = bpe.END_ID, row_group_bytes: int = 16 << 20, page_rows: int = 256) -> None:
+def part_bounds(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, most_parts: int = 50_000) -> np.ndarray:
+    """Ids that cut the table into about equal parts of ``part_bytes`` of text; an id with very many rows appears again and again.
+
+    One pass over lengths and one over ids. At most ``most_parts`` - 1 numbers come to the driver, whatever the table.
+    """
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 32)).head()[0] or 0
+    n = min(most_parts, max(1, -(-int(total) // part_bytes)))
+    if n == 1:
+        return np.empty(0, np.int64)
+    shares = F.expr("array(" + ", ".join(f"{k / n!r}D" for k in range(1, n)) + ")")
+    got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, F.lit(max(10_000, 10 * n)))).head()[0]
+    return np.array(got or [], np.int64)
+
+
+def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = bpe.END_ID, row_group_bytes: int = 16 << 20, page_rows: int = 256, part_bytes: int = 16 << 20) -> None:
     """Encode every document and write the ids under ``path`` in ascending id order.
 
-    Null text is empty (the end id alone); null ids come first; rows with the same id are ordered by
-    a hash of their text and then by the text, so repeated rows keep a place each. Texts, not ids,
-    are shuffled: they are smaller. ``part`` numbers the files in id order.
+    Null text is empty (the end id alone); null ids come first; rows with the same id are ordered by their ids'
+    bytes within a file, so repeated rows keep a place each. An id whose rows fill several parts is dealt over them.
+    Texts are encoded where they are scanned, and ids travel once. ``part`` numbers the files in id order. A very
+    long text is one row, encoded whole; it must fit in a task's memory. Ids must be numbers.
     """
     small_batches(docs.sparkSession)
     vocab = vocabulary or bpe.vocabulary_path()
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bounds = part_bounds(rows, part_bytes=part_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = bpe.encoder(vocab), 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, seen = bpe.encoder(vocab), 0
         for batch in batches:
-            raws = [enc.encode(t.as_py() or "") + end for t in batch.column(2)]
-            n = np.fromiter((len(r) // 4 for r in raws), np.int64, len(raws))
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            lo, hi = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+            part = lo + (seen + np.arange(len(ids))) % (hi - lo + 1)
+            seen += len(ids)
+            raws = [enc.encode(t.as_py() or "") + end for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(raws, pa.binary())], ["doc_id", "part", "raw"])
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            raw = batch.column(2)
+            at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            n = np.diff(at).astype(np.int64) // 4
             starts = before + np.concatenate(([0], np.cumsum(n)))
             before = int(starts[-1])
-            offsets = pa.array((starts - starts[0]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raws), "<i4")))
+            flat = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view("<i4") if len(raw) else np.empty(0, "<i4")
+            lists = pa.ListArray.from_arrays(pa.array(((at - at[0]) // 4).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts[:-1]), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    encoded = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text").mapInArrow(run, FILE_SCHEMA)
-    writer = encoded.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
+    encoded = rows.mapInArrow(encode, "doc_id long, part int, raw binary").repartitionById(len(bounds) + 1, F.col("part"))
+    files = encoded.sortWithinPartitions("doc_id", "raw").mapInArrow(lay_out, FILE_SCHEMA)
+    writer = files.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true")
     for column in ("doc_id", "start_in_part", "n_tokens"):
         writer = writer.option(f"parquet.enable.dictionary#{column}", "false")

@@ -39,7 +39,6 @@ def tok():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -125,12 +124,35 @@ def test_sequences(spark, docs, tok):
         assert seqs[r.sequence_id][r.offset : r.offset + r.length] == texts[r.doc_id][r.start : r.start + r.length]
 
 
+def test_added_tokens_are_ids_of_their_own(tok):
+    e = bpe.MemoEncoder(bpe.vocabulary_path())
+    for s in ("a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "x <|endoftext|", "a  <|endoftext|>  b"):
+        assert np.frombuffer(e.encode(s), "<u4").tolist() == tok(s)
+    assert 50256 in np.frombuffer(e.encode("a <|endoftext|> b"), "<u4")
+
+
+def test_token_store_deals_a_hot_id_over_parts(spark, tok, tmp_path):
+    df = spark.createDataFrame([(7, "one two three")] * 400 + [(7, f"text {i}") for i in range(100)] + [(i, "x") for i in range(100)] + [(None, "y")], "doc_id long, text string")
+    assert (token_store.part_bounds(df, part_bytes=1000) == 7).sum() > 10
+    path = f"file://{tmp_path}/ids"
+    token_store.write_tokens(df, path, part_bytes=1000)
+    rows = sorted(token_store.token_rows(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted((r.doc_id for r in df.collect()), key=lambda i: -1 if i is None else i)
+    assert Counter((r.doc_id, r.ids_crc32) for r in rows) == Counter((r.doc_id, crc([*tok(r.text), bpe.END_ID])) for r in df.collect())
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+    parts = token_store.read_tokens(spark, path).where("doc_id = 7").groupBy("part").count().collect()
+    assert len(parts) > 10 and max(r["count"] for r in parts) < 120
+
+
 # tokens
 
 
 def test_memo_encoder(tok):
-    e, r = bpe.MemoEncoder(bpe.vocabulary_path(), most=50), random.Random(2)
-    parts = ["a", "b", " ", "  ", "\n", "\t", " \n ", "!", "'s", "é", "日本", "1", "🎉", "<|endoftext|>", "　", "\r\n", "foo", " bar", "²"]
+    e, r = bpe.MemoEncoder(bpe.vocabulary_path(), most_bytes=15_000), random.Random(2)
+    parts = ["a", "b", " ", "  ", "\n", "\t", " \n ", "!", "'s", "é", "日本", "1", "🎉", "<|endoftext|>", "<|endoftext|", "　", "\r\n", "foo", " bar", "²"]
     for _ in range(3000):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
         assert np.frombuffer(e.encode(s), "<u4").tolist() == tok(s), repr(s)
