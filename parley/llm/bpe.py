@@ -7,6 +7,7 @@ encoding the parts one after another gives the ids of the whole. Most parts are
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import string
@@ -46,7 +47,7 @@ def _parts(text: str) -> list[str]:
 
 
 #: What Python takes for one remembered part besides its characters and ids.
-_ENTRY = 190
+_ENTRY = 320
 
 
 class MemoEncoder:
@@ -56,7 +57,7 @@ class MemoEncoder:
     wherever their strings stand in a text, as the library has it; a text is cut at them first.
     """
 
-    def __init__(self, path: str, most_bytes: int = 400 << 20):
+    def __init__(self, path: str, most_bytes: int = 288 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -141,7 +142,15 @@ class MemoEncoder:
         return self.plain(first).tobytes() + b"".join(map(memo.__getitem__, rest))
 
 
-REMEMBERED_BYTES = 400 << 20
+@functools.cache
+def most_id(path: str) -> int:
+    """The largest id of a vocabulary, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
+REMEMBERED_BYTES = 288 << 20
 
 _ENCODERS: dict[tuple[str, int], MemoEncoder] = {}
 

@@ -47,6 +47,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     small_batches(docs.sparkSession)
     vocab = vocabulary or bpe.vocabulary_path()
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    kind = np.dtype("<u2" if max(bpe.most_id(vocab), end_id or 0) < 1 << 16 else "<u4")  # what ids travel as
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bounds = part_bounds(rows, part_bytes=part_bytes)
 
@@ -58,18 +59,21 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             part = lo + (seen + np.arange(len(ids))) % (hi - lo + 1)
             seen += len(ids)
             raws = [enc.encode(t.as_py() or "") + end for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), pa.array(raws, pa.binary())], ["doc_id", "part", "raw"])
+            flat = np.frombuffer(b"".join(raws), "<u4").astype(kind)
+            ends = np.cumsum([0, *map(len, raws)]) // 4 * kind.itemsize
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(raws), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), packed], ["doc_id", "part", "raw"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
             raw = batch.column(2)
             at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            n = np.diff(at).astype(np.int64) // 4
+            n = np.diff(at).astype(np.int64) // kind.itemsize
             starts = before + np.concatenate(([0], np.cumsum(n)))
             before = int(starts[-1])
-            flat = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view("<i4") if len(raw) else np.empty(0, "<i4")
-            lists = pa.ListArray.from_arrays(pa.array(((at - at[0]) // 4).astype(np.int32)), pa.array(flat))
+            flat = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind).astype("<i4") if len(raw) else np.empty(0, "<i4")
+            lists = pa.ListArray.from_arrays(pa.array(((at - at[0]) // kind.itemsize).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts[:-1]), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
 
     encoded = rows.mapInArrow(encode, "doc_id long, part int, raw binary").repartitionById(len(bounds) + 1, F.col("part"))
