@@ -11,6 +11,7 @@ import functools
 import os
 import re
 import string
+from array import array
 
 import numpy as np
 
@@ -18,7 +19,6 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARK = "\t"  # encodes as one id of its own and never merges with its neighbours
 #: White space other than spaces and line breaks; a text with any of it takes the careful path.
 _RARE = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
 
@@ -50,6 +50,18 @@ def _parts(text: str) -> list[str]:
 _ENTRY = 320
 
 
+class _Memo(dict):
+    """A dictionary that asks ``learn`` for what it lacks and keeps the answer."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        got = self[part] = self.learn(part)
+        return got
+
+
 class MemoEncoder:
     """Text -> little-endian uint32 ids as bytes, the same as the library's plain call on the whole text.
 
@@ -59,87 +71,58 @@ class MemoEncoder:
 
     def __init__(self, path: str, most_bytes: int = 288 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.most, self.held, self.memo = most_bytes, 0, {}
+        self.merges = self.tok.model.tokenize  # the merges alone, on one piece in shown bytes
+        self.most, self.held = most_bytes, 0
+        self.after = _Memo(lambda p: self._learn(p, " "))  # parts that follow a space
+        self.alone = _Memo(lambda p: self._learn(p, ""))  # parts that open a text or a line
+        self.tails = _Memo(self.plain)
         added = {t.content: (int(i).to_bytes(4, "little"), t.lstrip or t.rstrip or t.single_word or t.normalized) for i, t in self.tok.get_added_tokens_decoder().items()}
         self.added = {a: raw for a, (raw, _) in added.items()}
         self.bends = any(bends for _, bends in added.values())  # such tokens look at their surroundings
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.mark = self.plain(_MARK)[0]
-        self.tails: dict[str, bytes] = {}
-        self.merges = Tokenizer(self.tok.model)  # the merges alone, on pieces in shown bytes between marks
-        self.merges.pre_tokenizer = pre_tokenizers.Split(_SHOWN[9], "isolated")
 
-    def plain(self, text: str) -> np.ndarray:
+    def plain(self, text: str) -> bytes:
         """The library's ids of a whole text."""
-        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Remember unknown parts.
+    def _learn(self, part: str, lead: str) -> bytes:
+        """The ids of a part with ``lead`` before it.
 
-        Letters, with ASCII punctuation after them or not, are one piece and its tail to the pre-tokenizer,
-        so such pieces go straight to the library's merges, many at once between marks. Other parts that
-        neither start nor end in white space take the whole pipeline together; the rest one by one.
+        Letters or digits, with ASCII punctuation after them or not, are one piece and its tail to the
+        pre-tokenizer, so such pieces go straight to the library's merges. A line break between two
+        non-space characters is a piece of its own. Other parts take the whole pipeline.
         """
-        stems: dict[str, list[str]] = {}
-        joint, memo = [], self.memo
-        for p in new:
-            stem = p.rstrip(string.punctuation)
-            if stem.isalpha():
-                stems.setdefault(stem, []).append(p)
-            elif p and _MARK not in p and not p[0].isspace() and not p[-1].isspace():
-                joint.append(p)
-            else:
-                memo[p] = self.plain(" " + p).tobytes()
-        if stems:
-            shown = " ".join(stems).encode().decode("latin-1").translate(_SHOWN)
-            mark, space = _SHOWN[9], _SHOWN[32]
-            got = self._cut(self.merges, mark + space + shown.replace(space, mark + space), len(stems))
-            for (stem, parts), own in zip(stems.items(), got, strict=True):
-                for p in parts:
-                    tail = p[len(stem) :]
-                    if tail and tail not in self.tails:
-                        self.tails[tail] = self.plain(tail).tobytes()
-                    memo[p] = own + self.tails[tail] if tail else own
-        if joint:
-            got = self._cut(self.tok, f"{_MARK} " + f"{_MARK} ".join(joint), len(joint))
-            memo.update(zip(joint, got, strict=True))
-        if len(self.tails) > 50_000:
-            self.tails.clear()
-
-    def _cut(self, tok, text: str, n: int) -> list[bytes]:
-        """The ids between marks, as bytes; ``text`` has ``n`` of them, each after a mark."""
-        ids = np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = (np.flatnonzero(ids == self.mark) * 4).tolist() + [4 * len(ids)]
-        if len(at) != n + 1:
-            raise ValueError("the vocabulary merges the mark; use one that keeps tabs apart")
-        raw = ids.tobytes()
-        return [raw[a + 4 : b] for a, b in zip(at, at[1:])]
+        self.held += 2 * len(part) + _ENTRY
+        stem = part.rstrip(string.punctuation)
+        if stem.isalpha() or stem.isdecimal():
+            shown = (lead + stem).encode().decode("latin-1").translate(_SHOWN)
+            own = array("I", [t.id for t in self.merges(shown)]).tobytes()
+            return own if len(stem) == len(part) else own + self.tails[part[len(stem) :]]
+        lines = part.split("\n")
+        if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            first = self._learn(lines[0], lead)
+            return self.tails["\n"].join([first, *map(self.alone.__getitem__, lines[1:])])
+        return self.plain(lead + part)
 
     def encode(self, text: str) -> bytes:
+        if self.held > self.most or len(self.tails) > 50_000:
+            for memo in (self.after, self.alone, self.tails):
+                memo.clear()
+            self.held = 0
         if not any(a in text for a in self.added):
             return self._encode(text)
         if self.bends:
-            return self.plain(text).tobytes()
+            return self.plain(text)
         return b"".join(self.added[p] if p in self.added else self._encode(p) for p in self.at_added.split(text))
 
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = _parts(text)
-        memo = self.memo
-        new = set(rest).difference(memo)
-        if new:
-            size = sum(map(len, new)) * 2 + _ENTRY * len(new)
-            if self.held + size > self.most:
-                memo.clear()
-                self.held, new = 0, set(rest)
-                size = sum(map(len, new)) * 2 + _ENTRY * len(new)
-            self.held += size
-            self._learn(list(new))
-        return self.plain(first).tobytes() + b"".join(map(memo.__getitem__, rest))
+        return self.alone[first] + b"".join(map(self.after.__getitem__, rest))
 
 
 @functools.cache
