@@ -47,18 +47,22 @@ def _parts(text: str) -> list[str]:
 
 
 #: What Python takes for one remembered part besides its characters and ids.
-_ENTRY = 320
+_ENTRY = 240
+_LONGEST = 64
 
 
 class _Memo(dict):
-    """A dictionary that asks ``learn`` for what it lacks and keeps the answer."""
+    """A dictionary that asks ``learn`` for what it lacks and keeps the answer, but for parts of several lines and long ones."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.held = learn, 0
 
     def __missing__(self, part: str) -> bytes:
-        got = self[part] = self.learn(part)
+        got = self.learn(part)
+        if len(part) <= _LONGEST and "\n" not in part:
+            self[part] = got
+            self.held += 2 * len(part) + _ENTRY
         return got
 
 
@@ -75,10 +79,11 @@ class MemoEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.merges = self.tok.model.tokenize  # the merges alone, on one piece in shown bytes
-        self.most, self.held = most_bytes, 0
-        self.after = _Memo(lambda p: self._learn(p, " "))  # parts that follow a space
-        self.alone = _Memo(lambda p: self._learn(p, ""))  # parts that open a text or a line
+        self.most = most_bytes
+        self.after = _Memo(lambda p: self._learn(p, " ", self.after))  # parts that follow a space
+        self.alone = _Memo(lambda p: self._learn(p, "", self.alone))  # parts that open a text or a line
         self.tails = _Memo(self.plain)
+        self.line_break = self.plain("\n")
         added = {t.content: (int(i).to_bytes(4, "little"), t.lstrip or t.rstrip or t.single_word or t.normalized) for i, t in self.tok.get_added_tokens_decoder().items()}
         self.added = {a: raw for a, (raw, _) in added.items()}
         self.bends = any(bends for _, bends in added.values())  # such tokens look at their surroundings
@@ -88,30 +93,30 @@ class MemoEncoder:
         """The library's ids of a whole text."""
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, part: str, lead: str) -> bytes:
+    def _learn(self, part: str, lead: str, memo: _Memo) -> bytes:
         """The ids of a part with ``lead`` before it.
 
         Letters or digits, with ASCII punctuation after them or not, are one piece and its tail to the
         pre-tokenizer, so such pieces go straight to the library's merges. A line break between two
         non-space characters is a piece of its own. Other parts take the whole pipeline.
         """
-        self.held += 2 * len(part) + _ENTRY
         stem = part.rstrip(string.punctuation)
         if stem.isalpha() or stem.isdecimal():
+            if len(stem) < len(part):
+                return memo[stem] + self.tails[part[len(stem) :]]
             shown = (lead + stem).encode().decode("latin-1").translate(_SHOWN)
-            own = array("I", [t.id for t in self.merges(shown)]).tobytes()
-            return own if len(stem) == len(part) else own + self.tails[part[len(stem) :]]
+            return array("I", [t.id for t in self.merges(shown)]).tobytes()
         lines = part.split("\n")
         if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            first = self._learn(lines[0], lead)
-            return self.tails["\n"].join([first, *map(self.alone.__getitem__, lines[1:])])
+            return self.line_break.join([memo[lines[0]], *map(self.alone.__getitem__, lines[1:])])
         return self.plain(lead + part)
 
     def encode(self, text: str) -> bytes:
-        if self.held > self.most or len(self.tails) > 50_000:
-            for memo in (self.after, self.alone, self.tails):
-                memo.clear()
-            self.held = 0
+        memos = (self.after, self.alone, self.tails)
+        if sum(m.held for m in memos) > self.most:
+            for m in memos:
+                m.clear()
+                m.held = 0
         if not any(a in text for a in self.added):
             return self._encode(text)
         if self.bends:
