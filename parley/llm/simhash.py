@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, release
+from .common import Workspace, join_hot, release
 from .components import components
 from .grouping import chunk_pairs, spanning, stream_groups
 
@@ -264,18 +264,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     ``component_id`` is the smallest id reachable over links of at most ``most_bits`` differing
     bits, a document itself included. Null and wordless texts have the fingerprint zero and link
-    like any other. Rows with a null id link too and never name a component unless all its rows have
-    null ids (then it is null). Repeated rows each give a row; an empty table gives none; other
-    columns are ignored.
+    like any other. Fingerprints link, not ids: unlike texts under one id may be in different components.
+    Rows with a null id link too and never name a component unless all its rows have null ids (then it
+    is null). Repeated rows each give a row; an empty table gives none; other columns are ignored. A very
+    long text is read once, in blocks of 65,536 shingles. Ids must be numbers.
     """
     work = Workspace(docs.sparkSession, "simhash")
     own = work.put(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "own")
-    stand_in = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("fp"), F.lit(1 << 40))  # above any real id
-    nodes = work.put(own.groupBy("fp").agg(F.min("doc_id").alias("least")).select(F.coalesce("least", stand_in).alias("node"), "fp", "least"), "nodes")
-    roots = linked(nodes, work, most_bits)
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    real = F.when(F.col("root") <= F.lit((1 << 63) - 1 - (1 << 40)), F.col("root"))
-    comps = work.put(named.select(F.col("fp").alias("__fp"), real.alias("component_id")), "components")
+    prints = work.put(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
+    roots = linked(prints.select(F.col("fp").alias("node"), "fp"), work, most_bits)
+    named = work.put(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    by_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    comps = work.put(join_hot(named, by_root, ["root"], named.count(), n_col="size").select("fp", "component_id", "n"), "components")
+    work.drop("prints", "named", "roots", "edges")
     release(docs.sparkSession)
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return own.join(comps, own.fp == F.col("__fp")).select("doc_id", hexed, "component_id")
+    found = join_hot(own, comps, ["fp"], own.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

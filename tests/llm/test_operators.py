@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, byte_codec, embedding_dedup, language_id, license_scan, packing, simhash, substring_dedup, token_store, topk, toxicity
-from parley.llm.common import Workspace
+from parley.llm.common import Workspace, join_hot
 from parley.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -531,9 +531,11 @@ def test_embedding_recall(spark):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
-def test_embedding_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("setting", [None, *embedding_dedup.SETTINGS])
+def test_embedding_recall_at_the_threshold(spark, setting):
     r = np.random.default_rng(12)
-    for dim in (64, 384):
+    own = {} if setting is None else dict(zip(("scale", "visits", "tables"), setting, strict=False))
+    for dim in (64, 384) if setting is None else (64,):
         rows = []
         for k in range(400):
             x, z = r.normal(size=(2, dim))
@@ -541,11 +543,40 @@ def test_embedding_recall_at_the_threshold(spark):
             c = r.uniform(0.9001, 0.93) if k % 2 else 0.9001
             y = c * x / np.linalg.norm(x) + math.sqrt(1 - c * c) * z / np.linalg.norm(z)
             rows += [(2 * k, x.tolist()), (2 * k + 1, y.tolist())]
-        got = {x.vec_id: x for x in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+        got = {x.vec_id: x for x in embedding_dedup.near_duplicates(vectors(spark, rows), **own).collect()}
         for odd in (0, 1):
             assert sum(got[2 * k + 1].component_id == 2 * k for k in range(400) if k % 2 == odd) >= 0.9 * 200
 
 
+def test_embedding_plan_makes_cells_smaller_as_the_table_grows():
+    scales = [embedding_dedup.plan(10**k, 0.9)[0] for k in range(3, 9)]
+    assert scales == sorted(scales) and scales[0] < scales[-1]
+    assert embedding_dedup.plan(1000, 0.99)[0] > 3 * scales[0]
+
+
+def test_vectors_link_not_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0])]
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(vectors(spark, rows)).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_fingerprints_link_not_ids(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(100)) for k in "ab")
+    df = spark.createDataFrame([(4, a), (4, b), (2, b), (9, a), (None, a)], "doc_id long, text string")
+    got = Counter((x.doc_id, x.component_id) for x in simhash.near_duplicates(df).collect())
+    assert got == Counter([(4, 4), (4, 2), (2, 2), (9, 4), (None, 4)])
+
+
+def test_join_hot_is_a_join(spark):
+    left = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(6000)] + [(None, -1)], "k int, x int")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k <> 5").withColumn("y", F.col("k") * 10)
+    for how in ("inner", "left"):
+        got = join_hot(left, right, ["k"], 6001, how=how, share=0.2).select("k", "x", "y")
+        want = left.join(right.drop("n"), "k", how).select("k", "x", "y")
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 def test_contract_names(spark):
     from parley.llm import queries
 
