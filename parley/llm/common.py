@@ -55,6 +55,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unit_hash(*cols):
+    """A hash of columns as a number from 0 to 1, for samples that any scan of the table draws alike."""
+    return F.xxhash64(*cols) / F.lit(2.0**64) + F.lit(0.5)
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, *, how: str = "inner", share: float = 1e-4, n_col: str = "n") -> DataFrame:
     """``left`` joined to ``right`` on ``keys``, with no key's rows gathered in one task.
 

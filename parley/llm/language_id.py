@@ -2,7 +2,7 @@
 
 Each language has a zstandard dictionary of raw text. A text is compressed once with each, in blocks
 of fixed length so that a long text cannot become its own dictionary, and gets the language with the
-fewest bytes. The score falls with the lead over the runner-up in bytes.
+fewest bytes. The score rises with the lead over the runner-up in bytes; a narrow lead is rejected by filters.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches
+from .common import crc_bucket, small_batches, unit_hash
 
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
@@ -32,13 +32,19 @@ def letters(text: str | None) -> bytes:
 
 @dataclass
 class Model:
-    """Languages, most frequent first (ties go to the earlier), and their dictionaries."""
+    """Languages, most frequent first (ties go to the earlier), and their dictionaries.
+
+    ``narrow`` is the least lead of the best language, in bytes by the square root of its compressed size, that a
+    filter accepts: between languages that explain a text equally well the lead varies like that root, while in
+    a text's own language it grows with the size.
+    """
 
     languages: list[str]
     dictionaries: list[bytes]
     level: int = 9
     block: int = 4096
     bytes_a_step: float = 4.0
+    narrow: float = 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "compressors"}
@@ -59,40 +65,61 @@ class Model:
         return np.array([sum(len(c.compress(p)) for p in parts) for c in self.compressors], np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float, float, int]:
-        """(language, score, margin, bytes compared); the margin is the share saved against the runner-up."""
+        """(language, score, margin, bytes compared); the margin is the lead by the square root of the best size."""
         raw = letters(text)
         if not raw or not self.languages:
             return UNKNOWN, 0.0, 0.0, len(raw)
         if len(self.languages) == 1:
-            return self.languages[0], 1.0, 1.0, len(raw)
+            return self.languages[0], 1.0, float("inf"), len(raw)
         s = self.sizes(raw)
         best = int(s.argmin())
         share = np.exp(-(s - s[best]) / self.bytes_a_step)
-        second = float(np.delete(s, best).min())
-        return self.languages[best], float(1 / share.sum()), (second - float(s[best])) / second, len(raw)
+        return self.languages[best], float(1 / share.sum()), lead(s, best), len(raw)
+
+
+def lead(sizes: np.ndarray, best: int) -> float:
+    return float((np.delete(sizes, best).min() - sizes[best]) / np.sqrt(sizes[best]))
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, documents: int = 256, part_chars: int = 1024, level: int = 9) -> Model:
-    """Dictionaries from at most ``documents`` labelled documents a language, ``part_chars`` characters of each.
+def calibrate(model: Model, known: list[tuple[str, str]], lost: float) -> float:
+    """The margin that all but the share ``lost`` of these (language, text) reach in a model with their language."""
+    if len(model.languages) < 2:
+        return 0.0
+    got = [lead(s, int(s.argmin())) for _, text in known if (raw := letters(text)) for s in [model.sizes(raw)]]
+    return max(0.0, float(np.quantile(got, lost))) if got else 0.0
 
-    Only rows outside the held-out fold with a language and a text are read. They are chosen by a hash of
-    their text below a cut that the language's count sets, four times ``documents`` before equal texts fall
-    together, so equal copies cannot crowd a dictionary and no task ranks a language. Languages are ordered
-    by how many rows they have.
+
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, documents: int = 256, most_documents: int = 16_384, part_chars: int = 1024, level: int = 9, lost: float = 0.005) -> Model:
+    """Dictionaries from about ``documents`` unlike labelled texts a language, a part of ``part_chars`` characters of each.
+
+    Only rows outside the held-out fold with a language and a text are read. Texts are drawn by a hash of themselves
+    below a cut that the language's number of unlike texts sets and that is never below its least hash, so copies
+    don't count, no language is lost, however rare, and no task ranks one. All languages together draw about
+    ``most_documents``, one each at least. A long text's part begins at a place its hash gives. One drawn text in
+    five stays out of the dictionaries and calibrates the margin: the share ``lost`` of these falls below it.
+    Languages are ordered by how many rows they have.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = rows.where((crc_bucket("doc_id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
-    share = F.create_map(*[F.lit(x) for lang, k in counts.items() for x in (lang, int(1_000_000 * min(1.0, 4 * documents / k)))]) if counts else F.create_map(F.lit(""), F.lit(0))
-    own = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
-    cut = F.when(F.length("text") > part_chars, F.substring("text", F.lit(1), F.lit(part_chars))).otherwise(F.col("text"))
-    parts: dict[str, dict[int, str]] = {}
-    for lang, h, part in own.select("lang", F.xxhash64("text").alias("h"), cut.alias("part")).distinct().orderBy("lang", "h", "part").collect():
-        if len(parts.setdefault(lang, {})) < documents:
-            parts[lang][h] = part
+    train = train.select("lang", "text", unit_hash("text").alias("u"))
+    found = train.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("u", 0.02).alias("unlike"), F.min("u").alias("least")).collect()
+    if not found:
+        return Model([], [], level)
+    share = max(1, min(documents, most_documents // len(found)))
+    cut = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], share * 1.25 / max(r["unlike"], 1)))])
+    size = F.length("text")
+    begin = (F.pmod(F.xxhash64(F.lit(7), "text"), F.greatest(size - part_chars + 1, F.lit(1))) + 1).cast("int")
+    drawn = train.where(F.col("u") <= cut[F.col("lang")]).dropDuplicates(["lang", "u"])
+    parts: dict[str, list[str]] = {}
+    for lang, _, part in drawn.select("lang", "u", F.substring("text", begin, F.lit(part_chars)).alias("part")).orderBy("lang", "u", "part").collect():
+        parts.setdefault(lang, []).append(part)
+    counts = {r["lang"]: r["n"] for r in found}
     order = sorted(parts, key=lambda x: (-counts[x], x))
-    return Model(order, [b" ".join(map(letters, parts[x].values())) for x in order], level)
+    kept = {x: parts[x][: max(1, len(parts[x]) * 4 // 5)] for x in order}
+    model = Model(order, [b" ".join(map(letters, kept[x])) for x in order], level)
+    model.narrow = calibrate(model, [(x, p) for x in order for p in parts[x][len(kept[x]) :]], lost)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
@@ -100,7 +127,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     Null texts and texts without a letter are ``und`` with score and margin 0, as is everything when
     nothing was learned. A null id counts as held out: nothing is learned from it. Repeated rows each
-    give a row, an empty table none; other columns are ignored.
+    give a row, an empty table none; other columns are ignored. A very long text is compressed whole, in
+    blocks of ``model.block`` bytes. Ids must be numbers.
     """
     small_batches(docs.sparkSession)
 
@@ -115,14 +143,10 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return rows.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double, n_letters long")
 
 
-def keeps(found: tuple[str, float, float, int]) -> bool:
-    """Whether a filter keeps a text: it has a language, and if long, a lead over the runner-up.
-
-    A text in a learned language has a lead of several per cent once it is long enough to have one; short
-    texts are given the benefit of the doubt.
-    """
-    lang, _, margin, size = found
-    return lang != UNKNOWN and (margin >= 0.002 or size < 200)
+def keeps(found: tuple[str, float, float, int], narrow: float) -> bool:
+    """Whether a filter keeps a text: it has a language, with a lead, and that isn't narrow."""
+    lang, _, margin, _ = found
+    return lang != UNKNOWN and margin > 0 and margin >= narrow
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -132,6 +156,6 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([keeps(model.predict(t.as_py())) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([keeps(model.predict(t.as_py()), model.narrow) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

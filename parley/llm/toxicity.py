@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Lexicon and pattern voters look at a text's words. A generative label model, fitted to the moments
-of all documents' votes, estimates each voter's firing rate on toxic and on clean texts: voters that
-are independent given the label have covariances of rank one, and pairs that stray from it are
-taken as correlated, left out of the estimate, and share their weight in the posterior. A linear
-classifier on the same votes and their counts is then trained on the posterior labels.
+Lexicon and pattern voters look at a text's words. A generative label model, fitted to the moments of
+all documents' votes and to no label, estimates each voter's firing rates on toxic and on clean texts:
+voters that are independent given the label have covariances of rank one. Pairs that stray from it are
+correlated; the strongest form a forest, and for each of its pairs the model has the rate at which both
+fire on either kind of text, from third moments with voters independent of the two. A linear classifier
+with features of its own, hashed words beside the votes, is trained on the posteriors of unlabelled texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import permutations
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches
+from .common import Workspace, crc_bucket, small_batches, unit_hash
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -33,6 +35,7 @@ SEED_LEXICONS = {
 }
 SHARDS = 12
 PREFIXES = (4, 5, 6)
+WORD_FEATURES = 512
 
 
 def words(text: str | None) -> set[str]:
@@ -83,21 +86,32 @@ class Voters:
         out[-2:] = np.log1p(n), min(1.0, 20 * n / (len(found) + 5))
         return out
 
+    def features(self, text: str | None) -> np.ndarray:
+        """What the classifier sees: ``vote``, and the text's distinct words hashed to WORD_FEATURES places, of length 1."""
+        found = words(text)
+        at = np.fromiter((crc32(w.encode()) % WORD_FEATURES for w in found), np.int64, len(found))
+        hashed = np.bincount(at, minlength=WORD_FEATURES).astype(np.float64)
+        return np.concatenate([self.vote(text), hashed / max(1.0, float(np.sqrt(hashed @ hashed)))])
+
 
-def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, held_out: int) -> DataFrame:
-    """(toxic, text) of about ``per_class`` labelled rows of each class outside the held-out fold; equal texts count once.
+def sample(docs: DataFrame, labels: DataFrame, *, per_class: int, folds: int, held_out: int, work: Workspace) -> DataFrame:
+    """(toxic, text) of about ``per_class`` unlike labelled texts of each class outside the held-out fold.
 
-    Rows are taken below a hash cut that the class's count sets, so no task ranks a class. The ids are at most
+    Texts are drawn by a hash of themselves below a cut that the class's number of unlike texts sets and that is never
+    below its least hash: copies don't count, no class is lost, and no task ranks one. The drawn hashes are at most
     a small multiple of ``per_class``, which bounds the broadcast.
     """
-    own = labels.select(F.col("doc_id").cast("long").alias("__d"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_bucket("__d", folds) != held_out)).distinct()
-    n = dict(own.groupBy("toxic").count().collect())
-    cut = F.create_map(*[F.lit(x) for y, k in n.items() for x in (y, int(1_000_000 * min(1.0, per_class / k)))]) if n else F.create_map(F.lit(0), F.lit(0))
-    few = own.where(F.pmod(F.xxhash64("__d"), F.lit(1_000_000)) < cut[F.col("toxic")])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("__d")).select("toxic", "text").distinct()
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_bucket("doc_id", folds) != held_out)).distinct()
+    text = F.col("text").cast("string")
+    hashed = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), unit_hash(text).alias("u"))
+    pairs = work.put(hashed.join(own, "doc_id").select("toxic", "u"), "pairs")
+    found = pairs.groupBy("toxic").agg(F.approx_count_distinct("u", 0.02).alias("unlike"), F.min("u").alias("least")).collect()
+    cut = F.create_map(*[F.lit(x) for r in found for x in (r["toxic"], max(r["least"], per_class / max(r["unlike"], 1)))]) if found else F.create_map(F.lit(0), F.lit(0.0))
+    few = pairs.where(F.col("u") <= cut[F.col("toxic")]).distinct()
+    return docs.select(text.alias("text"), unit_hash(text).alias("u")).join(F.broadcast(few), "u").dropDuplicates(["toxic", "u"]).select("toxic", "text")
 
 
-def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: float = 0.98) -> dict[str, int]:
+def mine_terms(labelled: DataFrame, *, min_precision: float = 0.98) -> dict[str, int]:
     """Words and beginnings that mark toxic texts in the sample, dealt to voters in turn.
 
     A term needs at least four toxic texts and one in 100 of them, near copies counted once. A beginning that does as
@@ -138,7 +152,7 @@ def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: flo
         a, b = (pos[term] + 0.05) / max(n_pos, 1), (neg.get(term, 0) + 0.05) / max(n_neg, 1)
         return a / (a + 5 * b)
 
-    best = sorted((t for t in pos if precise(t) >= min_precision), key=lambda t: (-pos[t], len(t), t))[:most_terms]
+    best = sorted((t for t in pos if precise(t) >= min_precision), key=lambda t: (-pos[t], len(t), t))
     kept: dict[str, int] = {}
     for term in best:
         stem = term.rstrip("*")
@@ -158,38 +172,45 @@ def mine_terms(labelled: DataFrame, *, most_terms: int = 400, min_precision: flo
 
 @dataclass
 class LabelModel:
+    """``parents[i]`` is the voter that i depends on, or -1; ``both_*`` are the rates at which the two fire together."""
+
     prior: float
     on_toxic: np.ndarray
     on_clean: np.ndarray
-    weight: np.ndarray
+    used: np.ndarray
     correlated: np.ndarray
+    parents: np.ndarray
+    both_toxic: np.ndarray
+    both_clean: np.ndarray
 
     def log_odds(self, votes: np.ndarray, none: int) -> np.ndarray:
         """Posterior log-odds of toxic. A voter that doesn't fire abstains; where none fires, the silence of
         the voter ``none``, which fires whenever another does, is the vote for clean."""
-        fire = np.log(self.on_toxic / self.on_clean) * self.weight
-        quiet = np.log((1 - self.on_toxic[none]) / (1 - self.on_clean[none]))
-        return np.log(self.prior / (1 - self.prior)) + votes @ fire + (votes.sum(1) == 0) * quiet
-
-    def with_labelled(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, strength: float = 20.0) -> LabelModel:
-        """Firing rates with the votes on labelled texts added; the moments' estimates count as ``strength`` texts."""
-        a = (strength * self.on_toxic + toxic) / (strength + n_toxic)
-        b = (strength * self.on_clean + clean) / (strength + n_clean)
-        b = np.clip(b, 1e-5, 1 - 1e-4)
-        return LabelModel(self.prior, np.clip(np.maximum(a, b), 1e-4, 1 - 1e-4), b, self.weight, self.correlated)
+        a, b, p = self.on_toxic, self.on_clean, self.parents
+        child = p >= 0
+        with_a, with_b = self.both_toxic / a[p], self.both_clean / b[p]
+        less_a, less_b = (a - self.both_toxic) / (1 - a[p]), (b - self.both_clean) / (1 - b[p])
+        ratio = lambda x, y: np.log(np.maximum(x, 1e-4) / np.maximum(y, 1e-5))
+        after = votes[:, p] * child
+        fire = np.where(child, np.where(after > 0, ratio(with_a, with_b), ratio(less_a, less_b)), ratio(a, b))
+        quiet = np.log((1 - a[none]) / (1 - b[none]))
+        return np.log(self.prior / (1 - self.prior)) + (votes * fire * self.used).sum(1) + (votes.sum(1) == 0) * quiet
 
 
-def fit_label_model(n: float, first: np.ndarray, both: np.ndarray, prior: float, *, rounds: int = 4, stray: float = 0.1) -> LabelModel:
-    """Accuracies and correlations from the counts of votes and of pairs of votes over all documents.
+def fit_label_model(n: float, three: np.ndarray, prior: float, *, rounds: int = 4, stray: float = 0.1) -> LabelModel:
+    """Accuracies and correlations from how often voters, pairs and triples of them fire over all documents.
 
     For voters i, j independent given the label, cov(i, j) = u_i u_j with u_i = sqrt(p (1 - p)) (a_i - b_i),
     a and b the firing rates on toxic and clean texts. u_i is the median of sqrt(c_ij c_ik / c_jk) over
     the pairs (j, k) not marked as correlated; pairs whose correlation differs from that by more than
-    ``stray`` are marked, and the estimate is repeated without them.
+    ``stray`` are marked, and the estimate is repeated without them. A marked pair's joint rates solve
+    P(ij) = p a_ij + (1 - p) b_ij and P(ijk) = p a_ij a_k + (1 - p) b_ij b_k, the median over unmarked k.
     """
-    v = len(first)
-    m = first / max(n, 1.0)
-    cov = both / max(n, 1.0) - np.outer(m, m)
+    v = len(three)
+    every = np.arange(v)
+    both = three[every, every, :] / max(n, 1.0)  # votes are 0 or 1, so E[i i k] = E[i k]
+    m = np.diag(both).copy()
+    cov = both - np.outer(m, m)
     sd = np.sqrt(np.maximum(m * (1 - m), 1e-12))
     used = m * n >= 3
     prior = min(max(prior, 1e-3), 0.5)
@@ -200,7 +221,7 @@ def fit_label_model(n: float, first: np.ndarray, both: np.ndarray, prior: float,
         for i in np.flatnonzero(used):
             free = np.flatnonzero(used & ~marked[i] & (cov[i] > 0))
             est = [np.sqrt(cov[i, j] * cov[i, k] / cov[j, k]) for x, j in enumerate(free) for k in free[x + 1 :] if not marked[j, k] and cov[j, k] > 1e-12]
-            u[i] = np.median(est) if est else (np.sqrt(max(cov[i][used & (np.arange(v) != i)].max(initial=0.0), 0.0)))
+            u[i] = np.median(est) if est else (np.sqrt(max(cov[i][used & (every != i)].max(initial=0.0), 0.0)))
         u = np.clip(u, 0, sd)
         gap = np.abs(cov - np.outer(u, u)) / np.outer(sd, sd)
         then = (gap > stray) | np.eye(v, dtype=bool)
@@ -214,9 +235,33 @@ def fit_label_model(n: float, first: np.ndarray, both: np.ndarray, prior: float,
         marked = then
     a = np.clip(m + (1 - prior) * u / unit, 1e-4, 1 - 1e-4)
     b = np.clip(m - prior * u / unit, 1e-5, 1 - 1e-4)
-    gap = np.where(marked & ~np.eye(v, dtype=bool), np.abs(cov / np.outer(sd, sd)), 0)
-    weight = np.where(used, 1 / (1 + gap.sum(1)), 0.0)
-    return LabelModel(prior, np.maximum(a, b), b, weight, marked)
+    a = np.maximum(a, b)
+    marked &= marked.T
+    np.fill_diagonal(marked, False)
+    parents, both_a, both_b = np.full(v, -1), np.zeros(v), np.zeros(v)
+    gap = np.where(marked, np.abs(cov - np.outer(u, u)) / np.outer(sd, sd), 0)
+    tree = every.copy()
+    links: list[list[int]] = [[] for _ in range(v)]
+    for i, j in sorted(zip(*np.nonzero(np.triu(gap)), strict=True), key=lambda x: -gap[x]):  # a maximum spanning forest
+        if tree[i] != tree[j]:
+            tree[tree == tree[j]] = tree[i]
+            links[i].append(j)
+            links[j].append(i)
+    for root in every[tree == every]:
+        queue, seen = [root], {int(root)}
+        for x in queue:
+            for c in links[x]:
+                if int(c) not in seen:
+                    seen.add(int(c))
+                    parents[c] = x
+                    queue.append(c)
+    for i in np.flatnonzero(parents >= 0):
+        j = parents[i]
+        free = np.flatnonzero(used & ~marked[i] & ~marked[j] & (every != i) & (every != j) & (a - b > 0.02))
+        est = (three[i, j, free] / max(n, 1.0) - b[free] * both[i, j]) / (prior * (a[free] - b[free])) if len(free) else [both[i, j] / prior]
+        both_a[i] = np.clip(np.median(est), max(0.0, a[i] + a[j] - 1), min(a[i], a[j]))
+        both_b[i] = np.clip((both[i, j] - prior * both_a[i]) / (1 - prior), max(0.0, b[i] + b[j] - 1), min(b[i], b[j]))
+    return LabelModel(prior, a, b, used.astype(float), marked, parents, both_a, both_b)
 
 
 @dataclass
@@ -230,7 +275,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(votes @ self.coef + self.bias, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 60) -> tuple[np.ndarray, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 20) -> tuple[np.ndarray, float]:
     """Weighted logistic regression on soft labels by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     beta = np.zeros(x.shape[1])
@@ -247,65 +292,87 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05,
     return beta[:-1], float(beta[-1])
 
 
-def moments(docs: DataFrame, voters: Voters, text_col: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
-    """Over all documents: their count, each voter's votes, and pairs of votes. Each task sends one matrix."""
+def triples(votes: np.ndarray) -> np.ndarray:
+    """How often each triple of voters fires in these rows."""
+    x = votes[votes.any(1)]
+    return np.einsum("ni,nj,nk->ijk", x, x, x, optimize=True)
+
+
+def moments(docs: DataFrame, voters: Voters, text_col: str = "text") -> tuple[float, np.ndarray]:
+    """Over all documents: their count, and how often triples of voters fire. Each task sends one table."""
     v = len(voters.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((v + 1, v + 1))
+        n, sums = 0, np.zeros((v, v, v))
         for batch in batches:
-            x = np.array([np.append(voters.vote(t.as_py())[:v], 1.0) for t in batch.column(0)]).reshape(-1, v + 1)
-            both += x.T @ x
-        i, j = np.divmod(np.arange((v + 1) ** 2), v + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both.ravel())], ["i", "j", "n"])
+            x = np.array([voters.vote(t.as_py())[:v] for t in batch.column(0)]).reshape(-1, v)
+            n, sums = n + len(x), sums + triples(x)
+        at = np.flatnonzero(sums)
+        at = at[(at // v**2 <= at // v % v) & (at // v % v <= at % v)]
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int32()), pa.array([*sums.ravel()[at].tolist(), float(n)], pa.float64())], ["at", "n"])
 
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros((v + 1, v + 1))
-    for i, j, n in got:
-        both[i, j] = n
-    return both[v, v], both[v, :v], both[:v, :v]
+    got = dict(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect())
+    n = got.pop(-1, 0.0)
+    three = np.zeros((v, v, v))
+    for at, k in got.items():
+        for i, j, l in permutations((at // v**2, at // v % v, at % v)):
+            three[i, j, l] = k
+    return n, three
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = 4000) -> Model:
-    """Mine terms, fit the label model to all documents' votes, train the classifier on its posteriors.
+def unlabelled(docs: DataFrame, voters: Voters, n: float, fired: float, *, each: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Features and weights of about ``each`` texts on which a voter fires and as many on which none does.
 
-    Where voters never fire together (terms of different languages), moments say little, so the labelled
-    texts' votes enter the firing rates as well.
+    Drawn by a hash of the text, whatever its labels; weights restore the two kinds' shares. Equal texts count once.
+    """
+    text = F.col(text_col).cast("string")
+    some, none = (min(1.0, each / max(k, 1.0)) for k in (fired, n - fired))
+    any_vote = voters.names.index("any_term")
 
-    Labels are read for rows outside the held-out fold only, about ``per_class`` of each class; the class
-    prior is the share of toxic rows among all labelled rows outside that fold.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[float] = set()
+        for batch in batches:
+            rows = []
+            for t, u in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if u not in seen:
+                    seen.add(u)
+                    x = voters.features(t.as_py())
+                    fires = bool(x[any_vote] > 0)
+                    if u <= (some if fires else none):
+                        rows.append((u, fires, x.tolist()))
+            us, kinds, xs = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.float64()), pa.array(kinds, pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], ["u", "fires", "x"])
+
+    drawn = docs.select(text.alias("text"), F.coalesce(unit_hash(text), F.lit(0.0)).alias("u")).where(F.col("u") <= max(some, none))
+    got = drawn.mapInArrow(run, "u double, fires boolean, x array<double>").dropDuplicates(["u"]).collect()
+    kinds = np.array([r["fires"] for r in got], bool)
+    share = {True: fired / max(n, 1.0), False: 1 - fired / max(n, 1.0)}
+    weight = np.array([share[bool(k)] / max((kinds == k).sum(), 1) for k in kinds])
+    return np.array([r["x"] for r in got]).reshape(len(got), len(voters.names) + 2 + WORD_FEATURES), weight
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = 4000, each: int = 3000) -> Model:
+    """Mine terms, fit the label model to all documents' votes, train the classifier on its posteriors.
+
+    Labels serve the choice of terms, from about ``per_class`` unlike texts of each class, and the class prior, the
+    share of toxic rows; both outside the held-out fold only. The label model and the classifier, which learns from
+    about 2 x ``each`` texts, see no label. Without labels nothing is mined and the fixed lexicons vote alone.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    work = Workspace(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_bucket("doc_id", folds) != held_out))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).head()[0]
-    picked = sample(docs, labels, per_class=per_class, folds=folds, held_out=held_out)
+    picked = work.put(sample(docs, labels, per_class=per_class, folds=folds, held_out=held_out, work=work), "picked")
     voters = Voters(terms := mine_terms(picked), len(terms))
-    n, first, both = moments(docs, voters)
-    model = fit_label_model(n, first, both, 0.05 if prior is None else prior)
-    v = len(voters.names)
-
-    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [voters.vote(t.as_py()).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
-
-    got = picked.mapInArrow(cast, "toxic int, x array<double>").groupBy("toxic", "x").count().collect()
-    if not got:
-        got = spark.createDataFrame([(0, [0.0] * (v + 2), 1)], "toxic int, x array<double>, count long").collect()
-    x = np.array([r["x"] for r in got])
-    count = np.array([r["count"] for r in got], np.float64)
-    toxic = np.array([r["toxic"] for r in got])
-    seen = {y: (x[toxic == y, :v] * count[toxic == y, None]).sum(0) for y in (0, 1)}
-    model = model.with_labelled(seen[1], seen[0], count[toxic == 1].sum(), count[toxic == 0].sum())
-    # the sample's classes are brought back to their shares
-    for y, part in ((1, model.prior), (0, 1 - model.prior)):
-        own = toxic == y
-        if own.any():
-            count[own] *= part / count[own].sum()
-    none = voters.names.index("any_term")
+    work.drop("pairs", "picked")
+    n, three = moments(docs, voters)
+    model = fit_label_model(n, three, 0.05 if prior is None else prior)
+    v, none = len(voters.names), voters.names.index("any_term")
+    x, weight = unlabelled(docs, voters, n, float(three[none, none, none]), each=each)
+    if not len(x):
+        x, weight = voters.features(None)[None], np.ones(1)
     posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(x[:, :v], none), -30, 30)))
-    coef, bias = _logistic(x, posterior, count / count.sum() * 4000)
+    coef, bias = _logistic(x, posterior, weight / weight.sum() * 4000)
     return Model(voters, model, coef, bias)
 
 
@@ -313,13 +380,14 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """(doc_id, held_out, score, predicted) for every row, from its whole text alone.
 
     Null and empty texts have no votes and get the score of that. A null id counts as held out. Repeated
-    rows each give a row, an empty table none; other columns are ignored.
+    rows each give a row, an empty table none; other columns are ignored. A very long text is one set of words,
+    read whole. Ids must be numbers.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.voters.vote(t.as_py()) for t in batch.column(2)]).reshape(-1, len(model.coef))
+            x = np.array([model.voters.features(t.as_py()) for t in batch.column(2)]).reshape(-1, len(model.coef))
             p = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -335,7 +403,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.voters.vote(t.as_py()) for t in batch.column(at)]).reshape(-1, len(model.coef))
+            x = np.array([model.voters.features(t.as_py()) for t in batch.column(at)]).reshape(-1, len(model.coef))
             yield batch.filter(pa.array(model.score(x) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

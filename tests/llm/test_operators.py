@@ -347,9 +347,72 @@ def test_label_model_finds_accuracies():
     a, b = np.array([0.5, 0.6, 0.4, 0.7, 0.3]), np.array([0.02, 0.05, 0.01, 0.03, 0.02])
     x = (r.random((n, 5)) < np.where(y[:, None], a, b)).astype(float)
     x = np.hstack([x, x[:, :1]])  # a copy of the first voter
-    m = toxicity.fit_label_model(n, x.sum(0), x.T @ x, p)
+    m = toxicity.fit_label_model(n, toxicity.triples(x), p)
     assert np.abs(m.on_toxic[1:5] - a[1:]).max() < 0.08 and np.abs(m.on_clean[1:5] - b[1:]).max() < 0.02
-    assert m.correlated[0, 5] and m.weight[0] < 0.7 < m.weight[3]
+    assert m.correlated[0, 5] and {int(m.parents[0]), int(m.parents[5])} == {-1, 5} or {int(m.parents[0]), int(m.parents[5])} == {-1, 0}
+    child = 0 if m.parents[0] >= 0 else 5
+    assert abs(m.both_toxic[child] - 0.5) < 0.08 and m.both_clean[child] < 0.04
+    one, both = (m.log_odds(np.array([v], float), 0)[0] for v in ([1, 0, 0, 0, 0, 0], [1, 0, 0, 0, 0, 1]))
+    assert abs(both - one) < 0.5  # a copy of a voter adds nothing
+
+
+def test_label_model_moments_are_those_of_all_texts(spark, docs):
+    voters = toxicity.Voters({"the": 0, "ach*": 1}, 2)
+    n, three = toxicity.moments(docs, voters)
+    x = np.array([voters.vote(r.text)[: len(voters.names)] for r in docs.collect()])
+    assert n == len(x) and np.array_equal(three, np.einsum("ni,nj,nk->ijk", x, x, x))
+
+
+def toxic_table(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(30)) + (f" vile{i % 3} moron nasty{i % 5}" if i % 10 == 0 else "")) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return docs, [(i, 1, int(i % 10 == 0)) for i, _ in rows]
+
+
+def test_toxicity_by_hand_and_blind_to_the_held_out_fold(spark):
+    docs, rows = toxic_table(spark)
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for i, text in docs.collect():
+        z = float(model.voters.features(text) @ model.coef + model.bias)
+        assert got[i].held_out == held(i) and abs(got[i].score - 1 / (1 + math.exp(-z))) < 1e-9 and got[i].predicted == (got[i].score >= 0.3)
+        assert got[i].predicted == (i % 10 == 0)
+    wrong = spark.createDataFrame([(i, q, 1 - t if held(i) else t) for i, q, t in rows], "doc_id long, quality int, toxic int")
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("source", F.lit("s"))
+    again = {r.doc_id: r.score for r in toxicity.score(other, toxicity.learn(other, wrong)).collect()}
+    assert all(abs(again[i] - r.score) < 1e-6 for i, r in got.items())
+
+
+def test_samples_keep_rare_classes_and_languages(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 300 == 0, F.concat(F.lit("rare words "), F.col("id").cast("string"), F.lit(" are here"))).otherwise("copy of one text").alias("text"), F.when(F.col("id") % 300 == 0, "en").otherwise("es").alias("lang"))
+    model = language_id.learn(docs)
+    assert model.languages == ["es", "en"] and model.dictionaries[0] == b"copy of one text"
+    few = language_id.learn(docs, documents=1, most_documents=1)
+    assert sorted(few.languages) == ["en", "es"]
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("lang") == "en").cast("int").alias("toxic"))
+    drawn = toxicity.sample(docs, labels, per_class=1, folds=4, held_out=2, work=Workspace(spark, "t")).groupBy("toxic").count().collect()
+    assert {r.toxic for r in drawn} == {0, 1}
+
+
+def test_language_parts_are_not_prefixes(spark):
+    same = "same opening words " * 100
+    docs = spark.createDataFrame([(i, same + f"tail{i} " * 400, "en") for i in range(1, 40)], "doc_id long, text string, lang string")
+    assert b"tail" in language_id.learn(docs, part_chars=200).dictionaries[0]
+
+
+def test_language_by_hand(spark, docs):
+    import zstandard as z
+
+    model = language_id.learn(docs)
+    rows = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        raw = language_id.letters(r.text)
+        sizes = [sum(len(z.ZstdCompressor(level=9, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[i : i + 4096])) for i in range(0, len(raw), 4096)) for d in model.dictionaries]
+        assert rows[r.doc_id].lang_pred == (model.languages[int(np.argmin(sizes))] if raw else "und")
 
 
 # near-duplicates
