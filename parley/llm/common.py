@@ -64,11 +64,13 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, *,
     """``left`` joined to ``right`` on ``keys``, with no key's rows gathered in one task.
 
     ``right`` has each key once with ``n_col``, how many of the ``total`` rows of ``left`` hold it (or more). At most
-    1 / ``share`` keys can each hold more than that share, so those are broadcast; the rest are shuffled. ``left``
+    1 / ``share`` keys can each hold more than that share, so those are broadcast; the rest are shuffled. Both sides
     should be cheap to read twice. ``how`` is inner or left.
     """
     many = F.col(n_col) > F.lit(max(total * share, 1000.0))
     hot, cold = right.where(many).drop(n_col), right.where(~many).drop(n_col)
+    if not hot.limit(1).count():
+        return left.join(right.drop(n_col), keys, how)
     bare = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return left.join(F.broadcast(hot), keys).unionByName(bare.join(cold, keys, how))
 

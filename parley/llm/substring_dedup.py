@@ -1,13 +1,14 @@
 """Removal of passages that repeat across documents, by level-wise doubling.
 
-Windows of half the length come first. Only one per stretch is kept: the least hash among the half
-windows inside each full window, a choice that equal windows make alike. Half windows found in one
-document alone go; the others are extended to windows of the full length, and of these the ones
-that still repeat are the result. Exact copies of a text are one class from the start, so a group
-of copies costs one document's windows.
-
-Hashes are polynomials over word hashes, 64 bits for half windows (a collision only costs work) and
-128 bits for full windows, which are taken as equal when these are.
+Lengths double from a base to the full window (13, 25 and 50 words). At each level every surviving full
+window names one window of that length inside it, the least by hash, a choice that equal windows make
+alike. Those found in one document alone fall out, and with them the full windows that named them; the
+others are extended to twice the length. It ends when no candidates survive, or with the full windows
+that repeat. Exact copies of a text are one class from the start, so a group of copies costs one
+document's windows.
+
+Hashes are polynomials over word hashes, 64 bits on the way (a collision only costs work) and 128 bits
+for full windows, which are taken as equal when these are.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, release
+from .common import Workspace, join_hot, release
 
-WINDOW = 50
+WINDOW, BASE = 50, 13
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers
 
 
@@ -76,9 +77,17 @@ class Hasher:
         return _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def chosen(half: np.ndarray, span: int) -> np.ndarray:
-    """For every full window, the start of its least half window; the first of equals."""
-    return np.arange(len(half) - span + 1) + sliding_window_view(half, span).argmin(axis=1)
+def lengths(window: int, base: int) -> list[int]:
+    """The levels: ``window`` halved, rounding up, until it is ``base`` or less."""
+    out = [window]
+    while out[0] > base:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def chosen(hashes: np.ndarray, span: int) -> np.ndarray:
+    """For every full window, the start of its least window of a level; the first of equals."""
+    return np.arange(len(hashes) - span + 1) + sliding_window_view(hashes, span).argmin(axis=1)
 
 
 def _words(text) -> list[bytes]:
@@ -92,72 +101,90 @@ def _lists(rows: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(kind)))
 
 
-def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, starts): the windows of each text that also start in a document with a smaller id.
+def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
+    """(doc_id, tag, starts, copy): the windows of each text that also start in a document with a smaller id.
 
-    ``tag`` tells texts under one id apart. ``starts`` is null where the whole text is an exact copy
-    of one under a smaller id. Rows with a null id take no part. The table is written and small.
+    ``tag`` tells texts under one id apart. ``starts`` is null and ``copy`` true where the whole text is an exact
+    copy of one under a smaller id. Rows with a null id take no part. The table is written and small.
     """
-    half = -(-window // 2)
-    span = window - half + 1
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    tag = F.hash("text").alias("tag")
+    if window < 2:
+        raise ValueError("a window has two words or more")
+    levels = lengths(window, min(base, window - 1))  # the full window is never the base: it takes both hashes
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    rows = rows.select("doc_id", F.hash("text").alias("tag"), F.col("text").cast("binary").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
+        h, length = Hasher(), levels[0]
         for batch in batches:
             at, got = [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 ws = _words(text)
-                p = np.empty(0, np.int64)
-                g = np.empty(0, np.uint64)
+                p, g = np.empty(0, np.int64), np.empty(0, np.uint64)
                 if len(ws) >= window:
-                    g = h.windows(h.words(ws), half)
-                    p = np.unique(chosen(g, span))
+                    g = h.windows(h.words(ws), length)
+                    p = np.unique(chosen(g, window - length + 1))
                     g = g[p]
                 at.append(p)
                 got.append(g.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(at, np.int32), _lists(got, np.int64)], ["doc_id", "content", "at", "h"])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
-        for batch in batches:
-            for doc, tag, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                ws = _words(text)
-                if len(ws) < window:
-                    continue
-                x = h.words(ws)
-                pick = chosen(h.windows(x, half), span)
-                s = np.flatnonzero(np.isin(pick, known.values.to_numpy()))
-                if len(s):
-                    a, b = (h.windows(x, window, k)[s].view(np.int64) for k in (0, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), tag, np.int32)), pa.array(s.astype(np.int32))], ["a", "b", "doc_id", "tag", "at"])
-
-    content = F.unhex(F.md5(F.col("text").cast("binary")))
-    whole = work.put(base.select("doc_id", content, F.col("text").cast("binary")).mapInArrow(anchors, "doc_id long, content binary, at array<int>, h array<long>").where(F.size("at") > 0), "anchors")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(at, np.int32), _lists(got, np.int64)], ["doc_id", "tag", "content", "at", "h"])
+
+    def extend(before: int, length: int):
+        """The windows of ``length`` named by full windows whose window of the level before is known to repeat."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = Hasher()
+            for batch in batches:
+                for doc, tag, text, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                    ws = _words(text)
+                    if len(ws) < window:
+                        continue
+                    x = h.words(ws)
+                    named = chosen(h.windows(x, before), window - before + 1)
+                    s = np.flatnonzero(np.isin(named, known.values.to_numpy()))
+                    if not len(s):
+                        continue
+                    a = h.windows(x, length)
+                    s = np.unique(chosen(a, window - length + 1)[s])
+                    b = h.windows(x, length, 1)[s] if length == window else np.zeros(len(s), np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[s].view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), tag, np.int32)), pa.array(s.astype(np.int32))], ["a", "b", "doc_id", "tag", "at"])
+
+        return run
+
+    content = F.unhex(F.md5("text")).alias("content")
+    whole = work.put(rows.select("doc_id", "tag", content, "text").mapInArrow(anchors, "doc_id long, tag int, content binary, at array<int>, h array<long>").where(F.size("at") > 0), "anchors")
     classes = work.put(whole.groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    joined = whole.join(classes.withColumnRenamed("content", "c"), F.col("content") == F.col("c"))
-    level = work.put(joined.where("doc_id = first").select("doc_id", F.explode(F.arrays_zip("at", "h")).alias("z")).select("doc_id", "z.at", "z.h"), "half")
-    work.drop("anchors")
-    again = work.put(level.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("k")), "again")
-    known = work.put(level.join(again, F.col("h") == F.col("k")).groupBy("doc_id").agg(F.collect_set("at").alias("known")), "known")
-    work.drop("half", "again")
-    release(docs.sparkSession)
-    near = base.join(known.withColumnRenamed("doc_id", "k"), F.col("doc_id") == F.col("k")).select("doc_id", tag, F.col("text").cast("binary"), "known")
-    full = work.put(near.mapInArrow(extend, "a long, b long, doc_id long, tag int, at int"), "full")
-    work.drop("known")
-    release(docs.sparkSession)
-    first = work.put(full.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("ka"), F.col("b").alias("kb"), "lo"), "first")
-    later = full.join(first, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb"))).where("doc_id > lo")
-    marked = work.put(later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts")), "marked")
-    work.drop("full", "first")
-    copied = classes.where("n > 1").select(F.col("content").alias("c"), "first")
-    copies = base.select("doc_id", content.alias("content"), tag).join(copied, F.col("content") == F.col("c")).where("doc_id > first").select("doc_id", "tag").distinct()
+    n_whole = whole.count()
+    firsts = join_hot(whole, classes, ["content"], n_whole).where("doc_id = first")
+    level = firsts.select("doc_id", "tag", F.explode(F.arrays_zip("at", "h")).alias("z")).select(F.col("z.h").alias("a"), F.lit(0).cast("long").alias("b"), "doc_id", "tag", "z.at")
+    level = work.put(level, "level0")
+    crowded = work.put(whole.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > F.lit(max(n_whole * 1e-4, 1000.0))), "crowded")
+    for k, length in enumerate(levels):
+        again = level.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+        again = work.put(again, f"again{k}")
+        if length == window:
+            break
+        known = join_hot(level.drop("tag"), again, ["a", "b"], level.count()).groupBy("doc_id").agg(F.collect_set("at").alias("known"))
+        known = work.put(known.join(F.broadcast(crowded), "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(1))), f"known{k}")
+        work.drop(f"level{k}", f"again{k}")
+        release(docs.sparkSession)
+        if not known.limit(1).count():  # no candidates survive
+            break
+        near = join_hot(rows, known, ["doc_id"], n_whole).select("doc_id", "tag", "text", "known")
+        level = work.put(near.mapInArrow(extend(length, levels[k + 1]), "a long, b long, doc_id long, tag int, at int"), f"level{k + 1}")
+        work.drop(f"known{k}")
+        release(docs.sparkSession)
+    if length == window:
+        later = join_hot(level, again, ["a", "b"], level.count()).where("doc_id > lo")
+        marked = work.put(later.groupBy("doc_id", "tag").agg(F.collect_set("at").alias("starts")), "marked")
+        work.drop(f"level{len(levels) - 1}", f"again{len(levels) - 1}")
+    else:
+        marked = docs.sparkSession.createDataFrame([], "doc_id long, tag int, starts array<int>")
+    copies = join_hot(whole.select("doc_id", "tag", "content"), classes.where("n > 1"), ["content"], n_whole).where("doc_id > first").select("doc_id", "tag").distinct()
     copies = work.put(copies, "copies")
     # a copy may share its id with a text that was extended, and then has windows too
     marked = marked.join(copies, ["doc_id", "tag"], "left_anti")
     copies = copies.withColumn("starts", F.lit(None).cast("array<int>")).withColumn("copy", F.lit(True))
-    work.drop("classes")
+    work.drop("anchors", "classes", "crowded")
     release(docs.sparkSession)
     return marked.withColumn("copy", F.lit(False)).unionByName(copies)
 
@@ -186,17 +213,18 @@ def _with_marks(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     return docs.join(right, same, "left").drop("__d", "__t")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for every row.
 
     A word goes if a window of ``window`` consecutive words covers it whose words also start in a
     document with a smaller id; all windows are judged on the input. Null and blank texts have no
     words. Rows with a null id lose nothing and count as no one's earlier copy; rows with the same
     id are not earlier than each other. Repeated rows each give a row, an empty table none; other
-    columns are ignored.
+    columns are ignored. A very long text is one row, read whole; it must fit in a task's memory. Ids must
+    be numbers.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = repeats(base, Workspace(docs.sparkSession, "substring"), window=window)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found = repeats(rows, Workspace(docs.sparkSession, "substring"), window=window, base=base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +237,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 sha.append(hashlib.sha256(b" ".join(left)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    marked = _with_marks(base, found, "doc_id", "text").select("doc_id", F.col("text").cast("binary"), "__starts", "__copy")
+    marked = _with_marks(rows, found, "doc_id", "text").select("doc_id", F.col("text").cast("binary"), "__starts", "__copy")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

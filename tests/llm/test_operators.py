@@ -266,8 +266,28 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [7, 8, 50])
-def test_substring_against_brute_force(spark, window):
+def test_substring_levels():
+    assert substring_dedup.lengths(50, 13) == [13, 25, 50] and substring_dedup.lengths(50, 7) == [7, 13, 25, 50] and substring_dedup.lengths(7, 6) == [4, 7]
+
+
+def test_substring_ends_when_no_candidate_survives(spark):
+    df = spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(120))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0}
+    part = " ".join(f"p{k}" for k in range(40))  # repeats at 13 and 25 words, not at 50
+    df = spark.createDataFrame([(i, f"{part} " + " ".join(f"{i}w{k}" for k in range(120))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0}
+
+
+def test_substring_passage_in_every_text(spark):
+    part = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{i} a{i} {part} b{i}") for i in range(3000)] + [(7, f"another text under one id {part}")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter(tuple(x) for x in substring_dedup.remove_repeats(df).collect())
+    assert got == removed([(i, t.encode().split()) for i, t in rows], 50)
+
+
+@pytest.mark.parametrize("window, base", [(7, 13), (8, 2), (50, 13), (50, 7), (50, 49)])
+def test_substring_against_brute_force(spark, window, base):
     r = random.Random(window)
     passages = [[r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(window - 2, 3 * window))] for _ in range(6)]
     texts = []
@@ -280,7 +300,7 @@ def test_substring_against_brute_force(spark, window):
         texts.append(" ".join(ws))
     rows = [(r.choice([*range(50), None]), t) for t in texts + texts[:10]] + [(99, "a " * 300), (98, "a " * 300), (97, None), (96, " \t\n")]
     df = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, starts int, tag string")
-    got = Counter(tuple(x) for x in substring_dedup.remove_repeats(df, window=window).collect())
+    got = Counter(tuple(x) for x in substring_dedup.remove_repeats(df, window=window, base=base).collect())
     assert got == removed([(i, (t or "").encode().split()) for i, t in rows], window)
 
 
