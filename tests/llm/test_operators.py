@@ -541,7 +541,7 @@ def test_top_k(spark):
     r = np.random.default_rng(7)
     rows = [(i, [round(float(x), 3) for x in r.normal(size=8)]) for i in range(700)]
     rows += [(1000 + i, rows[i % 7][1]) for i in range(40)] + odd_vectors()
-    got = {tuple(x) for x in topk.top_k(vectors(spark, rows), candidate_block=150, query_block=6).collect()}
+    got = {tuple(x) for x in topk.top_k(vectors(spark, rows), candidate_block=150, query_bytes=900, sample_rows=60).collect()}
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = set()
     for i, q in ok:
