@@ -71,29 +71,43 @@ def best_pairs(matrix: np.ndarray, maximize: bool) -> tuple[float, list[tuple[in
     return float(sum(matrix[i, j] for i, j in pairs)), pairs
 
 
+def _rows(table: np.ndarray, x: np.ndarray, y: np.ndarray, first: int) -> None:
+    """Fill an edit-distance table below its first row, which is row ``first`` of the whole."""
+    step = np.arange(len(y) + 1, dtype=np.int32)
+    for i, w in enumerate(x):
+        best = np.minimum(table[i, 1:] + 1, table[i, :-1] + (y != w))
+        table[i + 1] = np.minimum.accumulate(np.concatenate(([first + i + 1], best)) - step) + step
+
+
 def align(ref: list, hyp: list) -> list[tuple[int, int]]:
     """Equal and substituted position pairs of one minimal alignment.
 
     Traced from the end; where several moves are minimal, a match or substitution goes before a
-    deletion, and a deletion before an insertion.
+    deletion, and a deletion before an insertion. Only every sqrt(n)-th row of the table is kept, and the rows
+    between two of them are made again when the trace gets there, so memory grows with n to the power of 1.5.
     """
     n, m = len(ref), len(hyp)
     ids = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     x, y = (np.fromiter(map(ids.__getitem__, s), np.int64, len(s)) for s in (ref, hyp))
-    step = np.arange(m + 1, dtype=np.int32)
-    table = np.empty((n + 1, m + 1), np.int32)
-    table[0] = step
-    for i in range(n):
-        best = np.minimum(table[i, 1:] + 1, table[i, :-1] + (y != x[i]))
-        table[i + 1] = np.minimum.accumulate(np.concatenate(([i + 1], best)) - step) + step
+    stride = max(1, int(np.sqrt(n)))
+    kept = {0: np.arange(m + 1, dtype=np.int32)}
+    table = np.empty((stride + 1, m + 1), np.int32)
+    for at in range(0, n - stride, stride):
+        table[0] = kept[at]
+        _rows(table, x[at : at + stride], y, at)
+        kept[at + stride] = table[stride].copy()
     out, i, j = [], n, m
     while i and j:
-        here = table[i, j]
-        if here == table[i - 1, j - 1] + (x[i - 1] != y[j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif here == table[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
+        at = (i - 1) // stride * stride
+        table[0] = kept[at]
+        _rows(table[: i - at + 1], x[at:i], y, at)
+        while i > at and j:
+            here, above = table[i - at, j], table[i - at - 1]
+            if here == above[j - 1] + (x[i - 1] != y[j - 1]):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif here == above[j] + 1:
+                i -= 1
+            else:
+                j -= 1
     return out[::-1]

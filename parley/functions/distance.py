@@ -27,9 +27,11 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     """Unit-cost Levenshtein distance of two word arrays of at most 1,048,576 distinct words between them.
 
     Words become characters, so the JVM's string distance does the work; equal and empty sides skip it. The
-    vocabulary is bound once for a row.
+    vocabulary is bound once for a row. A pair with more words is an error, not a wrong distance: ``edit_distance``
+    has no such limit.
     """
-    bound = F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), lambda v: F.levenshtein(_spelled(ref, v), _spelled(hyp, v)))
+    room = F.lit(f"more than {ROOM} distinct words in a pair of texts")
+    bound = F.transform(F.array(F.array_distinct(F.concat(ref, hyp))), lambda v: F.when(F.size(v) > ROOM, F.raise_error(room).cast("int")).otherwise(F.levenshtein(_spelled(ref, v), _spelled(hyp, v))))
     return F.when(ref == hyp, F.lit(0)).when(F.size(ref) == 0, F.size(hyp)).when(F.size(hyp) == 0, F.size(ref)).otherwise(F.get(bound, F.lit(0)))
 
 

@@ -15,6 +15,8 @@ TAGS = r"(?s)\[.*?\]|<.*?>"
 GLOSSES = r"(?s)\(.*?\)"
 NOT_KEPT = r"[^\p{L}\p{M}\p{N}\p{Z}]"
 SPACE = r"[\s\p{Z}]+"
+#: Below U+0300 every character is composed and stays as it is.
+MAY_COMPOSE = r"[^\x{0}-\x{2FF}]"
 
 
 @F.pandas_udf(StringType())
@@ -23,11 +25,16 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def compose(df: DataFrame, column: str) -> DataFrame:
-    """Canonical composition of ``column``. Only rows with non-ASCII text go through the Arrow UDF."""
-    odd = F.coalesce(F.col(column).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    """Canonical composition (NFC) of ``column``. Only rows that it may change go through the Arrow UDF."""
+    odd = F.coalesce(F.col(column).rlike(MAY_COMPOSE), F.lit(False))
     return df.where(~odd).unionByName(df.where(odd).withColumn(column, _nfc(column)))
 
 
+def composed(text: Column) -> Column:
+    """The same as a column: texts that composition cannot change reach the UDF as nulls."""
+    return F.coalesce(_nfc(F.when(text.rlike(MAY_COMPOSE), text)), text)
+
+
 def strip_tags(text: Column) -> Column:
     """Bracketed and angle-bracketed marks become a space; an unclosed one stays."""
     return F.regexp_replace(text, TAGS, " ")
@@ -52,8 +59,8 @@ def collapse_space(text: Column) -> Column:
 
 
 def normalize(text: Column, remove_glosses: bool = True) -> Column:
-    """All steps but composition, in order; null gives the empty string. Compose first where it matters."""
-    t = strip_tags(F.coalesce(text, F.lit("")))
+    """All steps in order, composition first; null gives the empty string."""
+    t = strip_tags(F.coalesce(composed(text), F.lit("")))
     if remove_glosses:
         t = strip_glosses(t)
     return collapse_space(keep_word_characters(F.lower(drop_zero_width(t))))

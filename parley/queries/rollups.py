@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
@@ -260,16 +260,33 @@ def l12_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(synth.specifications(spark))
 
 
+# What the two sides of a synthetic call say, with slots.
+SAID = [
+    (0, 0, "Good morning, this is the service desk for {name}."),
+    (0, 1, "May I have your reference number, please?"),
+    (0, 2, "I see here that the last instalment of your plan is {days} days late, is that right?"),
+    (0, 3, "Thank you for telling me."),
+    (0, 4, "We could split the amount into three parts, the first of which would be due at the end of this month."),
+    (0, 5, "Would {days} days be enough for you to arrange it?"),
+    (0, 6, "I understand, and I will note that in your file so that nobody else from {name} has to ask you again."),
+    (0, 7, "Let me repeat what we have agreed on before we end the call."),
+    (1, 0, "Hello, yes, speaking."),
+    (1, 1, "I wrote to {name} about this two weeks ago and nobody has answered me since."),
+    (1, 2, "Just a moment, I have to look for it."),
+    (1, 3, "That is true, my salary came {days} days late this time and so did everything else."),
+    (1, 4, "No, that will not work."),
+    (1, 5, "If I pay the first part on Friday, can the rest wait until after the holidays?"),
+    (1, 6, "All right, {days} days is fine with me."),
+    (1, 7, "Please send me that in writing, because the last person I talked to at {name} promised it and then did not do it."),
+]
+
+
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns to draw from: the users' and the assistants', as the two sides of a call, numbered by id."""
-    from pyspark.sql import Window
-
-    t = views.turns(spark, sf_dir).where((F.col("speaker") != "system") & (F.col("n_words") > 3))
-    side = F.when(F.col("speaker") == "user", 0).otherwise(1)
-    cut = F.slice("words", 1, 24)
-    few = t.select(side.alias("side"), F.array_join(cut, " ").alias("text"), (F.size(cut) * views.WORD_MS).cast("long").alias("dur_ms"), "sample_id", "turn_idx").where("sample_id < 200")
-    at = F.row_number().over(Window.partitionBy("side").orderBy("sample_id", "turn_idx")) - 1
-    return few.select("side", at.alias("pos"), "text", "dur_ms").where("pos < 60")
+    """What either side may say: fixed templates with every nation as a slot, numbered by side."""
+    slots = views.read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("days"))
+    said = synth.expand_templates(spark.createDataFrame(SAID, "side int, k int, template string"), slots)
+    at = F.row_number().over(Window.partitionBy("side").orderBy("days", "k")) - 1
+    return said.select("side", at.alias("pos"), "text", (F.size(F.split("text", " ")) * views.WORD_MS).cast("long").alias("dur_ms"))
 
 
 @query()

@@ -2,7 +2,7 @@
 
 
 def norm(x: str, glosses: bool = True) -> str:
-    t = f"regexp_replace(coalesce({x}, ''), '(?s)\\[.*?\\]|<.*?>', ' ', 'g')"
+    t = f"regexp_replace(nfc_normalize(coalesce({x}, '')), '(?s)\\[.*?\\]|<.*?>', ' ', 'g')"
     if glosses:
         t = f"regexp_replace({t}, '(?s)\\(.*?\\)', ' ', 'g')"
     t = f"lower(regexp_replace({t}, '[\\x{{200b}}-\\x{{200f}}\\x{{feff}}]', '', 'g'))"
