@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +129,28 @@ def stitch(parts: DataFrame, key: str = "sample_id") -> DataFrame:
     return a.join(b, [key, "window", "turn_idx"]).groupBy(key, "window", "before", "after").agg(F.count("*").alias("n"))
 
 
+def renamed(parts: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, window, turn_idx, speaker): windows' turns under the names of the first window.
+
+    The assignment of ``stitch``'s votes gives each window's labels those of the window before, and so on back; a
+    label without votes keeps its own name. A sample has as many assignments as windows but one.
+    """
+    from .scoring import _matrix, assigned
+
+    best = assigned(_matrix(stitch(parts, key), [key, "window"], "after", "before", "n"), [key, "window"], True)
+    kind = dict(parts.dtypes)[key]
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        names: dict[tuple[int, str], str] = {}
+        for _, w, own, before in pdf.sort_values("window").itertuples(index=False):
+            names |= {(w, a): names.get((w - 1, b), b) for a, b in zip(own, before, strict=True)}
+        return pd.DataFrame([(pdf[key].iloc[0], w, a, b) for (w, a), b in names.items()], columns=["__k", "__w", "__a", "__b"])
+
+    names = best.select(key, "window", F.col("rows").alias("own"), F.col("cols").alias("before")).groupBy(key).applyInPandas(chain, f"__k {kind}, __w int, __a string, __b string")
+    same = (F.col(key) == F.col("__k")) & (F.col("window") == F.col("__w")) & (F.col("speaker") == F.col("__a"))
+    return parts.join(names, same, "left").select(key, "window", "turn_idx", F.coalesce("__b", "speaker").alias("speaker"))
+
+
 def runaway(output_words: Column, expected_words: Column, factor: float = 4.0) -> Column:
     """Output far longer than expected: a repetition loop."""
     return output_words > expected_words * factor

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +73,17 @@ def audio_path(path: Column, file: Column, sample: Column) -> Column:
     return F.coalesce(set_(path), set_(file), F.concat(F.lit("audio/"), sample.cast("string"), F.lit(".wav")))
 
 
+def is_missing(error: Exception) -> bool:
+    """Whether a read failed because its path isn't there, and for no other reason."""
+    condition = getattr(error, "getCondition", lambda: None)() or ""
+    return condition.startswith("PATH_NOT_FOUND")
+
+
 def tolerant(spark: SparkSession, path: str, schema) -> DataFrame:
-    """JSON records of a path, or no rows if it is missing or cannot be read."""
+    """JSON records of a path; none if it is missing, and none from records that cannot be parsed. Other failures are raised."""
     try:
-        df = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-        df.limit(1).collect()
-        return df
-    except Exception:  # noqa: BLE001  any failure to read means no records
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return spark.createDataFrame([], schema)

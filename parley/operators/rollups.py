@@ -33,7 +33,7 @@ def macro_summary(scores: DataFrame, by: list[str] | None = None, baseline: str
         return got
     rest = [c for c in by if c != variant]
     own = got.where(F.col(variant) == baseline).select(*rest, F.col("mean_latency").alias("__base"))
-    joined = got.join(own, rest, "left") if rest else got.crossJoin(F.broadcast(own))
+    joined = got.join(own, rest, "left") if rest else got.crossJoin(own)
     return joined.withColumn("speedup", F.when(F.col("mean_latency") > 0, F.col("__base") / F.col("mean_latency"))).drop("__base")
 
 

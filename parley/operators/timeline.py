@@ -103,4 +103,4 @@ def overlap_slice(overlap_pct: Column) -> Column:
 def with_empty_slices(df: DataFrame, dimension: DataFrame, on: list[str]) -> DataFrame:
     """``df`` with a row of zeros for every slice of ``dimension`` (a small table) that it lacks."""
     values = [c for c in df.columns if c not in on]
-    return F.broadcast(dimension).join(df, on, "left").select(*on, *[F.coalesce(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])).alias(c) for c in values])
+    return dimension.join(df, on, "left").select(*on, *[F.coalesce(F.col(c), F.lit(0).cast(dict(df.dtypes)[c])).alias(c) for c in values])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,23 @@ def waits(attempts: int = ATTEMPTS, seed: int | None = None) -> list[float]:
     return [r.uniform(0, min(FIRST_WAIT * 2**i, LONGEST_WAIT)) for i in range(attempts - 1)]
 
 
+def kind_of(error: Exception) -> tuple[str, int | None]:
+    """(kind, code) of an error: by its ``code`` if it carries one, else by its type."""
+    code = getattr(error, "code", None)
+    if isinstance(code, int):
+        return ("server" if code >= 500 else "client"), code
+    kinds = ((TimeoutError, "timeout"), (ConnectionError, "connection"), (OSError, "os"))
+    return next((k for t, k in kinds if isinstance(error, t)), "other"), None
+
+
+def worth_another_try(error: Exception) -> bool:
+    """``is_retryable`` for one error."""
+    kind, code = kind_of(error)
+    if kind == "client":
+        return code in RETRY_CODES or any(p in str(error).lower() for p in RETRY_PHRASES)
+    return kind != "other"
+
+
 class Replay:
     """Recorded replies: a table of (sample_id, stage, raw_response, latency_ms). A missing reply is an error."""
 
@@ -48,9 +66,10 @@ class Replay:
 
 
 class Calls:
-    """A user's function (prompt -> (reply, seconds)), tried again on its own terms, in Arrow batches.
+    """A user's function (prompt -> (reply, seconds)), in Arrow batches, tried again where the error is worth it.
 
-    Time is taken inside the successful try, so waits don't count as latency. A row that fails keeps its error.
+    Time is taken inside the successful try, so waits don't count as latency. A row that fails keeps its error and
+    doesn't disturb the others. The waits' jitter depends on the prompt.
     """
 
     def __init__(self, function: Callable[[str], tuple[str, float]], attempts: int = ATTEMPTS, sleep: Callable[[float], None] | None = None):
@@ -64,14 +83,16 @@ class Calls:
                 out = []
                 for prompt in pdf["prompt"]:
                     reply = (None, None, "never tried")
-                    for wait in [*waits(attempts, 0), 0.0]:
+                    for wait in [*waits(attempts, crc32(prompt.encode())), None]:
                         try:
                             text, seconds = function(prompt)
                             reply = (text, int(round(seconds * 1000)), None)
                             break
                         except Exception as e:  # noqa: BLE001  the row carries what went wrong
                             reply = (None, None, f"{type(e).__name__}: {e}")
-                            if sleep:
+                            if not worth_another_try(e):
+                                break
+                            if sleep and wait is not None:
                                 sleep(wait)
                     out.append(reply)
                 yield pdf.assign(raw_response=[o[0] for o in out], latency_ms=pd.array([o[1] for o in out], "Int64"), error=[o[2] for o in out])

@@ -233,6 +233,11 @@ def j03_critique_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("sample_id", prompts.critique(F.col("turns"), F.col("turns")).alias("prompt"))
 
 
+@query("""SELECT conv_id, turn, 'This prompt is in use:' || chr(10) || role || chr(10) || chr(10) || 'Its replies fall short here:' || chr(10) || text || chr(10) || chr(10) || 'Write an improved prompt, whole, and nothing else.' AS prompt FROM conversations""")
+def j03_mutation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.mutation(F.col("role"), F.col("text")).alias("prompt"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN length(trim(text)) > 100 THEN trim(text) ELSE 'before' END AS prompt FROM conversations")
 def j04_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.read(spark, sf_dir, "conversations")

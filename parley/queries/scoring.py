@@ -366,11 +366,24 @@ def f11_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM wd w JOIN turns t ON t.sample_id = w.sample_id AND t.start_ms < w."window" * 105000 + 120000 AND t.end_ms > w."window" * 105000)
     SELECT b.sample_id, b."window", a.speaker AS before, b.speaker AS after, count(*) AS n FROM wt a JOIN wt b ON a.sample_id = b.sample_id AND a.turn_idx = b.turn_idx AND b."window" = a."window" + 1 GROUP BY ALL""")
 def f11_stitch_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gating.stitch(window_turns(spark, sf_dir))
+
+
+def window_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of every window they reach into; odd windows call the speakers by other names."""
     w = gating.windows(views.samples(spark, sf_dir)).select(F.col("sample_id").alias("s"), "window", "from_ms")
     t = views.turns(spark, sf_dir)
     inside = (F.col("s") == t.sample_id) & (t.start_ms < F.col("from_ms") + 120_000) & (t.end_ms > F.col("from_ms"))
-    parts = t.join(w, inside).select("sample_id", "window", "turn_idx", F.when(F.col("window") % 2 == 0, F.col("speaker")).otherwise(F.concat(F.lit("x"), "speaker")).alias("speaker"))
-    return gating.stitch(parts)
+    return t.join(w, inside).select("sample_id", "window", "turn_idx", F.when(F.col("window") % 2 == 0, F.col("speaker")).otherwise(F.concat(F.lit("x"), "speaker")).alias("speaker"))
+
+
+@query(f""", {WINDOWS}, wt AS (SELECT w.sample_id, w."window" AS k, t.turn_idx, t.speaker FROM wd w JOIN turns t ON t.sample_id = w.sample_id AND t.start_ms < w."window" * 105000 + 120000 AND t.end_ms > w."window" * 105000),
+    linked AS (SELECT DISTINCT b.sample_id, b.k, b.speaker, true AS goes_on FROM wt a JOIN wt b ON a.sample_id = b.sample_id AND a.turn_idx = b.turn_idx AND b.k = a.k + 1),
+    named AS (SELECT sample_id, k, speaker, max(CASE WHEN goes_on IS NULL THEN k END) OVER (PARTITION BY sample_id, speaker ORDER BY k) AS since
+              FROM (SELECT DISTINCT sample_id, k, speaker FROM wt) LEFT JOIN linked USING (sample_id, k, speaker))
+    SELECT sample_id, k AS "window", turn_idx, CASE WHEN since % 2 = 0 THEN speaker ELSE 'x' || speaker END AS speaker FROM wt JOIN named USING (sample_id, k, speaker)""")
+def f11_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gating.renamed(window_turns(spark, sf_dir))
 
 
 @query("SELECT h.sample_id, h.strategy, sum(len(h.words)) > 2.5 * sum(t.n_words) AS runaway FROM hyps h JOIN turns t USING (sample_id, turn_idx) GROUP BY ALL")
@@ -396,6 +409,34 @@ def played(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return turns.select("sample_id", "turn_idx", "speaker", "text")
 
 
+LISTING = "CASE n WHEN 1 THEN 'Speaker 0' WHEN 2 THEN 'Speaker 0, Speaker 1' WHEN 3 THEN 'Speaker 0, Speaker 1, Speaker 2' ELSE 'Speaker 0, Speaker 1, Speaker 2, Speaker 3' END"
+
+
+def _grammar(s: strategies.Strategy) -> str:
+    return "tri_field" if s.first == "tagged" else s.first
+
+
+#: Every strategy's own advice and format, written out for SQL.
+TEXTS = ", ".join("('" + "', '".join(x.replace("'", "''") for x in (s.name, prompts.FORMATS[_grammar(s)], prompts.ADVICE[s.name])) + "')" for s in strategies.STRATEGIES.values())
+
+
+@query(f""" SELECT sample_id, strategy, 'Transcribe the conversation word by word. ' ||
+      CASE WHEN n = 2 THEN 'Two people talk: Speaker 0 speaks first, Speaker 1 answers.' ELSE n || ' people talk: ' || {LISTING} || '.' END || ' ' || format || ' ' || advice AS prompt,
+      CASE WHEN strategy = 'structured_json' THEN n END AS labels
+    FROM (SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN CASE WHEN sample_id % 2 = 0 THEN 4 ELSE 2 END ELSE num_speakers END AS n FROM samples) CROSS JOIN (VALUES {TEXTS}) t(strategy, format, advice)""")
+def g00_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first request of every strategy. A third of the samples state no count; half of these have a reference to count."""
+    k = F.col("sample_id")
+    s = gate_samples(spark, sf_dir).withColumn("num_speakers", F.when(k % 3 == 0, 0).otherwise(F.col("num_speakers"))).withColumn("ref_speakers", F.when(k % 2 == 0, 4).otherwise(0))
+    labels = lambda c: F.size(F.from_json(F.get_json_object(c, "$.properties.dialogue.items.properties.speaker.enum"), "array<string>"))
+    out = None
+    for x in strategies.STRATEGIES.values():
+        asked = strategies.requests(x, s)
+        one = asked.select("sample_id", F.lit(x.name).alias("strategy"), "prompt", (labels("response_schema") if x.schema else F.lit(None).cast("int")).alias("labels"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(ALL_SAID)
 def g01_single_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return played(spark, sf_dir, "single_step")
@@ -464,6 +505,34 @@ def k01_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorded(spark, sf_dir, s)(requests, "stage1").select("sample_id", F.col("error").isNull().alias("found"))
 
 
+class Refused(Exception):
+    """An error with a code, as a client library raises it."""
+
+    def __init__(self, code: int, message: str):
+        super().__init__(message)
+        self.code = code
+
+
+def unreliable(prompt: str, tried: dict[str, int] = {}) -> tuple[str, float]:  # noqa: B006  counts tries in its worker
+    """A model that refuses some calls once and some always, by the prompt's length."""
+    n = tried[prompt] = tried.get(prompt, 0) + 1
+    if len(prompt) % 5 == 0:
+        raise Refused(400, "bad request")
+    if len(prompt) % 5 == 1 and n % 2:
+        raise Refused(503, "busy")
+    if len(prompt) % 5 == 2 and n % 2:
+        raise TimeoutError("slow")
+    return f"said {len(prompt)}", 0.25
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 'said ' || length(text) END AS raw_response,
+    CAST(CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 250 END AS BIGINT) AS latency_ms, CASE WHEN length(text) % 5 = 0 THEN 'Refused: bad request' END AS error
+    FROM conversations WHERE text IS NOT NULL""")
+def k02_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return backends.Calls(unreliable)(asked, "stage1").select("conv_id", "turn", "raw_response", "latency_ms", "error")
+
+
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN true WHEN 'click' THEN event_id % 1000 IN (429, 500, 502, 503, 504) OR event_id % 7 = 0 ELSE false END AS retry FROM events""")
 def k03_retryable(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.read(spark, sf_dir, "events")

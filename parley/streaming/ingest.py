@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.results import upsert
+from ..operators.results import is_missing, upsert
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 100) -> DataFrame:
@@ -35,10 +36,12 @@ def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "s
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest version, or None before the first."""
+    """The newest version, or None before the first. Any failure but a missing path is raised."""
     try:
         row = spark.read.schema("number long, name string").json(f"{target}/_versions").orderBy(F.col("number").desc()).head()
-    except Exception:  # noqa: BLE001  no version yet
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return None
     return spark.read.parquet(f"{target}/{row['name']}") if row else None
 

@@ -39,7 +39,7 @@ def test_against_sql(spark, db, name):
     assert got == rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLES) - {"l11_second_levels"}))
+@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLES)))
 def test_runs(spark, name):
     assert own.QUERIES[name](spark, DIR).count() > 0
 
