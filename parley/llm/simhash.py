@@ -10,7 +10,7 @@ the candidates and probes that each is expected to cost. Statistics come from al
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, lgamma
+from math import acos, comb, lgamma, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +22,48 @@ from .components import components
 from .grouping import chunk_pairs, spanning, stream_groups
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 3
+MOST_GROUP = 1 << 15
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """64 majority bits over the XXH64 of every word shingle; 0 for no words.
+def sketch(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED, longs: int = 1) -> np.ndarray:
+    """64 x ``longs`` majority bits over the hashes of every word shingle; all 0 for no words.
 
-    ``bytes.lower`` changes A-Z only, and ``bytes.split`` splits at the six ASCII white spaces only.
+    The first 64 are those of XXH64, the others those of hashes mixed from it. ``bytes.lower`` changes A-Z only, and
+    ``bytes.split`` splits at the six ASCII white spaces only.
     """
     from xxhash import xxh64_intdigest as h
 
     ws = text.lower().split() if text else []
     if not ws:
-        return 0
+        return np.zeros(longs, np.uint64)
     n = max(1, len(ws) - words + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        end = min(n, at + (1 << 16))
-        got = np.array([h(b" ".join(ws[i : i + words]), seed) for i in range(at, end)], dtype="<u8")
-        ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    ones = np.zeros(64 * longs, np.int64)
+    for at in range(0, n, 1 << 14):
+        end = min(n, at + (1 << 14))
+        got = np.array([h(b" ".join(ws[i : i + words]), seed) for i in range(at, end)], np.uint64)
+        every = np.stack([got, *(_spread(got + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(1, longs))], axis=1)
+        ones += np.unpackbits(every.astype("<u8").view(np.uint8).reshape(-1, 8 * longs), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").view("<u8").astype(np.uint64)
+
 
+def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The 64 bits of ``sketch``."""
+    return int(sketch(text, words, seed)[0])
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the unsigned fingerprint's bit pattern in a long.
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, also: tuple[str, ...] = (), longs: int = 1) -> DataFrame:
+    """(doc_id, fp, x1, ..) for every row: the bit patterns of ``longs`` times 64 bits in longs.
 
     The long columns ``also`` follow unchanged.
     """
+    names = ["doc_id", "fp", *(f"x{k}" for k in range(1, longs)), *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
+            got = np.array([sketch(t.as_py(), words, seed, longs) for t in batch.column(1)], np.uint64).reshape(-1, longs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(longs)), *batch.columns[2:]], names)
 
-    schema = ", ".join(f"{c} long" for c in ("doc_id", "fp", *also))
+    schema = ", ".join(f"{c} long" for c in names)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"), *also).mapInArrow(run, schema)
 
 
@@ -168,13 +177,15 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """(key, home, node, fp): each fingerprint at its own key in every used group and at the keys near it."""
+def keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int], more: tuple[str, ...] = (), narrow: bool = False) -> DataFrame:
+    """(key, home, node, fp, more..): each fingerprint at its own key in every used group and at the keys near it.
+
+    ``narrow`` gives the keys alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp = batch.column(0), batch.column(1)
-            v = fp.to_numpy().view(np.uint64)
+            v = batch.column(1).to_numpy().view(np.uint64)
             for i, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
                 if t < 0:
                     continue
@@ -182,34 +193,47 @@ def keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> Data
                 for k, b in enumerate(bits):
                     own |= ((v >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
                 for k, mask in enumerate(_masks(len(bits), t)):
-                    key = _spread((own ^ mask) * np.uint64(8) + np.uint64(i) if len(bits) <= 61 else own ^ mask)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(v), k == 0)), node, fp], ["key", "home", "node", "fp"])
+                    key = pa.array(_spread((own ^ mask) * np.uint64(8) + np.uint64(i) if len(bits) <= 61 else own ^ mask).view(np.int64))
+                    if narrow:
+                        yield pa.RecordBatch.from_arrays([key], ["key"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(v), k == 0)), *batch.columns], ["key", "home", "node", "fp", *more])
 
-    return fps.select("node", "fp").mapInArrow(run, "key long, home boolean, node long, fp long")
+    return fps.select("node", "fp", *more).mapInArrow(run, "key long" if narrow else "key long, home boolean, node long, fp long" + "".join(f", {c} long" for c in more))
 
 
-def links(keyed: DataFrame, work: Workspace, *, most_bits: int = MOST_BITS, most_group: int = 1024) -> DataFrame:
+def links(keyed: DataFrame, hot: DataFrame, *, most_bits: int = MOST_BITS, more: tuple[str, ...] = (), most_in_all: int = 0, most_group: int = MOST_GROUP) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints are within ``most_bits``: a spanning set for each group.
 
-    Every pair that shares a key is compared, in blocks; a group of g nodes yields at most g - 1 rows.
+    Where there are ``more`` bits, linked nodes must also be within ``most_in_all`` bits of all together. Every pair
+    that shares a key is compared, in blocks; a group of g nodes yields at most g - 1 rows. ``hot`` has (key, n) of the
+    keys with more than ``most_group`` rows.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(t: pa.Table) -> list[pa.Array] | None:
         home, chunk = t["home"].to_numpy(), t["chunk"].to_numpy()
         node, fp = t["node"].to_numpy(), t["fp"].to_numpy().view(np.uint64)
+        rest = [t[c].to_numpy().view(np.uint64) for c in more]
         across = t["lo"][0].as_py() != t["hi"][0].as_py()
         rows = np.flatnonzero(home)
         found_a, found_b = [], []
-        for at in range(0, len(rows), 512):
-            r = rows[at : at + 512]
-            near = np.bitwise_count(fp[r, None] ^ fp[None, :]) <= most_bits
+        for at in range(0, len(rows), 256):
+            r = rows[at : at + 256]
+            apart = np.bitwise_count(fp[r, None] ^ fp[None, :])
+            near = apart <= most_bits
             if across:
                 near &= chunk[r, None] != chunk[None, :]
             x, y = np.nonzero(near)
             keep = node[r[x]] != node[y]
-            found_a.append(r[x[keep]])
-            found_b.append(y[keep])
+            x, y = x[keep], y[keep]
+            if more and len(x):
+                in_all = apart[x, y].astype(np.int64)
+                for v in rest:
+                    in_all += np.bitwise_count(v[r[x]] ^ v[y])
+                x, y = x[in_all <= most_in_all], y[in_all <= most_in_all]
+            found_a.append(r[x])
+            found_b.append(y)
         a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (found_a, found_b))
         if not len(a):
             return None
@@ -219,36 +243,53 @@ def links(keyed: DataFrame, work: Workspace, *, most_bits: int = MOST_BITS, most
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return stream_groups(batches, ["key", "lo", "hi"], compare, schema)
 
-    hot = work.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most_group), "hot")
-    dealt = chunk_pairs(keyed, hot, salt="fp", most=most_group)
+    dealt = chunk_pairs(keyed, hot, salt="node", most=most_group)
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS) -> DataFrame:
-    """(node, root) of the nodes that link, from a written table (node, fp)."""
+def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS, more: tuple[str, ...] = (), most_in_all: int = 0, most_group: int = MOST_GROUP) -> DataFrame:
+    """(node, root) of the nodes that link, from a written table (node, fp, more..)."""
     n, both = bit_counts(nodes)
     groups, thresholds = plan(n, both, most_bits)
-    keyed = work.put(keys(nodes, groups, thresholds), "keys")
-    edges = work.put(links(keyed, work, most_bits=most_bits), "edges")
-    work.drop("keys", "hot")
+    sizes = keys(nodes, groups, thresholds, narrow=True).groupBy("key").agg(F.count("*").alias("n"))
+    hot = work.put(sizes.where(F.col("n") > most_group), "hot")
+    edges = work.put(links(keys(nodes, groups, thresholds, more), hot, most_bits=most_bits, more=more, most_in_all=most_in_all, most_group=most_group), "edges")
+    work.drop("hot")
     return work.put(components(edges, work), "roots")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+def bits_apart(similarity: float, bits: int) -> int:
+    """How many of ``bits`` bits two texts of that Jaccard similarity differ in, and one standard deviation more.
+
+    Shingle sets of similarity s have a cosine of 2 s / (1 + s), and a bit differs in the share of the angle in pi.
+    """
+    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return int(bits * p + sqrt(bits * p * (1 - p)))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 4, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` but for near copies: one row of each component of linked texts.
 
-    It is the row with the smallest id, a null id coming last; rows that share an id are decided by
-    a hash of all columns. Texts link, not ids: unlike texts under one id, or under none, stay.
+    Texts link at an estimated Jaccard similarity of ``similarity`` or more over shingles of ``words`` words: 64 bits
+    find the candidates, allowing what such texts differ in by expectation and most of their spread, and 64 x ``longs``
+    bits decide. The row that stays is the one with the smallest id, a null id coming last; rows that share an id are
+    decided by a hash of all columns. Texts link, not ids: unlike texts under one id, or under none, stay. All texts
+    without words are one group. Repeated rows are copies; an empty table gives none.
     """
     work = Workspace(docs.sparkSession, "keep_one")
+    more = tuple(f"x{k}" for k in range(1, longs))
     whole = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # the hash skips nulls
     marked = docs.withColumn("__h", F.xxhash64(*whole)).withColumn("__g", F.xxhash64(F.lit(1), *whole))
-    own = work.put(fingerprints(marked, id_col=id_col, text_col=text_col, words=words, seed=seed, also=("__h", "__g")), "own")
-    roots = linked(work.put(own.select(F.col("fp").alias("node"), "fp").distinct(), "nodes"), work, most_bits)
-    rows = own.groupBy("doc_id", "fp", "__h", "__g").agg(F.count("*").alias("n")).join(roots, F.col("fp") == F.col("node"), "left")
-    rows = work.put(rows.select(F.coalesce("root", "fp").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g").alias("row"), "n"), "rows")
-    first = rows.groupBy("root").agg(F.min("row").alias("first")).withColumnRenamed("root", "__root")
-    judged = work.put(rows.join(first, F.col("root") == F.col("__root")).select(F.col("row.__h").alias("__a"), F.col("row.__g").alias("__b"), (F.col("row") == F.col("first")).alias("stays"), "n"), "judged")
+    own = fingerprints(marked, id_col=id_col, text_col=text_col, words=words, seed=seed, also=("__h", "__g"), longs=longs)
+    own = work.put(own.withColumn("node", F.xxhash64("fp", *more)), "own")
+    nodes = work.put(own.select("node", "fp", *more).dropDuplicates(["node"]), "nodes")
+    roots = linked(nodes, work, bits_apart(similarity, 64), more, bits_apart(similarity, 64 * longs))
+    rows = own.groupBy("doc_id", "node", "__h", "__g").agg(F.count("*").alias("n")).join(roots, "node", "left")
+    rows = work.put(rows.select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g").alias("row"), "n"), "rows")
+    first = work.put(rows.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("size")), "firsts")
+    judged = join_hot(rows, first, ["root"], rows.count(), n_col="size")
+    judged = work.put(judged.select(F.col("row.__h").alias("__a"), F.col("row.__g").alias("__b"), (F.col("row") == F.col("first")).alias("stays"), "n"), "judged")
+    work.drop("own", "nodes", "edges", "roots", "rows", "firsts")
     release(docs.sparkSession)
     same = (F.col("__h") == F.col("__a")) & (F.col("__g") == F.col("__b"))
     kept = marked.join(judged.where(~F.col("stays")), same, "left_anti")

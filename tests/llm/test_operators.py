@@ -509,7 +509,8 @@ def test_pigeonhole_finds_all(spark, thresholds):
     assert sum(thresholds) == 3 - len(thresholds) + 1
     df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v.view(np.int64))], "node long, fp long")
     keyed = simhash.keys(df, [b.tolist() for b in bits], list(thresholds))
-    edges = simhash.links(keyed, Workspace(spark, "t"), most_group=16)
+    hot = Workspace(spark, "t").put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 16"), "hot")
+    edges = simhash.links(keyed, hot, most_group=16)
     got = {x.node: x.root for x in components(edges, Workspace(spark, "t")).collect()}
     near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
     want = reach(range(len(v)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])

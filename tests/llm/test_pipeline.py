@@ -1,9 +1,15 @@
 """The pipeline's stages: what they drop, what they keep, and the whole against stages run by hand."""
 
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import substring_dedup
+from parley.llm import bpe, language_id, packing, simhash, substring_dedup, toxicity
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DIR = "/root/testdata/sf0.001"
@@ -30,6 +36,96 @@ def test_run_equals_its_stages(spark):
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
 
 
+def plain_run(spark, rows, labels):
+    """The pipeline row by row, with all pairs and all windows; only the fitted models are the library's own."""
+    toxic = toxicity.learn(docs_of(spark, rows), labels)
+    rows = [r for r in rows if 1 / (1 + math.exp(-(toxic.voters.features(r[1]) @ toxic.coef + toxic.bias))) < 0.3]
+    lang = language_id.learn(docs_of(spark, rows))
+    found = [lang.predict(r[1]) for r in rows]
+    rows = [r for r, (name, _, margin, _) in zip(rows, found, strict=True) if name != "und" and margin > 0 and margin >= lang.narrow]
+
+    prints = [simhash.sketch((r[1] or "").encode(), 5, 42, 4) for r in rows]
+    up = list(range(len(rows)))
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            apart = np.bitwise_count(prints[i] ^ prints[j]).astype(int)
+            if apart[0] <= simhash.bits_apart(0.8, 64) and apart.sum() <= simhash.bits_apart(0.8, 256):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(root(i), []).append((r[0] is None, r[0] or 0, i))
+    rows = [rows[i] for i in sorted(min(g)[2] for g in groups.values())]
+
+    first, split = {}, [(r[1] or "").encode().split() for r in rows]
+    for r, ws in zip(rows, split, strict=True):
+        for k in range(len(ws) - 49 if r[0] is not None else 0):
+            w = tuple(ws[k : k + 50])
+            first[w] = min(first.get(w, r[0]), r[0])
+    out = []
+    for r, ws in zip(rows, split, strict=True):
+        gone = set()
+        for k in range(len(ws) - 49 if r[0] is not None else 0):
+            if first[tuple(ws[k : k + 50])] < r[0]:
+                gone |= set(range(k, k + 50))
+        left = b" ".join(w for k, w in enumerate(ws) if k not in gone).decode()
+        if not gone or left:
+            out.append((r[0], left if gone else r[1]))
+    return out
+
+
+def test_run_against_a_plain_version(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    r = random.Random(21)
+    english = "the of and to in that was with for they have this from which one would there when what about".split()
+    german = "der die und das ist nicht von mit dem auch sich auf eine wird noch nach wie bei oder nur".split()
+    word = lambda base: r.choice(base) if r.random() < 0.5 else "".join(r.choice("aeiou" if k % 2 else "bdgklmnrst") for k in range(r.randint(4, 8)))
+    text = lambda base, n: " ".join(word(base) for _ in range(n))
+    rows = [(i, text(english if i % 3 else german, r.randint(20, 160)), "en" if i % 3 else "de") for i in range(260)]
+    rows = [(i, t + (" vile moron idiot scum nasty" if i % 13 == 0 else ""), lang) for i, t, lang in rows]
+    passage = text(english, 70)
+    rows += [(300 + i, f"{text(english, 60)} {passage} {text(english, 40)}", "en") for i in range(5)] + [(310, passage, "en")]
+    rows += [(400 + i, rows[2 * i + 1][1], rows[2 * i + 1][2]) for i in range(20)]  # exact copies
+    long = [x for x in rows[:200] if len(x[1].split()) > 120]
+    rows += [(500 + i, t.replace(t.split()[60], "changed", 1), lang) for i, (_, t, lang) in enumerate(long[:10])]  # near copies
+    rows += [(None, rows[1][1], "en"), (None, text(english, 80), "en"), (None, text(german, 80), "de")]  # no id: a copy and two others
+    rows += [(7, text(english, 90), "en"), (8, text(german, 90), "de"), (8, text(german, 90), "de")]  # ids of other texts
+    rows += [(600, None, "en"), (601, "", "en"), (602, "12 34", "en"), (603, "x", None)]
+    label_rows = [(i, 1, int(i % 13 == 0)) for i in range(0, 260)]
+    labels = spark.createDataFrame(label_rows, "doc_id long, quality int, toxic int")
+    docs_of(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = plain_run(spark, rows, labels)
+    assert 0 < len(kept) < len(rows) - 40 and {i for i, _ in kept} >= {7, 8, None} and len([i for i, _ in kept if i == 8]) == 3
+    tok = Tokenizer.from_file(bpe.vocabulary_path())
+    want = Counter()
+    for i, t in kept:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, bpe.END_ID]
+        for k, (a, n) in enumerate(packing.cut(len(ids), 1024)):
+            want[i, k, a, n, zlib.crc32(np.asarray(ids[a : a + n], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert Counter((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got) == want
+
+
+def test_near_duplicates_reach_a_similarity_of_four_fifths(spark):
+    r = random.Random(22)
+    rows = []
+    for k in range(250):
+        n = r.randint(80, 400)
+        ws = [f"w{r.randint(0, 20000)}" for _ in range(n)]
+        other = list(ws)
+        for _ in range(max(1, int(n * r.uniform(0, 0.03)))):
+            other[r.randrange(n)] = f"z{r.randint(0, 10**6)}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (ws, other))
+        rows += [(2 * k, " ".join(ws), "en")] + [(2 * k + 1, " ".join(other), "en")] * (len(a & b) >= 0.8 * len(a | b))
+    kept = {x.doc_id for x in stage("simhash")(spark, docs_of(spark, rows), DIR).collect()}
+    pairs = [i for i, _, _ in rows if i % 2]
+    assert {i for i, _, _ in rows if i % 2 == 0} <= kept
+    missed = [i for i in pairs if i in kept]
+    assert len(pairs) > 150 and len(missed) <= 0.1 * len(pairs)
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(5, base, "en"), (3, base, "en"), (3, base, "en"), (9, base + " tail", "en"), (7, "other words here entirely", "en"), (None, base, "en"), (11, None, None), (12, "", None)]
