@@ -10,6 +10,7 @@ the candidates and probes that each is expected to cost. Statistics come from al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 from math import acos, comb, lgamma, pi, sqrt
 
 import numpy as np
@@ -22,7 +23,9 @@ from .components import components
 from .grouping import chunk_pairs, spanning, stream_groups
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 3
-MOST_GROUP = 1 << 15
+MOST_GROUP = 1 << 18
+#: Comparisons that a shuffled row costs as much as: narrow rows for fingerprints alone, wide ones with more bits.
+PROBE_COST, WIDE_PROBE_COST = 40.0, 1000.0
 
 
 def sketch(text: bytes | None, words: int = SHINGLE_WORDS, seed: int = SEED, longs: int = 1) -> np.ndarray:
@@ -144,7 +147,7 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(n: int, both: np.ndarray, most_bits: int = MOST_BITS, probe_cost: float = 40.0) -> tuple[list[list[int]], list[int]]:
+def plan(n: int, both: np.ndarray, most_bits: int = MOST_BITS, probe_cost: float = PROBE_COST) -> tuple[list[list[int]], list[int]]:
     """Bit groups and thresholds of the least expected cost over 2 to most_bits + 3 groups.
 
     A shuffled row is taken to cost as much as ``probe_cost`` comparisons.
@@ -218,22 +221,18 @@ def links(keyed: DataFrame, hot: DataFrame, *, most_bits: int = MOST_BITS, more:
         across = t["lo"][0].as_py() != t["hi"][0].as_py()
         rows = np.flatnonzero(home)
         found_a, found_b = [], []
-        for at in range(0, len(rows), 256):
-            r = rows[at : at + 256]
-            apart = np.bitwise_count(fp[r, None] ^ fp[None, :])
-            near = apart <= most_bits
-            if across:
-                near &= chunk[r, None] != chunk[None, :]
-            x, y = np.nonzero(near)
-            keep = node[r[x]] != node[y]
-            x, y = x[keep], y[keep]
-            if more and len(x):
-                in_all = apart[x, y].astype(np.int64)
+        for at, to in product(range(0, len(rows), 256), range(0, len(fp), 1 << 14)):
+            r, c = rows[at : at + 256], slice(to, to + (1 << 14))
+            apart = np.bitwise_count(fp[r, None] ^ fp[None, c])
+            x, y = np.nonzero(apart <= most_bits)
+            in_all, x, y = apart[x, y].astype(np.int64), r[x], y + to
+            keep = (node[x] != node[y]) & (chunk[x] != chunk[y] if across else True)
+            if more:
                 for v in rest:
-                    in_all += np.bitwise_count(v[r[x]] ^ v[y])
-                x, y = x[in_all <= most_in_all], y[in_all <= most_in_all]
-            found_a.append(r[x])
-            found_b.append(y)
+                    in_all += np.bitwise_count(v[x] ^ v[y])
+                keep &= in_all <= most_in_all
+            found_a.append(x[keep])
+            found_b.append(y[keep])
         a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (found_a, found_b))
         if not len(a):
             return None
@@ -247,10 +246,10 @@ def links(keyed: DataFrame, hot: DataFrame, *, most_bits: int = MOST_BITS, more:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
-def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS, more: tuple[str, ...] = (), most_in_all: int = 0, most_group: int = MOST_GROUP) -> DataFrame:
+def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS, more: tuple[str, ...] = (), most_in_all: int = 0, most_group: int = MOST_GROUP, probe_cost: float = PROBE_COST) -> DataFrame:
     """(node, root) of the nodes that link, from a written table (node, fp, more..)."""
     n, both = bit_counts(nodes)
-    groups, thresholds = plan(n, both, most_bits)
+    groups, thresholds = plan(n, both, most_bits, probe_cost)
     sizes = keys(nodes, groups, thresholds, narrow=True).groupBy("key").agg(F.count("*").alias("n"))
     hot = work.put(sizes.where(F.col("n") > most_group), "hot")
     edges = work.put(links(keys(nodes, groups, thresholds, more), hot, most_bits=most_bits, more=more, most_in_all=most_in_all, most_group=most_group), "edges")
@@ -283,7 +282,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     own = fingerprints(marked, id_col=id_col, text_col=text_col, words=words, seed=seed, also=("__h", "__g"), longs=longs)
     own = work.put(own.withColumn("node", F.xxhash64("fp", *more)), "own")
     nodes = work.put(own.select("node", "fp", *more).dropDuplicates(["node"]), "nodes")
-    roots = linked(nodes, work, bits_apart(similarity, 64), more, bits_apart(similarity, 64 * longs))
+    roots = linked(nodes, work, bits_apart(similarity, 64), more, bits_apart(similarity, 64 * longs), probe_cost=WIDE_PROBE_COST)
     rows = own.groupBy("doc_id", "node", "__h", "__g").agg(F.count("*").alias("n")).join(roots, "node", "left")
     rows = work.put(rows.select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g").alias("row"), "n"), "rows")
     first = work.put(rows.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("size")), "firsts")

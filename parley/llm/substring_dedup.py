@@ -169,7 +169,8 @@ def repeats(docs: DataFrame, work: Workspace, *, id_col: str = "doc_id", text_co
         release(docs.sparkSession)
         if not known.limit(1).count():  # no candidates survive
             break
-        near = join_hot(rows, known, ["doc_id"], n_whole).select("doc_id", "tag", "text", "known")
+        # merged at every size, so that what travels grows with the input
+        near = join_hot(rows, known.hint("merge"), ["doc_id"], n_whole).select("doc_id", "tag", "text", "known")
         level = work.put(near.mapInArrow(extend(length, levels[k + 1]), "a long, b long, doc_id long, tag int, at int"), f"level{k + 1}")
         work.drop(f"known{k}")
         release(docs.sparkSession)

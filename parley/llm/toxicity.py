@@ -271,8 +271,10 @@ class Model:
     coef: np.ndarray
     bias: float
 
-    def score(self, votes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(votes @ self.coef + self.bias, -40, 40)))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Each text's score; features live for one text at a time."""
+        z = np.fromiter((self.voters.features(t.as_py()) @ self.coef for t in texts), np.float64, len(texts))
+        return 1 / (1 + np.exp(-np.clip(z + self.bias, -40, 40)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 20) -> tuple[np.ndarray, float]:
@@ -329,6 +331,10 @@ def unlabelled(docs: DataFrame, voters: Voters, n: float, fired: float, *, each:
     some, none = (min(1.0, each / max(k, 1.0)) for k in (fired, n - fired))
     any_vote = voters.names.index("any_term")
 
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        us, kinds, xs = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.float64()), pa.array(kinds, pa.bool_()), pa.array(list(xs), pa.list_(pa.float64()))], ["u", "fires", "x"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[float] = set()
         for batch in batches:
@@ -339,9 +345,12 @@ def unlabelled(docs: DataFrame, voters: Voters, n: float, fired: float, *, each:
                     x = voters.features(t.as_py())
                     fires = bool(x[any_vote] > 0)
                     if u <= (some if fires else none):
-                        rows.append((u, fires, x.tolist()))
-            us, kinds, xs = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.float64()), pa.array(kinds, pa.bool_()), pa.array(xs, pa.list_(pa.float64()))], ["u", "fires", "x"])
+                        rows.append((u, fires, x))
+                if len(rows) >= 256:
+                    yield emit(rows)
+                    rows = []
+            if rows:
+                yield emit(rows)
 
     drawn = docs.select(text.alias("text"), F.coalesce(unit_hash(text), F.lit(0.0)).alias("u")).where(F.col("u") <= max(some, none))
     got = drawn.mapInArrow(run, "u double, fires boolean, x array<double>").dropDuplicates(["u"]).collect()
@@ -387,8 +396,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.voters.features(t.as_py()) for t in batch.column(2)]).reshape(-1, len(model.coef))
-            p = model.score(x)
+            p = model.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -403,7 +411,6 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([model.voters.features(t.as_py()) for t in batch.column(at)]).reshape(-1, len(model.coef))
-            yield batch.filter(pa.array(model.score(x) < threshold, pa.bool_()))
+            yield batch.filter(pa.array(model.scores(batch.column(at)) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
