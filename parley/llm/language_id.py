@@ -89,14 +89,14 @@ def calibrate(model: Model, known: list[tuple[str, str]], lost: float) -> float:
     return max(0.0, float(np.quantile(got, lost))) if got else 0.0
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, documents: int = 256, most_documents: int = 16_384, part_chars: int = 1024, level: int = 9, lost: float = 0.005) -> Model:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, documents: int = 256, most_documents: int = 16_384, part_chars: int = 1024, level: int = 9, lost: float = 0.003) -> Model:
     """Dictionaries from about ``documents`` unlike labelled texts a language, a part of ``part_chars`` characters of each.
 
     Only rows outside the held-out fold with a language and a text are read. Texts are drawn by a hash of themselves
     below a cut that the language's number of unlike texts sets and that is never below its least hash, so copies
-    don't count, no language is lost, however rare, and no task ranks one. All languages together draw about
-    ``most_documents``, one each at least. A long text's part begins at a place its hash gives. One drawn text in
-    five stays out of the dictionaries and calibrates the margin: the share ``lost`` of these falls below it.
+    don't count, no language is lost, however rare, and no task ranks one. All languages' dictionaries together take about
+    ``most_documents``, one each at least. A long text's part begins at a place its hash gives. About twice as many
+    more texts (a fifth of them where there are few) calibrate the margin: the share ``lost`` of these falls below it.
     Languages are ordered by how many rows they have.
     """
     small_batches(docs.sparkSession)
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     if not found:
         return Model([], [], level)
     share = max(1, min(documents, most_documents // len(found)))
-    cut = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], share * 1.25 / max(r["unlike"], 1)))])
+    cut = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], max(r["least"], 3.0 * share / max(r["unlike"], 1)))])
     size = F.length("text")
     begin = (F.pmod(F.xxhash64(F.lit(7), "text"), F.greatest(size - part_chars + 1, F.lit(1))) + 1).cast("int")
     drawn = train.where(F.col("u") <= cut[F.col("lang")]).dropDuplicates(["lang", "u"])
@@ -116,7 +116,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         parts.setdefault(lang, []).append(part)
     counts = {r["lang"]: r["n"] for r in found}
     order = sorted(parts, key=lambda x: (-counts[x], x))
-    kept = {x: parts[x][: max(1, len(parts[x]) * 4 // 5)] for x in order}
+    kept = {x: parts[x][: max(1, min(share, len(parts[x]) * 4 // 5))] for x in order}
     model = Model(order, [b" ".join(map(letters, kept[x])) for x in order], level)
     model.narrow = calibrate(model, [(x, p) for x in order for p in parts[x][len(kept[x]) :]], lost)
     return model
