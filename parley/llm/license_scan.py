@@ -1,6 +1,6 @@
 """Licence phrases in texts, by a positional index of rare words. DataFrame functions only.
 
-Each template has a mandatory key phrase. The corpus gives every licence word its document
+Each template, a passage of a licence's notice or body, has a mandatory key phrase; a licence has several. The corpus gives every licence word its document
 frequency; a template's postings are the positions of the rarest words of its key phrase. A file's
 words that occur in the index are looked up, the template starts that they imply are intersected,
 and only there is the key phrase verified and the rest of the template compared. Because the looked
@@ -33,6 +33,17 @@ TEMPLATES = [
     ("lgpl", "gnu lesser general public license", "gnu lesser general public license", False),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "any person obtaining a copy", False),
     ("mpl-2", "mozilla public license version 2 0", "mozilla public license version 2", False),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", "copy of the gnu affero general public license", False),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "not use this file except in compliance with the license", False),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing", False),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice", False),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice", False),
+    ("gpl-2", "free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license", False),
+    ("gpl-3", "free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license", False),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "this permission notice appear in all copies", False),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included in all copies or substantial portions", False),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "subject to the terms of the mozilla public license", False),
+    ("zlib", "this software is provided as is without any express or implied warranty", "provided as is without any express or implied warranty", False),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", False),
 ]
 MIN_SHARE = 0.8
@@ -62,7 +73,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min
     words stand around it as they should. The base columns count the base phrases' places;
     ``labels`` are those of all places; ``score`` is the best share, 0 without a place. Null text is
     empty: no words, no places, empty labels. Null ids stay null, repeated rows each give a row, an
-    empty table none; other columns are ignored. No shuffle beyond the word frequencies.
+    empty table none; other columns are ignored. A very long text is one row, read whole. Rarity is a word's
+    document frequency in the table; the two rarest words of each key phrase are looked up. No shuffle beyond
+    the word frequencies. Ids must be numbers.
     """
     seen = word_frequencies(docs, text_col)
     rows = []

@@ -73,7 +73,8 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
     """One row per piece of each document: (doc_id, piece, start, length, ids_crc32[, ids]).
 
     Null text counts as empty (its only id is the end id); a null id stays null; each row is its own
-    document, whether its id or text repeats or not; other columns are ignored.
+    document, whether its id or text repeats or not; other columns are ignored. A very long text is encoded
+    whole, in a task's memory. Ids must be numbers.
     """
     path = vocabulary or bpe.vocabulary_path()
     end = int(bpe.END_ID).to_bytes(4, "little")
