@@ -96,3 +96,25 @@ def test_stream_windows(spark, tmp_path):
     q.stop()
     want = {tuple(r) for r in ingest.windowed_activity(events).collect()}
     assert {tuple(r) for r in spark.table("activity").collect()} == want
+
+
+def test_errors_worth_another_try():
+    class Coded(Exception):
+        def __init__(self, code, message=""):
+            super().__init__(message)
+            self.code = code
+
+    worth = [Coded(503), Coded(429), Coded(400, "Quota used up"), TimeoutError(), ConnectionResetError(), OSError()]
+    not_worth = [Coded(400, "bad request"), Coded(404), ValueError("overloaded")]
+    assert all(map(backends.worth_another_try, worth)) and not any(map(backends.worth_another_try, not_worth))
+
+
+def test_tolerant_reads_raise_what_is_not_a_missing_path(spark, tmp_path):
+    from parley.operators import results
+
+    assert results.tolerant(spark, f"file://{tmp_path}/none.json", "sample_id long").count() == 0
+    (tmp_path / "a.json").write_text('[{"sample_id": 3}, {"sample_id": 4}]')
+    (tmp_path / "b.json").write_text('{"sample_id": ')
+    assert sorted(r[0] for r in results.tolerant(spark, f"file://{tmp_path}", "sample_id long").collect()) == [3, 4]
+    with pytest.raises(Exception):  # noqa: B017  any failure of the store
+        results.tolerant(spark, "nosuchstore://x/y.json", "sample_id long")

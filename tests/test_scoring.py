@@ -124,3 +124,31 @@ def test_bench_times_edited_strategies():
     import bench
 
     assert {"d14_evaluate", "d14_evaluate_same_words"} <= set(bench.HEADLINE)
+
+
+def test_alignment_against_the_whole_table():
+    import random
+
+    from parley.functions.assignment import align
+
+    def plain(ref, hyp):
+        n, m = len(ref), len(hyp)
+        t = [[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                t[i + 1][j + 1] = min(t[i][j] + (ref[i] != hyp[j]), t[i][j + 1] + 1, t[i + 1][j] + 1)
+        out, i, j = [], n, m
+        while i and j:
+            if t[i][j] == t[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif t[i][j] == t[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    r = random.Random(4)
+    for _ in range(400):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 30))] for _ in range(2))
+        assert align(a, b) == plain(a, b)
