@@ -100,11 +100,14 @@ class MemoEncoder:
         pre-tokenizer, so such pieces go straight to the library's merges. A line break between two
         non-space characters is a piece of its own. Other parts take the whole pipeline.
         """
-        stem = part.rstrip(string.punctuation)
+        stem = part if part.isalpha() else part.rstrip(string.punctuation)
         if stem.isalpha() or stem.isdecimal():
             if len(stem) < len(part):
                 return memo[stem] + self.tails[part[len(stem) :]]
-            shown = (lead + stem).encode().decode("latin-1").translate(_SHOWN)
+            if stem.isascii():  # ASCII letters and digits are shown as they are
+                shown = _SHOWN[32] + stem if lead else stem
+            else:
+                shown = (lead + stem).encode().decode("latin-1").translate(_SHOWN)
             return array("I", [t.id for t in self.merges(shown)]).tobytes()
         lines = part.split("\n")
         if len(lines) > 1 and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
@@ -143,6 +146,11 @@ REMEMBERED_BYTES = 288 << 20
 _ENCODERS: dict[tuple[str, int], MemoEncoder] = {}
 
 
+def forget() -> None:
+    """Give back this worker's encoder and all that it remembers."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str, most_bytes: int = REMEMBERED_BYTES) -> MemoEncoder:
     """One encoder for each Python worker and vocabulary."""
     key = (path, most_bytes)
