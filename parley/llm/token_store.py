@@ -65,6 +65,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int32)), packed], ["doc_id", "part", "raw"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # all texts are encoded by now, and the writer needs the memory
         before = 0
         for batch in batches:
             raw = batch.column(2)
