@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_codec, embedding_dedup, language_id, license_scan, packing, simhash, substring_dedup, token_store, topk, toxicity
+from . import byte_codec, embedding_dedup, importance, language_id, license_scan, packing, simhash, substring_dedup, token_alignment, token_store, topk, toxicity, url_filter
 from .common import Workspace, read
 
 
@@ -54,8 +54,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.learn(spark.createDataFrame(url_filter.default_labels(), "url string, label int"))
+    return url_filter.judge(read(spark, sf_dir, "pages"), model)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_byte_bpe, op5_substring_dedup, op6_language_id, op7_simhash, op8_token_store, op9_top_k, op10_embedding_dedup]
+    found = [op1_best_fit_packing, op2_toxicity, op3_license_scan, op4_byte_bpe, op5_substring_dedup, op6_language_id, op7_simhash, op8_token_store, op9_top_k, op10_embedding_dedup, op11_url_filter, op12_importance_resampling, op13_token_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -88,4 +101,4 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle(), "op5_substring_dedup": SUBSTRING_SQL, "op9_top_k": topk.oracle(), "op10_embedding_dedup": EMBEDDING_SQL}
+    return {"op3_license_scan": license_scan.oracle(), "op5_substring_dedup": SUBSTRING_SQL, "op9_top_k": topk.oracle(), "op10_embedding_dedup": EMBEDDING_SQL, "op12_importance_resampling": importance.oracle()}
