@@ -82,10 +82,11 @@ def lead(sizes: np.ndarray, best: int) -> float:
 
 
 def calibrate(model: Model, known: list[tuple[str, str]], lost: float) -> float:
-    """The margin that all but the share ``lost`` of these (language, text) reach in a model with their language."""
+    """The margin that all but the share ``lost`` of these (language, text) reach, of those that the model reads as their language."""
     if len(model.languages) < 2:
         return 0.0
-    got = [lead(s, int(s.argmin())) for _, text in known if (raw := letters(text)) for s in [model.sizes(raw)]]
+    own = {x: k for k, x in enumerate(model.languages)}
+    got = [lead(s, int(s.argmin())) for x, text in known if (raw := letters(text)) for s in [model.sizes(raw)] if int(s.argmin()) == own.get(x)]
     return max(0.0, float(np.quantile(got, lost))) if got else 0.0
 
 
@@ -150,7 +151,13 @@ def keeps(found: tuple[str, float, float, int], narrow: float) -> bool:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text ``keeps`` accepts. No shuffle."""
+    """The rows of ``docs``, with all their columns, whose text ``keeps`` accepts. No shuffle.
+
+    A model that learned nothing, for want of a labelled text, rejects nothing: all rows stay. With one language known, the
+    texts with a letter stay. Null texts, and those without a letter, go in all other cases.
+    """
+    if not model.languages:
+        return docs
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import product
-from math import acos, comb, lgamma, pi, sqrt
+from math import comb, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -257,48 +257,6 @@ def linked(nodes: DataFrame, work: Workspace, most_bits: int = MOST_BITS, more:
     return work.put(components(edges, work), "roots")
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """How many of ``bits`` bits two texts of that Jaccard similarity differ in, and one standard deviation more.
-
-    Shingle sets of similarity s have a cosine of 2 s / (1 + s), and a bit differs in the share of the angle in pi.
-    """
-    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
-    return int(bits * p + sqrt(bits * p * (1 - p)))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 4, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` but for near copies: one row of each component of linked texts.
-
-    Texts link at an estimated Jaccard similarity of ``similarity`` or more over shingles of ``words`` words: 64 bits
-    find the candidates, allowing what such texts differ in by expectation and most of their spread, and 64 x ``longs``
-    bits decide. The row that stays is the one with the smallest id, a null id coming last; rows that share an id are
-    decided by a hash of all columns. Texts link, not ids: unlike texts under one id, or under none, stay. All texts
-    without words are one group. Repeated rows are copies; an empty table gives none.
-    """
-    work = Workspace(docs.sparkSession, "keep_one")
-    more = tuple(f"x{k}" for k in range(1, longs))
-    whole = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]  # the hash skips nulls
-    marked = docs.withColumn("__h", F.xxhash64(*whole)).withColumn("__g", F.xxhash64(F.lit(1), *whole))
-    own = fingerprints(marked, id_col=id_col, text_col=text_col, words=words, seed=seed, also=("__h", "__g"), longs=longs)
-    own = work.put(own.withColumn("node", F.xxhash64("fp", *more)), "own")
-    nodes = work.put(own.select("node", "fp", *more).dropDuplicates(["node"]), "nodes")
-    roots = linked(nodes, work, bits_apart(similarity, 64), more, bits_apart(similarity, 64 * longs), probe_cost=WIDE_PROBE_COST)
-    rows = own.groupBy("doc_id", "node", "__h", "__g").agg(F.count("*").alias("n")).join(roots, "node", "left")
-    rows = work.put(rows.select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g").alias("row"), "n"), "rows")
-    first = work.put(rows.groupBy("root").agg(F.min("row").alias("first"), F.count("*").alias("size")), "firsts")
-    judged = join_hot(rows, first, ["root"], rows.count(), n_col="size")
-    judged = work.put(judged.select(F.col("row.__h").alias("__a"), F.col("row.__g").alias("__b"), (F.col("row") == F.col("first")).alias("stays"), "n"), "judged")
-    work.drop("own", "nodes", "edges", "roots", "rows", "firsts")
-    release(docs.sparkSession)
-    same = (F.col("__h") == F.col("__a")) & (F.col("__g") == F.col("__b"))
-    kept = marked.join(judged.where(~F.col("stays")), same, "left_anti")
-    again = judged.where("stays and n > 1")
-    if again.limit(1).count():
-        once = kept.join(again, same, "left_semi").dropDuplicates(["__h", "__g"])
-        kept = kept.join(again, same, "left_anti").unionByName(once)
-    return kept.select(docs.columns)
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row.
 
@@ -307,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     like any other. Fingerprints link, not ids: unlike texts under one id may be in different components.
     Rows with a null id link too and never name a component unless all its rows have null ids (then it
     is null). Repeated rows each give a row; an empty table gives none; other columns are ignored. A very
-    long text is read once, in blocks of 65,536 shingles. Ids must be numbers.
+    long text is read once, in blocks of 16,384 shingles. Ids must be numbers.
     """
     work = Workspace(docs.sparkSession, "simhash")
     own = work.put(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seed=seed), "own")
