@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from math import isqrt
+
 import numpy as np
 
 
@@ -71,43 +74,60 @@ def best_pairs(matrix: np.ndarray, maximize: bool) -> tuple[float, list[tuple[in
     return float(sum(matrix[i, j] for i, j in pairs)), pairs
 
 
-def _rows(table: np.ndarray, x: np.ndarray, y: np.ndarray, first: int) -> None:
-    """Fill an edit-distance table below its first row, which is row ``first`` of the whole."""
-    step = np.arange(len(y) + 1, dtype=np.int32)
-    for i, w in enumerate(x):
-        best = np.minimum(table[i, 1:] + 1, table[i, :-1] + (y != w))
-        table[i + 1] = np.minimum.accumulate(np.concatenate(([first + i + 1], best)) - step) + step
+def _column(same: int, up: int, down: int, every: int) -> tuple[int, int, int]:
+    """The next column of an edit table as bits of whole numbers, one for each row.
+
+    ``up`` and ``down`` mark the rows that lie one above and one below the row before them, ``same`` the rows whose word
+    is the column's. The third result marks the rows that equal their neighbour up and to the left.
+    """
+    level = ((((same & up) + up) ^ up) | same | down) & every
+    more, less = down | (every & ~(level | up)), level & up
+    more, less = (more << 1 | 1) & every, less << 1 & every
+    return less | (every & ~(level | more)), more & level, level
 
 
 def align(ref: list, hyp: list) -> list[tuple[int, int]]:
     """Equal and substituted position pairs of one minimal alignment.
 
-    Traced from the end; where several moves are minimal, a match or substitution goes before a
-    deletion, and a deletion before an insertion. Only every sqrt(n)-th row of the table is kept, and the rows
-    between two of them are made again when the trace gets there, so memory grows with n to the power of 1.5.
+    Traced from the end; where several moves are minimal, a match or substitution goes before a deletion, and a
+    deletion before an insertion. A column of the edit table is held as bits, so it is made in a few operations on whole
+    numbers. Only every sqrt(m)-th column is kept, and those between two of them are made again when the trace gets
+    there, so memory is n times sqrt(m) bits.
     """
     n, m = len(ref), len(hyp)
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    x, y = (np.fromiter(map(ids.__getitem__, s), np.int64, len(s)) for s in (ref, hyp))
-    stride = max(1, int(np.sqrt(n)))
-    kept = {0: np.arange(m + 1, dtype=np.int32)}
-    table = np.empty((stride + 1, m + 1), np.int32)
-    for at in range(0, n - stride, stride):
-        table[0] = kept[at]
-        _rows(table, x[at : at + stride], y, at)
-        kept[at + stride] = table[stride].copy()
-    out, i, j = [], n, m
+    if not n or not m:
+        return []
+    where: dict = {}
+    for i, w in enumerate(ref):
+        where[w] = where.get(w, 0) | 1 << i
+    same = [where.get(w, 0) for w in hyp]
+    every, stride = (1 << n) - 1, max(1, isqrt(m))
+    up, down, kept = every, 0, []
+    for j in range(m):
+        if j % stride == 0:
+            kept.append((up, down))
+        up, down, _ = _column(same[j], up, down, every)
+    out, i, j, size = [], n, m, (n + 7) // 8
     while i and j:
-        at = (i - 1) // stride * stride
-        table[0] = kept[at]
-        _rows(table[: i - at + 1], x[at:i], y, at)
-        while i > at and j:
-            here, above = table[i - at, j], table[i - at - 1]
-            if here == above[j - 1] + (x[i - 1] != y[j - 1]):
+        first = (j - 1) // stride * stride
+        (up, down), made = kept[first // stride], []
+        for c in range(first, j):
+            up, down, level = _column(same[c], up, down, every)
+            made.append((up.to_bytes(size, "little"), level.to_bytes(size, "little")))
+        while i and j > first:
+            ups, levels = made[j - 1 - first]
+            at, bit = (i - 1) >> 3, 1 << ((i - 1) & 7)
+            if ref[i - 1] == hyp[j - 1] or not levels[at] & bit:
                 i, j = i - 1, j - 1
                 out.append((i, j))
-            elif here == above[j] + 1:
+            elif ups[at] & bit:
                 i -= 1
             else:
                 j -= 1
     return out[::-1]
+
+
+def matched_speakers(ref: list, hyp: list, ref_speakers: list, hyp_speakers: list) -> dict[tuple, int]:
+    """Aligned words by reference and hypothesis speaker; the speakers are those of each word."""
+    pairs = zip(range(len(ref)), range(len(ref)), strict=True) if ref == hyp else align(ref, hyp)
+    return Counter((ref_speakers[i], hyp_speakers[j]) for i, j in pairs)

@@ -50,8 +50,8 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-def character_distance(a: str, b: str) -> int:
-    """Levenshtein distance of two strings, a column of the table at a time as bits of one integer.
+def character_distance(a: str | list, b: str | list) -> int:
+    """Levenshtein distance of two strings (or two lists), a column of the table at a time as bits of one integer.
 
     Work grows with the product of the lengths over the word size, so whole transcripts stay cheap.
     """
@@ -60,7 +60,7 @@ def character_distance(a: str, b: str) -> int:
     a, b = sorted((a, b), key=len)
     if not a:
         return len(b)
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -79,7 +79,7 @@ def character_distance(a: str, b: str) -> int:
 @F.pandas_udf(IntegerType())
 def long_character_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """``character_distance`` of whole transcripts in Arrow batches; the JVM's ``levenshtein`` suits short texts."""
-    return pd.Series([character_distance(a, b) for a, b in zip(ref, hyp, strict=True)])
+    return pd.Series([None if a is None or b is None else character_distance(a, b) for a, b in zip(ref, hyp, strict=True)], dtype="Int32")
 
 
 def error_rate(distance: Column, n_ref: Column, n_hyp: Column) -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
-from ..functions.assignment import align, best_pairs
-from ..functions.distance import edit_distance, error_rate, long_character_distance, word_distance
-from ..functions.text import normalize_turns, words
+from ..functions.assignment import align, best_pairs, matched_speakers
+from ..functions.distance import character_distance, edit_distance, error_rate, long_character_distance, word_distance
+from ..functions.text import normalize, words
 
 
 def flat_words(turns: DataFrame, key: list[str], order: str = "turn_idx", words_col: str = "words") -> DataFrame:
@@ -40,10 +42,7 @@ def confusion(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]
         for pdf in batches:
             out = []
             for *k, hs, hw, rs, rw in pdf.itertuples(index=False):
-                seen: dict[tuple[str, str], int] = {}
-                for i, j in align(list(rw), list(hw)):
-                    seen[rs[i], hs[j]] = seen.get((rs[i], hs[j]), 0) + 1
-                out += [(*k, a, b, n) for (a, b), n in seen.items()]
+                out += [(*k, a, b, n) for (a, b), n in matched_speakers(list(rw), list(hw), rs, hs).items()]
             yield pd.DataFrame(out, columns=[*key, "ref_speaker", "hyp_speaker", "n"])
 
     kinds = ", ".join(f"{k} {t}" for k, t in both.select(*key).dtypes)
@@ -53,6 +52,46 @@ def confusion(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]
     return plain.unionByName(rest.mapInPandas(aligned, f"{kinds}, ref_speaker string, hyp_speaker string, n long"))
 
 
+def aligned_blocks(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
+    """(key.., ref_from, hyp_from, n): runs of aligned words that go on by one on both sides, by word positions from 0."""
+    both = tagged_arrays(hyp, key, "h").join(tagged_arrays(ref, ref_key, "r"), ref_key)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *k, h, r in pdf.itertuples(index=False):
+                pairs = [(i, i) for i in range(len(r))] if len(r) == len(h) and (r == h).all() else align(list(r), list(h))
+                starts = [x for x, (i, j) in enumerate(pairs) if not x or pairs[x - 1] != (i - 1, j - 1)]
+                out += [(*k, *pairs[a], b - a) for a, b in zip(starts, [*starts[1:], len(pairs)], strict=True)]
+            yield pd.DataFrame(out, columns=[*key, "ref_from", "hyp_from", "n"])
+
+    kinds = ", ".join(f"{k} {t}" for k, t in both.select(*key).dtypes)
+    return both.select(*key, "h.word", F.col("r.word").alias("ref_word")).mapInPandas(blocks, f"{kinds}, ref_from long, hyp_from long, n long")
+
+
+def word_spans(turns: DataFrame, key: list[str], order: str = "turn_idx", words_col: str = "words") -> DataFrame:
+    """(key.., order, speaker, from, to): the word positions of each turn that has words, ``to`` not included."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = turns.select(*key, order, "speaker", F.size(words_col).alias("__n")).where("__n > 0").withColumn("to", F.sum("__n").over(w))
+    return rows.select(*key, order, "speaker", (F.col("to") - F.col("__n")).alias("from"), "to")
+
+
+def turn_coverage(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str], order: str = "turn_idx") -> DataFrame:
+    """(key.., order, speakers, n): for each hypothesis turn with words how many reference speakers its aligned words have, and how many those words are.
+
+    Two range joins within a sample: hypothesis turns against aligned runs, and the reference side of these
+    against reference turns. A turn without aligned words has 0 speakers; with two or more it is a merged turn.
+    """
+    h = word_spans(hyp, key, order)
+    r = word_spans(ref, ref_key, order).select(*ref_key, F.col("speaker").alias("__s"), F.col("from").alias("__rf"), F.col("to").alias("__rt"))
+    met = h.join(aligned_blocks(ref, hyp, ref_key, key), key).where("hyp_from < `to` and hyp_from + n > `from`")
+    low, high = F.greatest("hyp_from", "from"), F.least(F.col("hyp_from") + F.col("n"), F.col("to"))
+    met = met.withColumn("__f", low - F.col("hyp_from") + F.col("ref_from")).withColumn("__t", high - F.col("hyp_from") + F.col("ref_from"))
+    said = met.join(r, ref_key).where("__rf < __t and __rt > __f").withColumn("__n", F.least("__t", "__rt") - F.greatest("__f", "__rf"))
+    counts = said.groupBy(*key, order).agg(F.countDistinct("__s").alias("speakers"), F.sum("__n").alias("n"))
+    return h.select(*key, order).join(counts, [*key, order], "left").na.fill(0, ["speakers", "n"])
+
+
 def _matrix(cells: DataFrame, key: list[str], row: str, col: str, value: str) -> DataFrame:
     """(key.., rows, cols, m): sorted labels and the matrix of values, missing cells 0."""
     g = cells.groupBy(*key).agg(F.array_sort(F.collect_set(row)).alias("rows"), F.array_sort(F.collect_set(col)).alias("cols"), F.map_from_entries(F.collect_list(F.struct(F.struct(F.col(row).alias("r"), F.col(col).alias("c")), F.col(value).cast("double")))).alias("v"))
@@ -121,6 +160,85 @@ def degradation_gap(cp: Column, w: Column) -> Column:
     return F.greatest(F.lit(0.0), cp - w)
 
 
+_MATCH = StructType([StructField("matched", DoubleType()), StructField("aligned", LongType()), StructField("mapping", MapType(StringType(), StringType()))])
+
+
+@F.pandas_udf(_MATCH)
+def _speaker_match(ref: pd.Series, hyp: pd.Series, ref_by: pd.Series, ref_n: pd.Series, hyp_by: pd.Series, hyp_n: pd.Series) -> pd.DataFrame:
+    """The best one-to-one mapping of speakers over aligned words; texts are joined words, speakers and counts go by turn."""
+    out = []
+    for r, h, rb, rn, hb, hn in zip(ref, hyp, ref_by, ref_n, hyp_by, hyp_n, strict=True):
+        if not r or not h:
+            out.append((None, None, None))
+            continue
+        n = matched_speakers(r.split(" "), h.split(" "), np.repeat(rb, rn).tolist(), np.repeat(hb, hn).tolist())
+        rows, cols = sorted({a for a, _ in n}), sorted({b for _, b in n})
+        total, pairs = best_pairs(np.array([[n.get((a, b), 0) for b in cols] for a in rows], float), True)
+        out.append((total, sum(n.values()), {cols[j]: rows[i] for i, j in pairs}))
+    return pd.DataFrame(out, columns=["matched", "aligned", "mapping"])
+
+
+@F.pandas_udf(IntegerType())
+def _joined_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Word distance of texts of joined words, by bit vectors."""
+    return pd.Series([None if a is None or b is None else character_distance(a.split(" "), b.split(" ")) for a, b in zip(ref, hyp, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(DoubleType())
+def _least_total(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """The least total word distance of one-to-one pairs of speakers' documents; the shorter side gets empty ones."""
+    out = []
+    for r, h in zip(ref, hyp, strict=True):
+        if r is None or h is None:
+            out.append(None)
+            continue
+        k = max(len(r), len(h))
+        rs, hs = ([d.split(" ") for d in side] + [[]] * (k - len(side)) for side in (r, h))
+        out.append(best_pairs(np.array([[character_distance(a, b) for b in hs] for a in rs], float), False)[0])
+    return pd.Series(out, dtype="float64")
+
+
+def nested(turns: DataFrame, key: list[str], name: str, order: str = "turn_idx", words_col: str = "words") -> DataFrame:
+    """(key.., name): a row's turns with words, as an array of (speaker, words) in order."""
+    said = F.when(F.size(words_col) > 0, F.struct(F.col(order).alias("o"), "speaker", F.col(words_col).alias("words")))
+    rows = turns.groupBy(*key).agg(F.array_sort(F.collect_list(said)).alias(name))
+    return rows.select(*key, F.transform(name, lambda t: F.struct(t.speaker.alias("speaker"), t.words.alias("words"))).alias(name))
+
+
+def score_nested(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """Adds wer, cer, saa, cpwer, gap and mapping to rows that hold both sides' turns as arrays of (speaker, words).
+
+    Null and empty arrays are sides without words. Everything is a column of the row: the only Python steps are one
+    Arrow batch for characters, alignment and assignments, and metrics that nobody asks for are never computed.
+    """
+    none = F.array().cast("array<struct<speaker:string,words:array<string>>>")
+    side = lambda c: F.filter(F.coalesce(F.col(c), none), lambda t: F.size(t.words) > 0)
+
+    def said_by(turns: Column):
+        return lambda name: F.array_join(F.flatten(F.filter(turns, lambda t: t.speaker == name).words), " ")
+
+    got = rows.withColumn("__r", side(ref)).withColumn("__h", side(hyp))
+    for s in ("r", "h"):
+        turns = F.col(f"__{s}")
+        names = F.array_sort(F.array_distinct(turns.speaker))
+        got = got.withColumn(f"__{s}w", F.flatten(turns.words)).withColumn(f"__{s}d", F.transform(names, said_by(turns)))
+        got = got.withColumn(f"__{s}t", F.array_join(f"__{s}w", " ")).withColumn(f"__{s}n", F.transform(turns.words, F.size))
+    n, m = F.size("__rw"), F.size("__hw")
+    empty, one = (n == 0) & (m == 0), (n == 0) | (m == 0)
+    differ = ~one & (F.col("__rt") != F.col("__ht"))
+    chars = F.coalesce(long_character_distance(F.when(differ, F.col("__rt")), F.when(differ, F.col("__ht"))), F.lit(0))
+    match = _speaker_match("__rt", "__ht", F.col("__r.speaker"), "__rn", F.col("__h.speaker"), "__hn")
+    least = _least_total(F.when(~one, F.col("__rd")), F.when(~one, F.col("__hd")))
+    got = got.withColumn("wer", error_rate(F.coalesce(_joined_distance(F.when(differ, F.col("__rt")), F.when(differ, F.col("__ht"))), F.lit(0)), n, m))
+    got = got.withColumn("cer", error_rate(chars, F.length("__rt"), F.length("__ht")))
+    got = got.withColumn("__m", match).withColumn("mapping", F.col("__m.mapping"))
+    saa = F.when(F.col("__m.aligned") > 0, F.col("__m.matched") / F.col("__m.aligned")).otherwise(0.0)
+    got = got.withColumn("saa", F.when(empty, 1.0).when(one, 0.0).otherwise(saa))
+    got = got.withColumn("cpwer", F.when(empty, 0.0).when(one, 1.0).otherwise(least / n))
+    got = got.withColumn("gap", degradation_gap(F.col("cpwer"), F.col("wer")))
+    return got.drop("__m", *[f"__{s}{x}" for s in "rh" for x in ("", "w", "d", "t", "n")])
+
+
 def evaluate(samples: DataFrame, ref: DataFrame, hyp: DataFrame, key: str = "sample_id", strategy: str = "strategy") -> DataFrame:
     """One row per sample and strategy: wer, cer, saa, cpwer, gap, mapping and format_valid.
 
@@ -129,23 +247,10 @@ def evaluate(samples: DataFrame, ref: DataFrame, hyp: DataFrame, key: str = "sam
     once. ``format_valid`` tells whether the hypothesis had a turn before normalization.
     """
     both = [key, strategy]
-    r, h = (normalize_turns(t).withColumn("words", words(F.col("text"))) for t in (ref, hyp))
-    text = lambda t, k, name: t.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("turn_idx", "words"))).alias(name)).select(*k, F.flatten(f"{name}.words").alias(name))
-    none = F.array().cast("array<string>")
-    base = samples.select(*both).join(text(r, [key], "r"), key, "left").join(text(h, both, "h"), both, "left")
-    base = base.withColumn("r", F.coalesce("r", none)).withColumn("h", F.coalesce("h", none))
-    base = base.withColumn("d", word_distance(F.col("r"), F.col("h"))).withColumn("wer", error_rate(F.col("d"), F.size("r"), F.size("h")))
-    base = base.withColumn("rt", F.array_join("r", " ")).withColumn("ht", F.array_join("h", " "))
-    base = base.withColumn("cer", error_rate(long_character_distance("rt", "ht"), F.length("rt"), F.length("ht")))
-    valid = hyp.select(*both).distinct().withColumn("format_valid", F.lit(True))
-    saa = speaker_accuracy(confusion(r, h, [key], both), both)
-    cp = cpwer(r, h, [key], both).select(*both, "cpwer")
-    all_ = base.join(saa, both, "left").join(cp, both, "left").join(valid, both, "left")
-    empty = (F.size("r") == 0) & (F.size("h") == 0)
-    one = (F.size("r") == 0) | (F.size("h") == 0)
-    fixed = lambda c, if_empty, if_one: F.when(empty, if_empty).when(one, if_one).otherwise(F.coalesce(F.col(c), F.lit(if_one)))
-    out = all_.withColumn("saa", fixed("saa", 1.0, 0.0)).withColumn("cpwer", fixed("cpwer", 0.0, 1.0))
-    return out.select(*both, "wer", "cer", "saa", "cpwer", degradation_gap(F.col("cpwer"), F.col("wer")).alias("gap"), "mapping", F.coalesce("format_valid", F.lit(False)).alias("format_valid"))
+    r, h = (t.withColumn("words", words(normalize(F.col("text")))) for t in (ref, hyp))
+    rows = samples.select(*both).join(nested(r, [key], "__ref"), key, "left").join(nested(h, both, "__hyp"), both, "left")
+    scored = score_nested(rows, "__ref", "__hyp").withColumn("format_valid", F.col("__hyp").isNotNull())
+    return scored.select(*both, "wer", "cer", "saa", "cpwer", "gap", "mapping", "format_valid")
 
 
 def evaluate_pair(ref: list[tuple[str, str]], hyp: list[tuple[str, str]]) -> dict[str, float]:

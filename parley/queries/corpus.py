@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import results, rollups, timeline
+from ..operators import results, rollups, scoring, timeline
 from ..schemas import SAMPLE
 from ..sources import files, views
 from ..sources.scratch import scratch
@@ -299,6 +299,24 @@ def b15_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.agg(F.round(1 - F.avg("alternation"), 6).alias("consecutive_share"), F.round(F.avg(F.when(F.col("alternation") == 1, 1.0).otherwise(0.0)), 6).alias("strict_share"), F.count("*").alias("n"))
 
 
+#: In every third pair of turns the second one is taken into the first, as a model does that misses a change of speakers.
+JOINED = "turn_idx - CASE WHEN turn_idx % 2 = 1 AND (sample_id + turn_idx // 2) % 3 = 0 THEN 1 ELSE 0 END"
+
+
+@query(f""", tb AS (SELECT sample_id, strategy, flatten(list(list_transform(words, lambda x: {JOINED}) ORDER BY turn_idx)) AS t FROM hyps GROUP BY ALL),
+    wt AS (SELECT sample_id, strategy, unnest(t) AS turn_idx, generate_subscripts(t, 1) AS h FROM tb),
+    al AS (SELECT sample_id, strategy, CASE WHEN more THEN rb[j] ELSE rb[i] END AS ref_speaker, CASE WHEN more THEN i ELSE j END AS h FROM (SELECT sample_id, strategy, more, rb, unnest(pl) AS i, generate_subscripts(pl, 1) AS j FROM embedded)),
+    tc AS (SELECT sample_id, strategy, turn_idx, count(DISTINCT ref_speaker) AS k, count(ref_speaker) AS n FROM wt LEFT JOIN al USING (sample_id, strategy, h) GROUP BY ALL)
+    SELECT strategy, count(*) AS turns, CAST(sum(n) AS BIGINT) AS words, round(avg(CASE WHEN k >= 2 THEN 1.0 ELSE 0.0 END), 6) AS merged_share FROM tc GROUP BY strategy""")
+def b15_merged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = (F.col("turn_idx") % 2 == 1) & ((F.col("sample_id") + F.expr("turn_idx div 2")) % 3 == 0)
+    h = views.hypotheses(spark, sf_dir).withColumn("into", F.col("turn_idx") - odd.cast("int"))
+    rows = h.groupBy("sample_id", "strategy", "into").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "words"))).alias("t"))
+    joined = rows.select("sample_id", "strategy", F.col("into").alias("turn_idx"), F.col("t")[0].speaker.alias("speaker"), F.flatten("t.words").alias("words"))
+    got = scoring.turn_coverage(views.turns(spark, sf_dir), joined, ["sample_id"], ["sample_id", "strategy"])
+    return got.groupBy("strategy").agg(F.count("*").alias("turns"), F.sum("n").alias("words"), F.round(F.avg(F.when(F.col("speakers") >= 2, 1.0).otherwise(0.0)), 6).alias("merged_share"))
+
+
 @query(f"""SELECT slice, strategy, count(*) AS n, round(avg(wer), 6) AS mean_wer FROM (
     SELECT unnest(list_filter([CASE WHEN sample_id IN ({', '.join(map(str, LISTED))}) THEN 'listed' END, CASE WHEN sample_id NOT IN ({', '.join(map(str, LISTED))}) THEN 'rest' END, CASE WHEN sample_id % 2 = 0 THEN 'even' END], lambda x: x IS NOT NULL)) AS slice, strategy, wer FROM scores) GROUP BY ALL""")
 def b16_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,51 +59,43 @@ def d04_flat_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.flat_words(views.turns(spark, sf_dir), ["sample_id"])
 
 
-SAME_WORDS = "c AS (SELECT h.sample_id, h.strategy, t.speaker AS ref_speaker, h.speaker AS hyp_speaker, CAST(sum(t.n_words) AS BIGINT) AS n FROM hyps h JOIN turns t USING (sample_id, turn_idx) WHERE h.strategy IN ('flips', 'labels') AND t.n_words > 0 GROUP BY ALL)"
+ALIGNED = "c AS (SELECT sample_id, strategy, ref_speaker, hyp_speaker, CAST(v AS BIGINT) AS n FROM aligned_cells)"
 
 
 def same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hypotheses(spark, sf_dir).where("strategy in ('flips', 'labels')")
 
 
-def cells(spark: SparkSession, sf_dir: str, hyp: DataFrame) -> DataFrame:
-    return scoring.confusion(views.turns(spark, sf_dir), hyp, ["sample_id"], ["sample_id", "strategy"])
+def cells(spark: SparkSession, sf_dir: str, hyp: DataFrame | None = None) -> DataFrame:
+    return scoring.confusion(views.turns(spark, sf_dir), views.hypotheses(spark, sf_dir) if hyp is None else hyp, ["sample_id"], ["sample_id", "strategy"])
 
 
-@query(f", {SAME_WORDS} SELECT sample_id, strategy, CAST(sum(n) AS BIGINT) AS aligned FROM c GROUP BY ALL")
+@query(f", {ALIGNED} SELECT sample_id, strategy, CAST(sum(n) AS BIGINT) AS aligned FROM c WHERE strategy IN ('flips', 'labels') GROUP BY ALL")
 def d05_aligned_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir, same_words(spark, sf_dir))
     return c.groupBy("sample_id", "strategy").agg(F.sum("n").alias("aligned"))
 
 
-@query()
+@query(f", {ALIGNED} SELECT sample_id, strategy, CAST(sum(n) AS BIGINT) AS aligned FROM c WHERE strategy IN ('baseline', 'adaptive') GROUP BY ALL")
 def d05_aligned_words_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir, views.hypotheses(spark, sf_dir).where("strategy in ('baseline', 'adaptive')"))
     return c.groupBy("sample_id", "strategy").agg(F.sum("n").alias("aligned"))
 
 
-@query(f", {SAME_WORDS} SELECT * FROM c")
+@query(f", {ALIGNED} SELECT * FROM c")
 def d06_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(spark, sf_dir, same_words(spark, sf_dir))
+    return cells(spark, sf_dir)
 
 
-#: The best of all one-to-one mappings of at most three labels on each side, by enumeration.
-ENUMERATED = f"""{SAME_WORDS},
-    l AS (SELECT sample_id, strategy, list_sort(list_distinct(list(ref_speaker))) AS rs, list_sort(list_distinct(list(hyp_speaker))) AS hs, sum(n) AS total FROM c GROUP BY ALL),
-    pm AS (SELECT unnest([[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]) AS p),
-    v AS (SELECT l.sample_id, l.strategy, l.total, p, (SELECT coalesce(sum(c.n), 0) FROM c WHERE c.sample_id = l.sample_id AND c.strategy = l.strategy AND p[list_position(l.rs, c.ref_speaker)] = list_position(l.hs, c.hyp_speaker)) AS hit FROM l CROSS JOIN pm),
-    best AS (SELECT sample_id, strategy, CAST(max(hit) AS DOUBLE) AS matched, CAST(max(hit) AS DOUBLE) / max(total) AS saa FROM v GROUP BY ALL)"""
-
-
-@query(f", {ENUMERATED} SELECT sample_id, strategy, matched FROM best")
+@query("SELECT sample_id, strategy, CAST(best AS DOUBLE) AS matched FROM saa_best")
 def d07_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scoring._matrix(cells(spark, sf_dir, same_words(spark, sf_dir)), ["sample_id", "strategy"], "ref_speaker", "hyp_speaker", "n")
+    m = scoring._matrix(cells(spark, sf_dir), ["sample_id", "strategy"], "ref_speaker", "hyp_speaker", "n")
     return scoring.assigned(m, ["sample_id", "strategy"], True).select("sample_id", "strategy", F.col("total").alias("matched"))
 
 
-@query(f", {ENUMERATED} SELECT sample_id, strategy, saa FROM best")
+@query("SELECT sample_id, strategy, CAST(best AS DOUBLE) / total AS saa FROM saa_best")
 def d08_speaker_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.speaker_accuracy(cells(spark, sf_dir, same_words(spark, sf_dir)), ["sample_id", "strategy"]).select("sample_id", "strategy", "saa")
+    return scoring.speaker_accuracy(cells(spark, sf_dir), ["sample_id", "strategy"]).select("sample_id", "strategy", "saa")
 
 
 @query("SELECT sample_id, speaker, string_agg(array_to_string(words, ' '), ' ' ORDER BY turn_idx) AS doc FROM turns WHERE len(words) > 0 GROUP BY ALL")
@@ -116,22 +108,34 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hypotheses(spark, sf_dir).where("strategy <> 'labels'")
 
 
-@query()
+COST_CELLS = """, rl AS (SELECT sample_id, list_sort(list(DISTINCT speaker)) AS rs FROM turns GROUP BY ALL), hl AS (SELECT sample_id, strategy, list_sort(list(DISTINCT speaker)) AS hs FROM hyps WHERE strategy <> 'labels' GROUP BY ALL),
+    kk AS (SELECT *, unnest(range(greatest(len(rs), len(hs)))) AS i, greatest(len(rs), len(hs)) AS k FROM hl JOIN rl USING (sample_id)), ij AS (SELECT *, unnest(range(k)) AS j FROM kk)
+    SELECT ij.sample_id, ij.strategy, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(coalesce(c.cost, len(r.doc), len(h.doc), 0) AS INTEGER) AS cost FROM ij
+    LEFT JOIN ref_docs r ON r.sample_id = ij.sample_id AND r.speaker = rs[i + 1] LEFT JOIN hyp_docs h ON h.sample_id = ij.sample_id AND h.strategy = ij.strategy AND h.speaker = hs[j + 1]
+    LEFT JOIN costs c ON c.sample_id = ij.sample_id AND c.strategy = ij.strategy AND c.ref_speaker = rs[i + 1] AND c.hyp_speaker = hs[j + 1]"""
+
+
+@query(COST_CELLS)
 def d10_cost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cost_cells(views.turns(spark, sf_dir), edited(spark, sf_dir), ["sample_id"], ["sample_id", "strategy"])
 
 
-@query()
+@query("SELECT sample_id, strategy, CAST(n + m - best AS BIGINT) AS cost FROM k1 JOIN cost_best USING (sample_id, strategy) WHERE strategy <> 'labels'")
 def d11_least_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.cpwer(views.turns(spark, sf_dir), edited(spark, sf_dir), ["sample_id"], ["sample_id", "strategy"]).select("sample_id", "strategy", "cost")
 
 
-@query("SELECT sample_id, CAST(0 AS DOUBLE) AS cpwer, CAST(0 AS BIGINT) AS cost FROM samples WHERE n_words > 0")
+@query("SELECT sample_id, cpwer, CAST(cpwer * n_words AS BIGINT) AS cost FROM scores JOIN (SELECT sample_id, n_words FROM samples) USING (sample_id) WHERE n_words > 0 AND strategy = 'labels'")
 def d12_cpwer_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = views.hypotheses(spark, sf_dir).where("strategy = 'labels'")
     return scoring.cpwer(views.turns(spark, sf_dir), h, ["sample_id"], ["sample_id", "strategy"]).select("sample_id", "cpwer", "cost")
 
 
+@query("SELECT sample_id, strategy, cpwer FROM scores JOIN k1 USING (sample_id, strategy) WHERE n > 0 AND m > 0")
+def d12_cpwer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.cpwer(views.turns(spark, sf_dir), views.hypotheses(spark, sf_dir), ["sample_id"], ["sample_id", "strategy"]).select("sample_id", "strategy", "cpwer")
+
+
 @query("SELECT sample_id, strategy, greatest(0.0, cpwer - wer) AS gap FROM scores")
 def d13_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.scores(spark, sf_dir).select("sample_id", "strategy", scoring.degradation_gap(F.col("cpwer"), F.col("wer")).alias("gap"))
@@ -141,14 +145,14 @@ def texts(hyp: DataFrame) -> DataFrame:
     return hyp.select("sample_id", "strategy", "turn_idx", "speaker", F.array_join("words", " ").alias("text"))
 
 
-@query(f""", {ENUMERATED} SELECT sample_id, strategy, CAST(0 AS DOUBLE) AS wer, CAST(0 AS DOUBLE) AS cer, saa, true AS format_valid FROM best""")
+@query("SELECT sample_id, strategy, wer, cer, saa, true AS format_valid FROM scores WHERE strategy IN ('flips', 'labels')")
 def d14_evaluate_same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = texts(same_words(spark, sf_dir))
     e = scoring.evaluate(h.select("sample_id", "strategy").distinct(), views.raw_turns(spark, sf_dir), h)
     return e.select("sample_id", "strategy", "wer", "cer", "saa", "format_valid")
 
 
-@query()
+@query("SELECT sample_id, strategy, wer, cer, saa, cpwer, gap, true AS format_valid FROM scores")
 def d14_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = texts(views.hypotheses(spark, sf_dir))
     return scoring.evaluate(h.select("sample_id", "strategy").distinct(), views.raw_turns(spark, sf_dir), h).drop("mapping")

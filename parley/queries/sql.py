@@ -30,6 +30,57 @@ BUCKET = "CASE WHEN duration_ms < 70000 THEN '<70s' WHEN duration_ms < 180000 TH
 PCT = "CASE WHEN duration_ms > 0 THEN 100.0 * overlap_ms / duration_ms ELSE 0.0 END"
 TIER = f"CASE WHEN {PCT} < 16 THEN 'moderate_12_16_pct' WHEN {PCT} < 20 THEN 'high_16_20_pct' ELSE 'extreme_over_20_pct' END"
 
+
+
+def best_of(name: str, cells: str) -> str:
+    """name(sample_id, strategy, best, total): the largest sum of v over one-to-one pairs of at most three labels a side, by enumeration."""
+    return f"""{name}_l AS (SELECT sample_id, strategy, list_sort(list_distinct(list(ref_speaker))) AS rs, list_sort(list_distinct(list(hyp_speaker))) AS hs, sum(v) AS total FROM {cells} GROUP BY ALL),
+{name}_p AS (SELECT c.sample_id, c.strategy, q, sum(CASE WHEN q[list_position(rs, ref_speaker)] = list_position(hs, hyp_speaker) THEN v ELSE 0 END) AS hit, any_value(total) AS total
+  FROM {cells} c JOIN {name}_l USING (sample_id, strategy), (SELECT unnest([[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]) AS q) GROUP BY ALL),
+{name} AS (SELECT sample_id, strategy, CAST(max(hit) AS BIGINT) AS best, CAST(max(total) AS BIGINT) AS total FROM {name}_p GROUP BY ALL)"""
+
+
+#: Every hypothesis here is its reference with words left out, or the other way round, so the alignment that prefers
+#: matches from the end is the embedding of the shorter side in the longer one that takes the last place it can.
+MATCHED = f"""
+ref_side AS (SELECT sample_id, flatten(list(words ORDER BY turn_idx)) AS rw, flatten(list(list_transform(words, lambda x: speaker) ORDER BY turn_idx)) AS rb FROM turns GROUP BY ALL),
+hyp_side AS (SELECT sample_id, strategy, flatten(list(words ORDER BY turn_idx)) AS hw, flatten(list(list_transform(words, lambda x: speaker) ORDER BY turn_idx)) AS hb FROM hyps GROUP BY ALL),
+both_sides AS (SELECT *, len(hw) > len(rw) AS more, CASE WHEN len(hw) > len(rw) THEN hw ELSE rw END AS big, CASE WHEN len(hw) > len(rw) THEN rw ELSE hw END AS small FROM hyp_side JOIN ref_side USING (sample_id)),
+big_places AS (SELECT sample_id, strategy, w, list(i ORDER BY i) AS pl FROM (SELECT sample_id, strategy, unnest(big) AS w, generate_subscripts(big, 1) AS i FROM both_sides) GROUP BY ALL),
+small_places AS (SELECT sample_id, strategy, list(pl ORDER BY j DESC) AS pls FROM (SELECT sample_id, strategy, unnest(small) AS w, generate_subscripts(small, 1) AS j FROM both_sides) JOIN big_places USING (sample_id, strategy, w) GROUP BY ALL),
+embedded AS (SELECT b.*, list_reverse(list_reduce(list_prepend([len(big) + 1], pls), lambda s, e: list_append(s, list_filter(e, lambda i: i < s[len(s)])[-1]))[2:]) AS pl FROM both_sides b JOIN small_places USING (sample_id, strategy)),
+aligned AS (SELECT sample_id, strategy, CASE WHEN more THEN rb[j] ELSE rb[i] END AS ref_speaker, CASE WHEN more THEN hb[i] ELSE hb[j] END AS hyp_speaker
+  FROM (SELECT sample_id, strategy, more, rb, hb, unnest(pl) AS i, generate_subscripts(pl, 1) AS j FROM embedded)),
+aligned_cells AS (SELECT sample_id, strategy, ref_speaker, hyp_speaker, count(*) AS v FROM aligned GROUP BY ALL),
+{best_of("saa_best", "aligned_cells")}"""
+
+WIDE = 120
+_ALL = f"{(1 << WIDE) - 1}::HUGEINT"
+_FEWER, _MORE = "CAST(a[1] < 0 AS HUGEINT)", "CAST(a[1] > 0 AS HUGEINT)"
+#: One block of rows of one column of an edit table, as bits: a is [step into the block, ...], q is [same, up, down, last row].
+_BLOCK = f"""list_transform([xor((((q[1] | {_FEWER}) & q[2]) + q[2]), q[2]) | q[1] | {_FEWER}], lambda across:
+  list_transform([[q[3] | xor({_ALL}, {_ALL} & (across | q[2])), q[2] & across]], lambda d:
+    list_concat(list_prepend(((d[1] >> q[4]) & 1) - ((d[2] >> q[4]) & 1), a[2:]),
+      [((d[2] << 1) & {_ALL}) | {_FEWER} | xor({_ALL}, q[1] | q[3] | ((d[1] << 1) & {_ALL}) | {_MORE}), (((d[1] << 1) & {_ALL}) | {_MORE}) & (q[1] | q[3])]))[1])[1]"""
+_COLUMN = f"""list_transform([list_reduce(list_prepend([1::HUGEINT], list_transform(range(1, len(e) + 1), lambda b: [e[b], s[2 * b], s[2 * b + 1], CASE WHEN b = len(e) THEN last ELSE {WIDE - 1} END])), lambda a, q: {_BLOCK})], lambda r: list_prepend(s[1] + r[1], r[2:]))[1]"""
+_WALK = f"list_reduce(list_prepend(list_prepend(len(x)::HUGEINT, flatten(list_transform(cols[1], lambda b: [{_ALL}, 0::HUGEINT]))), cols), lambda s, e: {_COLUMN})[1]"
+#: Word edit distance of every two speakers' documents of a sample, by bit vectors; eight branches only to use eight threads.
+COSTS = f"""
+ref_docs AS (SELECT sample_id, speaker, flatten(list(words ORDER BY turn_idx)) AS doc FROM turns WHERE n_words > 0 GROUP BY ALL),
+hyp_docs AS (SELECT sample_id, strategy, speaker, flatten(list(words ORDER BY turn_idx)) AS doc FROM hyps WHERE len(words) > 0 GROUP BY ALL),
+doc_pairs AS (SELECT row_number() OVER () AS p, h.sample_id, strategy, r.speaker AS ref_speaker, h.speaker AS hyp_speaker, len(r.doc) AS n, len(h.doc) AS m,
+  CASE WHEN len(r.doc) >= len(h.doc) THEN r.doc ELSE h.doc END AS x, CASE WHEN len(r.doc) >= len(h.doc) THEN h.doc ELSE r.doc END AS y FROM hyp_docs h JOIN ref_docs r USING (sample_id)),
+row_words AS (SELECT p, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM doc_pairs),
+column_words AS (SELECT p, unnest(y) AS w, generate_subscripts(y, 1) AS j FROM doc_pairs),
+row_bits AS (SELECT p, i // {WIDE} AS b, w, CAST(sum(1::HUGEINT << (i % {WIDE})::INT) AS HUGEINT) AS same FROM row_words GROUP BY ALL),
+row_blocks AS (SELECT p, unnest(range(0, (len(x) + {WIDE - 1}) // {WIDE})) AS b FROM doc_pairs),
+column_bits AS (SELECT c.p, j, list(coalesce(same, 0::HUGEINT) ORDER BY k.b) AS e FROM row_blocks k JOIN column_words c USING (p) LEFT JOIN row_bits r ON r.p = k.p AND r.b = k.b AND r.w = c.w GROUP BY c.p, j),
+columns_of AS (SELECT p, list(e ORDER BY j) AS cols FROM column_bits GROUP BY p),
+tables_of AS (SELECT d.*, cols, ((len(x) - 1) % {WIDE})::HUGEINT AS last FROM doc_pairs d JOIN columns_of USING (p)),
+costs AS ({" UNION ALL ".join(f"SELECT sample_id, strategy, ref_speaker, hyp_speaker, n, m, CAST({_WALK} AS BIGINT) AS cost FROM tables_of WHERE p % 8 = {k}" for k in range(8))}),
+saved AS (SELECT sample_id, strategy, ref_speaker, hyp_speaker, n + m - cost AS v FROM costs),
+{best_of("cost_best", "saved")}"""
+
 VIEWS = f"""
 t0 AS (
   SELECT conv_id AS sample_id, CAST(turn AS INTEGER) AS turn_idx, role AS speaker, text,
@@ -59,18 +110,19 @@ h0 AS (
   UNION ALL
   SELECT 'labels', sample_id, turn_idx, {WRONG}, words FROM turns),
 hyps AS (SELECT *, {label("role")} AS speaker FROM h0),
-k0 AS (
-  SELECT h.sample_id, h.strategy, CAST(sum(t.n_words) AS BIGINT) AS n, CAST(sum(len(h.words)) AS BIGINT) AS m,
-         CAST(sum(CASE WHEN h.role <> t.speaker THEN t.n_words ELSE 0 END) AS BIGINT) AS f,
-         CAST(sum(length(array_to_string(t.words, ''))) AS BIGINT) AS cn, CAST(sum(length(array_to_string(h.words, ''))) AS BIGINT) AS cm
-  FROM hyps h JOIN turns t USING (sample_id, turn_idx) GROUP BY ALL),
+{MATCHED},
+{COSTS},
 k1 AS (
-  SELECT sample_id, strategy, {rate("abs(n - m)", "n", "m")} AS wer, {rate("abs(cn - cm)", "cn", "cm")} AS cer,
-         CASE WHEN n = 0 THEN 1.0 ELSE CAST(n - f AS DOUBLE) / n END AS saa, {rate("abs(n - m) + f", "n", "m")} AS cpwer FROM k0),
+  SELECT sample_id, strategy, CAST(len(rw) AS BIGINT) AS n, CAST(len(hw) AS BIGINT) AS m, length(array_to_string(rw, ' ')) AS cn, length(array_to_string(hw, ' ')) AS cm FROM both_sides),
+k2 AS (
+  SELECT k1.sample_id, k1.strategy, {rate("abs(n - m)", "n", "m")} AS wer, {rate("abs(cn - cm)", "cn", "cm")} AS cer,
+         CASE WHEN n = 0 AND m = 0 THEN 1.0 WHEN n = 0 OR m = 0 THEN 0.0 ELSE CAST(s.best AS DOUBLE) / s.total END AS saa,
+         {rate("(n + m - c.best)", "n", "m")} AS cpwer
+  FROM k1 LEFT JOIN saa_best s USING (sample_id, strategy) LEFT JOIN cost_best c USING (sample_id, strategy)),
 scores AS (
-  SELECT k1.sample_id, strategy, duration_ms, num_speakers, num_turns, overlap_ms, wer, cer, saa, cpwer, greatest(0.0, cpwer - wer) AS gap,
+  SELECT k2.sample_id, strategy, duration_ms, num_speakers, num_turns, overlap_ms, wer, cer, saa, cpwer, greatest(0.0, cpwer - wer) AS gap,
          CAST(CASE strategy WHEN 'baseline' THEN 2000 + duration_ms // 20 WHEN 'adaptive' THEN 1500 + duration_ms // 25 ELSE 1000 + duration_ms // 40 END AS BIGINT) AS latency_ms
-  FROM k1 JOIN samples USING (sample_id)),
+  FROM k2 JOIN samples USING (sample_id)),
 segs AS (
   SELECT user_id AS sample_id, event_type AS speaker, event_id AS pos, epoch_us(ts) // 1000 AS start_ms,
          epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) AS end_ms FROM events)

@@ -28,9 +28,21 @@ def raw_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("turn_idx"), F.col("role").alias("speaker"), "text")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed reference turns: (sample_id, turn_idx, speaker, text, words, n_words, start_ms, end_ms)."""
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over all shuffle partitions, which adaptive execution then leaves as they are.
+
+    Scoring takes much time for few bytes, so partitions that are joined for their size would leave cores idle.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def turns(spark: SparkSession, sf_dir: str, keep_parts: bool = False) -> DataFrame:
+    """Timed reference turns: (sample_id, turn_idx, speaker, text, words, n_words, start_ms, end_ms).
+
+    ``keep_parts`` asks that the shuffle by sample which the windows need keeps all its partitions.
+    """
     t = raw_turns(spark, sf_dir).withColumn("words", words(normalize(F.col("text")))).withColumn("n_words", F.size("words"))
+    t = spread(t, "sample_id") if keep_parts else t
     w = Window.partitionBy("sample_id").orderBy("turn_idx")
     t = t.withColumn("__prev", F.lag("speaker").over(w)).withColumn("__n", F.lag("n_words").over(w))
     early = F.when(F.col("__prev") != F.col("speaker"), F.least("n_words", "__n") * OVERLAP_WORD_MS).otherwise(0)
@@ -53,19 +65,24 @@ def _mapped(column: str, table: dict[str, str]):
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col(column)]
 
 
+def _plans(sample, turn, speaker, words_) -> list[tuple]:
+    """(strategy, words, role) of what each strategy makes of a turn."""
+    role = F.create_map(*[F.lit(x) for pair in NEXT_ROLE.items() for x in pair])[speaker]
+    keep = lambda salt, n: F.filter(words_, lambda w, i: F.pmod(i + salt, F.lit(n)) != n - 1)
+    many = F.flatten(F.array_repeat(words_, 4))
+    where = lambda cond: F.when(cond, role).otherwise(speaker)
+    return [
+        ("baseline", F.when(sample % REPEATED == 0, many).otherwise(keep(turn, 7)), where((3 * sample + turn) % 5 == 0)),
+        ("adaptive", keep(sample, 13), where((sample + turn) % 9 == 0)),
+        ("flips", words_, where((sample + 2 * turn) % 4 == 0)),
+        ("labels", words_, role),
+    ]
+
+
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample_id, strategy, turn_idx, role, speaker, words) of every strategy."""
     t = turns(spark, sf_dir).select("sample_id", "turn_idx", "speaker", "words")
-    wrong = _mapped("speaker", NEXT_ROLE)
-    keep = lambda salt, n: F.filter("words", lambda w, i: F.pmod(i + F.col(salt), F.lit(n)) != n - 1)
-    many = F.flatten(F.array_repeat("words", 4))
-    where = lambda cond: F.when(cond, wrong).otherwise(F.col("speaker"))
-    plans = [
-        ("baseline", F.when(F.col("sample_id") % REPEATED == 0, many).otherwise(keep("turn_idx", 7)), where((3 * F.col("sample_id") + F.col("turn_idx")) % 5 == 0)),
-        ("adaptive", keep("sample_id", 13), where((F.col("sample_id") + F.col("turn_idx")) % 9 == 0)),
-        ("flips", F.col("words"), where((F.col("sample_id") + 2 * F.col("turn_idx")) % 4 == 0)),
-        ("labels", F.col("words"), wrong),
-    ]
+    plans = _plans(F.col("sample_id"), F.col("turn_idx"), F.col("speaker"), F.col("words"))
     made = F.array(*[F.struct(F.lit(n).alias("strategy"), r.alias("role"), w.alias("words")) for n, w, r in plans])
     out = t.select("sample_id", "turn_idx", F.explode(made).alias("h")).select("sample_id", "h.strategy", "turn_idx", "h.role", "h.words")
     return out.withColumn("speaker", _mapped("role", LABEL))
@@ -74,25 +91,36 @@ def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (sample, strategy): wer, cer, saa, cpwer, gap, latency_ms and the sample's totals.
 
-    wer is the word error rate by edit distance of the sample's words; cer, saa and cpwer are stand-ins with
-    the shape of the real ones: lost characters, words under their own speaker, and both losses together.
+    The metrics are those of ``scoring.score_nested``. Turns are read, timed and gathered once; a sample's hypotheses
+    and totals are made from its gathered turns, in the same row.
     """
-    from ..functions.distance import error_rate, word_distance
-
-    ref = turns(spark, sf_dir)
-    ref = ref.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "speaker", "words"))).alias("r"))
-    hyp = hypotheses(spark, sf_dir).groupBy("sample_id", "strategy").agg(F.array_sort(F.collect_list(F.struct("turn_idx", "role", "words"))).alias("h"))
-    both = hyp.join(ref, "sample_id").join(samples(spark, sf_dir), "sample_id")
-    both = both.withColumn("ref", F.flatten("r.words")).withColumn("hyp", F.flatten("h.words"))
-    both = both.withColumn("distance", word_distance(F.col("ref"), F.col("hyp")))
-    n, m = F.size("ref"), F.size("hyp")
-    chars = lambda c: F.length(F.array_join(c, ""))
-    flipped = F.expr("aggregate(zip_with(r, h, (a, b) -> if(a.speaker = b.role, 0, size(a.words))), 0, (s, x) -> s + x)")
-    both = both.withColumn("wer", error_rate(F.col("distance"), n, m)).withColumn("__f", flipped)
-    both = both.withColumn("saa", F.when(n == 0, 1.0).otherwise((n - F.col("__f")) / n)).withColumn("cer", error_rate(F.abs(chars("ref") - chars("hyp")), chars("ref"), chars("hyp")))
-    both = both.withColumn("cpwer", error_rate(F.col("distance") + F.col("__f"), n, m)).withColumn("gap", F.greatest(F.lit(0.0), F.col("cpwer") - F.col("wer")))
+    from ..operators.scoring import score_nested
+
+    t = turns(spark, sf_dir, keep_parts=True).select("sample_id", F.struct("turn_idx", "speaker", "words", "n_words", "start_ms", "end_ms").alias("t"))
+    rows = t.groupBy("sample_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    pairs = F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t")), lambda a, b: F.greatest(a.end_ms - b.start_ms, F.lit(0)))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = rows.select(
+        "sample_id", "t", F.array_max("t.end_ms").alias("duration_ms"), F.size(F.array_distinct("t.speaker")).alias("num_speakers"), F.size("t").alias("num_turns"),
+        F.when(F.size("t") > 1, total(pairs)).otherwise(F.lit(0).cast("long")).alias("overlap_ms"),
+    )
+    label = F.create_map(*[F.lit(x) for pair in LABEL.items() for x in pair])
+
+    def said(k: int):
+        def turn(t):
+            _, w, r = _plans(F.col("sample_id"), t.turn_idx, t.speaker, t.words)[k]
+            return F.struct(label[r].alias("speaker"), w.alias("words"))
+
+        return F.transform("t", turn)
+
+    names = [n for n, *_ in _plans(*[F.lit(0)] * 4)]
+    made = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), said(k).alias("hyp")) for k, n in enumerate(names)])).alias("h")
+    ref = F.transform("t", lambda t: F.struct(t.speaker.alias("speaker"), t.words.alias("words"))).alias("ref")
+    both = rows.select("sample_id", "duration_ms", "num_speakers", "num_turns", "overlap_ms", ref, made)
+    both = both.select("sample_id", "h.strategy", "duration_ms", "num_speakers", "num_turns", "overlap_ms", "ref", "h.hyp")
     slow = F.when(F.col("strategy") == "baseline", 2000 + F.expr("duration_ms div 20")).when(F.col("strategy") == "adaptive", 1500 + F.expr("duration_ms div 25")).otherwise(1000 + F.expr("duration_ms div 40"))
-    return both.select("sample_id", "strategy", "duration_ms", "num_speakers", "num_turns", "overlap_ms", "wer", "cer", "saa", "cpwer", "gap", slow.cast("long").alias("latency_ms"))
+    got = score_nested(both, "ref", "hyp")
+    return got.select("sample_id", "strategy", "duration_ms", "num_speakers", "num_turns", "overlap_ms", "wer", "cer", "saa", "cpwer", "gap", slow.cast("long").alias("latency_ms"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
