@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,26 +128,51 @@ def stitch(parts: DataFrame, key: str = "sample_id") -> DataFrame:
     return a.join(b, [key, "window", "turn_idx"]).groupBy(key, "window", "before", "after").agg(F.count("*").alias("n"))
 
 
-def renamed(parts: DataFrame, key: str = "sample_id") -> DataFrame:
-    """(key, window, turn_idx, speaker): windows' turns under the names of the first window.
+def _followed(maps: DataFrame, key: str, spark) -> DataFrame:
+    """``maps`` (key, window, own, to_window, to), each label's place one step back, followed to its end.
 
-    The assignment of ``stitch``'s votes gives each window's labels those of the window before, and so on back; a
-    label without votes keeps its own name. A sample has as many assignments as windows but one.
+    Maps of windows compose associatively, so each round joins the table with itself and doubles every step: as many
+    rounds as the longest chain has binary digits. Each round is written, which keeps plans short and outlives executors.
     """
-    from .scoring import _matrix, assigned
+    from ..sources.scratch import scratch
 
-    best = assigned(_matrix(stitch(parts, key), [key, "window"], "after", "before", "n"), [key, "window"], True)
-    kind = dict(parts.dtypes)[key]
+    root, k = scratch(spark, "stitch"), 0
+    while True:
+        maps.write.parquet(f"{root}/{k}")
+        maps = spark.read.schema(maps.schema).parquet(f"{root}/{k}")
+        if not maps.where("moved").limit(1).count():
+            return maps.drop("moved")
+        on = maps.select(F.col(key).alias("__k"), F.col("window").alias("__w"), F.col("own").alias("__o"), F.col("to_window").alias("__tw"), F.col("to").alias("__t"))
+        met = maps.join(on, (F.col(key) == F.col("__k")) & (F.col("to_window") == F.col("__w")) & (F.col("to") == F.col("__o")))
+        maps = met.select(key, "window", "own", F.col("__tw").alias("to_window"), F.col("__t").alias("to"), (F.col("__tw") < F.col("to_window")).alias("moved"))
+        k += 1
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        names: dict[tuple[int, str], str] = {}
-        for _, w, own, before in pdf.sort_values("window").itertuples(index=False):
-            names |= {(w, a): names.get((w - 1, b), b) for a, b in zip(own, before, strict=True)}
-        return pd.DataFrame([(pdf[key].iloc[0], w, a, b) for (w, a), b in names.items()], columns=["__k", "__w", "__a", "__b"])
 
-    names = best.select(key, "window", F.col("rows").alias("own"), F.col("cols").alias("before")).groupBy(key).applyInPandas(chain, f"__k {kind}, __w int, __a string, __b string")
+def renamed(parts: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, window, turn_idx, speaker): windows' turns under names that hold throughout a sample.
+
+    The assignment of ``stitch``'s votes maps each window's labels to those of the window before, one to one, pairs
+    without a vote left out. A label keeps the name of the first label its chain of maps leads back to. A chain that
+    begins after the first window is a newcomer's: its name is the label and ``@`` and the window, and a label of the first
+    window that already looks like that gets ``@0``. So no two labels of a window ever share a name.
+    """
+    from .scoring import _matrix, assigned
+
+    votes = stitch(parts, key)
+    best = assigned(_matrix(votes, [key, "window"], "after", "before", "n"), [key, "window"], True)
+    pairs = best.select(key, "window", F.explode(F.arrays_zip(F.col("rows").alias("after"), F.col("cols").alias("before"))).alias("p")).select(key, "window", "p.after", "p.before")
+    pairs = pairs.join(votes.select(key, "window", "after", "before"), [key, "window", "after", "before"], "left_semi")
+    labels = parts.select(key, "window", F.col("speaker").alias("own")).where("own is not null").distinct()
+    back = pairs.select(key, "window", F.col("after").alias("own"), "before")
+    maps = labels.join(back, [key, "window", "own"], "left")
+    known = F.col("before").isNotNull()
+    maps = maps.select(key, "window", "own", F.when(known, F.col("window") - 1).otherwise(F.col("window")).alias("to_window"), F.coalesce("before", "own").alias("to"), known.alias("moved"))
+    ends = _followed(maps, key, parts.sparkSession)
+    late = (F.col("to_window") > 0) | F.col("to").rlike(r"@\d+$")
+    name = F.when(late, F.concat("to", F.lit("@"), F.col("to_window").cast("string"))).otherwise(F.col("to"))
+    names = ends.select(F.col(key).alias("__k"), F.col("window").alias("__w"), F.col("own").alias("__a"), name.alias("__b"))
     same = (F.col(key) == F.col("__k")) & (F.col("window") == F.col("__w")) & (F.col("speaker") == F.col("__a"))
-    return parts.join(names, same, "left").select(key, "window", "turn_idx", F.coalesce("__b", "speaker").alias("speaker"))
+    return parts.join(names, same, "left").select(key, "window", "turn_idx", F.col("__b").alias("speaker"))
 
 
 def runaway(output_words: Column, expected_words: Column, factor: float = 4.0) -> Column:

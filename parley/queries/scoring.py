@@ -337,12 +337,18 @@ def f07_speaker_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.samples(spark, sf_dir).select("sample_id", gating.speaker_count(F.when(k % 5 == 0, 4), F.when(k % 3 == 0, 3).otherwise(0), F.when(k % 2 == 0, F.col("num_speakers"))).alias("n"))
 
 
-@query(f""", {GATE} SELECT sample_id, CASE WHEN reason IN ('too_few_turns', 'bypass') OR sample_id % 6 = 0 THEN 1000 ELSE 1250 END AS latency_ms FROM gate""")
+#: The gate without words that mark a debate, as the strategies' own list has none of these texts.
+GATED = GATE.replace("strong OR len(found) >= 2", "false")
+
+
+@query(f""", {GATED} SELECT sample_id, CAST(CASE WHEN reason IN ('too_few_turns', 'bypass') OR sample_id % 3 = 0 THEN 1000 ELSE 1250 END AS BIGINT) AS latency_ms,
+    reason NOT IN ('too_few_turns', 'bypass') AS triggered, CASE WHEN reason NOT IN ('too_few_turns', 'bypass') AND sample_id % 3 = 0 THEN 'no recorded reply' END AS error FROM gate WHERE sample_id IN (SELECT sample_id FROM said)""")
 def f08_fallback_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gating.gate(gate_samples(spark, sf_dir), said(spark, sf_dir), markers=MARKERS, strong=STRONG)
-    bypass = g.where(~F.col("triggered")).select("sample_id", F.lit(1000).alias("latency_ms"))
-    second = g.where("triggered").select("sample_id", F.when(F.col("sample_id") % 6 == 0, 1000).otherwise(1250).alias("latency_ms"))
-    return bypass.unionByName(second)
+    """The adaptive strategy where a third of the second calls have no reply: the first call's turns and time stay."""
+    s = strategies.STRATEGIES["adaptive"]
+    lost = recorded(spark, sf_dir, s).recorded.where("not (stage = 'stage2' and sample_id % 3 = 0)")
+    _, info = strategies.run(s, gate_samples(spark, sf_dir).join(said(spark, sf_dir), "sample_id", "left_semi"), backends.Replay(lost))
+    return info.select("sample_id", "latency_ms", "triggered", "error")
 
 
 @query(f""", {SWITCHES} SELECT sample_id, CASE WHEN duration_ms > 210000 AND {PCT} >= 20 OR duration_ms > 300000 AND {PCT} >= 16 THEN 3 WHEN duration_ms < 70000 AND switches < 4 THEN 1 ELSE 2 END AS tier
@@ -381,13 +387,29 @@ def window_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(w, inside).select("sample_id", "window", "turn_idx", F.when(F.col("window") % 2 == 0, F.col("speaker")).otherwise(F.concat(F.lit("x"), "speaker")).alias("speaker"))
 
 
-@query(f""", {WINDOWS}, wt AS (SELECT w.sample_id, w."window" AS k, t.turn_idx, t.speaker FROM wd w JOIN turns t ON t.sample_id = w.sample_id AND t.start_ms < w."window" * 105000 + 120000 AND t.end_ms > w."window" * 105000),
+#: Short windows, so that samples have many; the labels A, B and C change hands in every window.
+CLASHING = """wd AS (SELECT sample_id, unnest(range(0, CAST(greatest(0, ceil((duration_ms - 40000) / 30000.0)) AS BIGINT) + 1)) AS k FROM samples),
+    wt AS (SELECT w.sample_id, k, turn_idx, speaker, chr(CAST(65 + (CASE speaker WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END + k) % 3 AS INTEGER)) AS label
+      FROM wd w JOIN turns t ON t.sample_id = w.sample_id AND t.start_ms < k * 30000 + 40000 AND t.end_ms > k * 30000)"""
+
+
+def clashing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of every window they reach into, under labels that stand for another speaker in each window."""
+    w = gating.windows(views.samples(spark, sf_dir), 40_000, 10_000).select(F.col("sample_id").alias("s"), "window", "from_ms")
+    t = views.turns(spark, sf_dir)
+    inside = (F.col("s") == t.sample_id) & (t.start_ms < F.col("from_ms") + 40_000) & (t.end_ms > F.col("from_ms"))
+    place = F.when(F.col("speaker") == "user", 0).when(F.col("speaker") == "assistant", 1).otherwise(2)
+    return t.join(w, inside).select("sample_id", "window", "turn_idx", F.get(F.array(*map(F.lit, "ABC")), (place + F.col("window")) % 3).alias("speaker"))
+
+
+@query(f""", {CLASHING},
     linked AS (SELECT DISTINCT b.sample_id, b.k, b.speaker, true AS goes_on FROM wt a JOIN wt b ON a.sample_id = b.sample_id AND a.turn_idx = b.turn_idx AND b.k = a.k + 1),
-    named AS (SELECT sample_id, k, speaker, max(CASE WHEN goes_on IS NULL THEN k END) OVER (PARTITION BY sample_id, speaker ORDER BY k) AS since
-              FROM (SELECT DISTINCT sample_id, k, speaker FROM wt) LEFT JOIN linked USING (sample_id, k, speaker))
-    SELECT sample_id, k AS "window", turn_idx, CASE WHEN since % 2 = 0 THEN speaker ELSE 'x' || speaker END AS speaker FROM wt JOIN named USING (sample_id, k, speaker)""")
+    named AS (SELECT sample_id, k, speaker, label, max(CASE WHEN goes_on IS NULL THEN k END) OVER (PARTITION BY sample_id, speaker ORDER BY k) AS since
+              FROM (SELECT DISTINCT sample_id, k, speaker, label FROM wt) LEFT JOIN linked USING (sample_id, k, speaker)),
+    called AS (SELECT n.sample_id, n.k, n.speaker, f.label || CASE WHEN n.since = 0 THEN '' ELSE '@' || n.since END AS name FROM named n JOIN named f ON f.sample_id = n.sample_id AND f.speaker = n.speaker AND f.k = n.since)
+    SELECT sample_id, CAST(k AS INTEGER) AS "window", turn_idx, name AS speaker FROM wt JOIN called USING (sample_id, k, speaker)""")
 def f11_stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gating.renamed(window_turns(spark, sf_dir))
+    return gating.renamed(clashing_turns(spark, sf_dir))
 
 
 @query("SELECT h.sample_id, h.strategy, sum(len(h.words)) > 2.5 * sum(t.n_words) AS runaway FROM hyps h JOIN turns t USING (sample_id, turn_idx) GROUP BY ALL")
@@ -496,7 +518,7 @@ def g10_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return played(spark, sf_dir, "adaptive")
 
 
-@query(f""", {GATE.replace("strong OR len(found) >= 2", "false")} SELECT sample_id, CAST(CASE WHEN sample_id NOT IN (SELECT sample_id FROM said) THEN 0 WHEN reason IN ('too_few_turns', 'bypass') THEN 1000 ELSE 1250 END AS BIGINT) AS latency_ms, reason NOT IN ('too_few_turns', 'bypass') AS triggered, reason FROM gate""")
+@query(f""", {GATED} SELECT sample_id, CAST(CASE WHEN sample_id NOT IN (SELECT sample_id FROM said) THEN 0 WHEN reason IN ('too_few_turns', 'bypass') THEN 1000 ELSE 1250 END AS BIGINT) AS latency_ms, reason NOT IN ('too_few_turns', 'bypass') AS triggered, reason FROM gate""")
 def g10_adaptive_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = strategies.STRATEGIES["adaptive"]
     return strategies.run(s, gate_samples(spark, sf_dir), recorded(spark, sf_dir, s))[1].drop("error")
@@ -517,9 +539,8 @@ class Refused(Exception):
         self.code = code
 
 
-def unreliable(prompt: str, tried: dict[str, int] = {}) -> tuple[str, float]:  # noqa: B006  counts tries in its worker
-    """A model that refuses some calls once and some always, by the prompt's length."""
-    n = tried[prompt] = tried.get(prompt, 0) + 1
+def unreliable(prompt: str, n: int) -> tuple[str, float]:
+    """A model that refuses some calls at the first try and some always, by the prompt's length."""
     if len(prompt) % 5 == 0:
         raise Refused(400, "bad request")
     if len(prompt) % 5 == 1 and n % 2:
@@ -529,12 +550,27 @@ def unreliable(prompt: str, tried: dict[str, int] = {}) -> tuple[str, float]:  #
     return f"said {len(prompt)}", 0.25
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 'said ' || length(text) END AS raw_response,
-    CAST(CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 250 END AS BIGINT) AS latency_ms, CASE WHEN length(text) % 5 = 0 THEN 'Refused: bad request' END AS error
-    FROM conversations WHERE text IS NOT NULL""")
+CALLED = """SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE 'said ' || length(text) END AS raw_response,
+    CAST(CASE WHEN length(text) % 5 = 0 OR text IS NULL THEN NULL ELSE 250 END AS BIGINT) AS latency_ms, CASE WHEN text IS NULL THEN 'no prompt' WHEN length(text) % 5 = 0 THEN 'Refused: bad request' END AS error
+    FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE text END AS text FROM conversations)"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a prompt; every fourth turn has none."""
+    c = views.read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 4 != 3, F.col("text")).alias("prompt"), F.length("text").alias("seconds"))
+
+
+@query(CALLED)
 def k02_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = views.read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("prompt"))
-    return backends.Calls(unreliable)(asked, "stage1").select("conv_id", "turn", "raw_response", "latency_ms", "error")
+    return backends.Calls(unreliable, at_once=6)(asked(spark, sf_dir), "stage1").select("conv_id", "turn", "raw_response", "latency_ms", "error")
+
+
+@query(CALLED)
+def m01_calls_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calls from partitions of equal cost, the longest first."""
+    calls = backends.Calls(unreliable, at_once=6, cost="seconds", by=("conv_id", "turn"), parts=8)
+    return calls(asked(spark, sf_dir), "stage1").select("conv_id", "turn", "raw_response", "latency_ms", "error")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN true WHEN 'click' THEN event_id % 1000 IN (429, 500, 502, 503, 504) OR event_id % 7 = 0 ELSE false END AS retry FROM events""")

@@ -39,3 +39,69 @@ def test_route(spark):
     rows = [(60.0, 5.0, False, 1), (60.0, 25.0, True, 2), (220.0, 20.0, True, 3), (301.0, 16.0, False, 3), (700.0, 10.0, True, 2), (100.0, 30.0, True, 2)]
     df = spark.createDataFrame(rows, "s double, o double, t boolean, want int").withColumn("got", G.route(F.col("s"), F.col("o"), F.col("t")))
     assert all(r.got == r.want for r in df.collect())
+
+
+def stitched(spark, rows):
+    df = spark.createDataFrame(rows, "sample_id string, window int, turn_idx int, speaker string")
+    return {(r.sample_id, r.window, r.turn_idx): r.speaker for r in G.renamed(df).collect()}
+
+
+def test_newcomers_never_take_a_name(spark):
+    """Window 1 calls the first speaker B and a new one A."""
+    got = stitched(spark, [("s", 0, 0, "A"), ("s", 0, 1, "B"), ("s", 0, 2, "A"), ("s", 1, 2, "B"), ("s", 1, 3, "A")])
+    assert got == {("s", 0, 0): "A", ("s", 0, 1): "B", ("s", 0, 2): "A", ("s", 1, 2): "A", ("s", 1, 3): "A@1"}
+
+
+def test_labels_that_look_like_newcomers(spark):
+    got = stitched(spark, [("s", 0, 0, "A@1"), ("s", 0, 1, "B"), ("s", 1, 1, "B"), ("s", 1, 2, "A")])
+    assert got == {("s", 0, 0): "A@1@0", ("s", 0, 1): "B", ("s", 1, 1): "B", ("s", 1, 2): "A@1"}
+
+
+def plain_stitch(rows):
+    """Window by window, by the best assignment of shared turns."""
+    from itertools import permutations
+
+    out, names = {}, {}
+    for s in sorted({r[0] for r in rows}):
+        for w in range(max(r[1] for r in rows if r[0] == s) + 1):
+            own = {t: x for k, v, t, x in rows if (k, v) == (s, w)}
+            before = {t: x for k, v, t, x in rows if (k, v) == (s, w - 1)}
+            votes = {}
+            for t in own.keys() & before.keys():
+                votes[own[t], before[t]] = votes.get((own[t], before[t]), 0) + 1
+            a, b = sorted({x for x, _ in votes}), sorted({y for _, y in votes})
+            b += [None] * max(0, len(a) - len(b))
+            best = max(permutations(b, len(a)), key=lambda p: sum(votes.get((x, y), 0) for x, y in zip(a, p, strict=True)), default=())
+            back = {x: y for x, y in zip(a, best, strict=True) if (x, y) in votes}
+            for x in set(own.values()):
+                names[s, w, x] = names[s, w - 1, back[x]] if x in back else (w, x)
+        for k, w, t, x in rows:
+            if k == s:
+                v, label = names[s, w, x]
+                out[s, w, t] = label if v == 0 else f"{label}@{v}"
+    return out
+
+
+def test_stitching_against_a_plain_version(spark):
+    """Unambiguous votes over many windows: speakers pause, come back and newcomers take their labels."""
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for k in range(12):
+        turns = [r.choice("uvwx") for _ in range(r.randint(3, 70))]
+        for w in range(max(1, (len(turns) - 5) // 4 + 1)):
+            labels = dict(zip("uvwx", r.sample("ABCD", 4), strict=True))
+            rows += [(f"s{k}", w, t, labels[turns[t]]) for t in range(4 * w, min(len(turns), 4 * w + 6))]
+    got = stitched(spark, rows)
+    assert got == plain_stitch(rows)
+    per = {}
+    for s, w, t, x in rows:
+        per.setdefault((s, w), {}).setdefault(got[s, w, t], set()).add(x)
+    assert all(len(x) == 1 for names in per.values() for x in names.values())  # no two labels of a window ever meet
+    assert max(w for _, w, _, _ in rows) >= 9
+
+
+def test_one_window_and_none(spark):
+    assert stitched(spark, [("s", 0, 0, "A")]) == {("s", 0, 0): "A"}
+    assert stitched(spark, []) == {}

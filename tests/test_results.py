@@ -52,14 +52,14 @@ def test_wav_files(spark, tmp_path):
 
 
 def test_calls_retry_and_keep_errors(spark):
-    def flaky(prompt):
+    def flaky(prompt, n):
         if prompt == "bad":
             raise TimeoutError("slow")
-        return prompt.upper(), 0.5
+        return f"{prompt.upper()} {n}", 0.5
 
-    df = spark.createDataFrame([("a", "ok"), ("b", "bad")], "sample_id string, prompt string")
+    df = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("c", None), ("d", "")], "sample_id string, prompt string")
     got = {r.sample_id: (r.raw_response, r.latency_ms, r.error) for r in backends.Calls(flaky)(df, "stage1").collect()}
-    assert got == {"a": ("OK", 500, None), "b": (None, None, "TimeoutError: slow")}
+    assert got == {"a": ("OK 1", 500, None), "b": (None, None, "TimeoutError: slow"), "c": (None, None, "no prompt"), "d": (" 1", 500, None)}
     assert all(0 <= w <= 60 for w in backends.waits())
 
 
@@ -118,3 +118,51 @@ def test_tolerant_reads_raise_what_is_not_a_missing_path(spark, tmp_path):
     assert sorted(r[0] for r in results.tolerant(spark, f"file://{tmp_path}", "sample_id long").collect()) == [3, 4]
     with pytest.raises(Exception):  # noqa: B017  any failure of the store
         results.tolerant(spark, "nosuchstore://x/y.json", "sample_id long")
+
+
+def test_calls_overlap_and_keep_their_order(spark):
+    """Four at once take a quarter of the time, never more than four run, and replies stand with their prompts."""
+    import time
+
+    def slow(prompt, n):
+        began = time.time()
+        time.sleep(0.1)
+        return f"{prompt} {began} {time.time()}", 0.1
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(24)], "sample_id int, prompt string").coalesce(1)
+    for at_once in (1, 4):
+        rows = backends.Calls(slow, at_once=at_once)(df, "stage1").collect()
+        assert [r.raw_response.split()[0] for r in rows] == [r.prompt for r in rows]
+        spans = [tuple(map(float, r.raw_response.split()[1:])) for r in rows]
+        alive = max(sum(a <= t < b for a, b in spans) for t, _ in spans)
+        assert alive == at_once
+    with pytest.raises(ValueError):
+        backends.Calls(slow, at_once=0)
+
+
+def test_calls_end_with_their_budget(spark):
+    def refused(prompt, n):
+        raise ValueError("no")
+
+    df = spark.createDataFrame([(i, "p") for i in range(40)], "sample_id int, prompt string").coalesce(1)
+    errors = [r.error for r in backends.Calls(refused, at_once=2, most_failures=5)(df, "stage1").collect()]
+    called = sum(e == "ValueError: no" for e in errors)
+    assert 5 <= called <= 6  # one more may be in flight
+    assert set(errors[10:]) == {"not called: too many failures"}
+
+
+def test_partitions_of_equal_cost(spark):
+    from parley.plans.balance import balanced
+
+    rows = [(i, float(i % 97) ** 2) for i in range(4000)] + [(5000 + i, None) for i in range(50)] + [(6000, -3.0)]
+    df = spark.createDataFrame(rows, "id long, cost double").repartition(3)
+    got = balanced(df, "cost", ["id"], parts=5).select("*", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.id, r.cost or 0) for r in got) == sorted((i, c or 0) for i, c in rows)
+    loads = [sum(r.cost or 0 for r in got if r.p == p) for p in range(5)]
+    assert max(loads) < 1.1 * sum(loads) / 5
+    for p in range(5):
+        own = [-1e9 if r.cost is None else r.cost for r in got if r.p == p]
+        assert own == sorted(own, reverse=True)
+    free = balanced(df.withColumn("cost", F.lit(0.0)), "cost", ["id"], parts=5).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(free) == 5
+    assert balanced(df.where("false"), "cost", ["id"], parts=5).count() == 0
