@@ -234,6 +234,50 @@ def e08_broken_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.parse(cut, "json").drop("tag")
 
 
+def mixed(spark: SparkSession, sf_dir: str, lines: list, first) -> DataFrame:
+    """(sample_id, raw_response): said turns, each in the shape of ``lines`` that its place chooses, under an opening line."""
+    t = said(spark, sf_dir)
+    line = F.element_at(F.array(*lines), F.col("turn_idx") % len(lines) + 1)
+    rows = t.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn_idx", line.alias("line")))).alias("l"))
+    return rows.select("sample_id", F.concat_ws("\n", first, F.array_join("l.line", "\n")).alias("raw_response"))
+
+
+@query(f""", {SAID}, m AS (SELECT *, CAST(turn_idx // 4 * 3 + turn_idx % 4 AS INTEGER) AS g FROM said WHERE turn_idx % 4 < 3),
+    j AS (SELECT m.sample_id, g, m.speaker, m.text || coalesce(' ' || n.text, '') AS text FROM m LEFT JOIN said n ON n.sample_id = m.sample_id AND n.turn_idx = m.turn_idx + 1 AND n.turn_idx % 4 = 3),
+    o AS (SELECT DISTINCT sample_id, -1 AS g, CASE sample_id % 3 WHEN 0 THEN 'Dr Rao' ELSE 'Speaker 0' END AS speaker, CASE sample_id % 3 WHEN 0 THEN 'hello' ELSE 'no label stands here: yes' END AS text FROM said WHERE sample_id % 3 < 2)
+    SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY g) - 1 AS INTEGER) AS turn_idx, speaker, text FROM (SELECT * FROM j UNION ALL BY NAME SELECT * FROM o)""")
+def e01_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in three dresses, lines without one, and openings that name a speaker in two words or no one."""
+    lines = [F.format_string("**%s:** %s", "speaker", "text"), F.format_string("- [%s]: %s", "speaker", "text"), F.format_string("# %s \u2013 %s", "speaker", "text"), F.col("text")]
+    first = F.when(F.col("sample_id") % 3 == 0, "Dr Rao: hello").when(F.col("sample_id") % 3 == 1, "no label stands here: yes")
+    return parsers.parse(mixed(spark, sf_dir, lines, first), "labelled").drop("tag")
+
+
+@query(f""", {SAID}, m AS (SELECT *, CASE WHEN turn_idx % 5 IN (1, 4) THEN trim(regexp_replace(text, '^\\d+', '')) ELSE text END AS words FROM said),
+    j AS (SELECT a.sample_id, a.turn_idx, a.speaker, a.words || coalesce(' ' || b.words, '') AS text FROM m a LEFT JOIN m b ON b.sample_id = a.sample_id AND b.turn_idx = a.turn_idx + 1 AND b.turn_idx % 5 = 4 WHERE a.turn_idx % 5 < 4)
+    SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY turn_idx) - 1 AS INTEGER) AS turn_idx, speaker, CASE WHEN turn_idx = 0 THEN 'first words ' ELSE '' END || text AS text FROM j""")
+def e04_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked lines, bare numbers, labels in front, an utterance cut from its label, loose lines; words before the first label."""
+    number = F.regexp_extract("speaker", r"\d+", 0)
+    lines = [
+        F.format_string("[Utterance] %s | [Speaker] %s", "text", "speaker"), F.format_string("- %s | %s", "text", number), F.format_string("%s: %s", "speaker", "text"),
+        F.format_string("**[Utterance]** %s\n | [Speaker]: %s", "text", number), F.col("text"),
+    ]
+    return parsers.parse(mixed(spark, sf_dir, lines, F.lit("first words")), "text_first").drop("tag")
+
+
+@query(f""", {SAID} SELECT sample_id, turn_idx, CASE WHEN turn_idx % 3 = 2 THEN 'Speaker 0' ELSE speaker END AS speaker, text,
+    CASE WHEN turn_idx % 3 = 0 THEN 'RESUMES_AFTER_INTERRUPTION' WHEN turn_idx % 3 = 2 THEN 'ODD_ONE' WHEN lag(CASE WHEN turn_idx % 3 = 2 THEN 'Speaker 0' ELSE speaker END) OVER (PARTITION BY sample_id ORDER BY turn_idx) = speaker THEN 'CONTINUES_SAME_SPEAKER' ELSE 'SPEAKER_FLOOR_SHIFT' END AS tag FROM said""")
+def e06_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences, a preamble with a bar in it, short and unknown tags, bare numbers, and lines without a tag."""
+    lines = [
+        F.format_string("[Utterance] %s | [Transition] resumption | [Speaker] %s", "text", "speaker"), F.format_string("[Utterance] %s | %s", "text", F.regexp_extract("speaker", r"\d+", 0)),
+        F.format_string("* [Utterance]: %s | odd_one | spk_0", "text"),
+    ]
+    first = F.lit("```text\n[Speaker Profiles]\n- Speaker 0: low | hoarse\nno words yet")
+    return parsers.parse(mixed(spark, sf_dir, lines, first), "tagged")
+
+
 FIXES = """fixes AS (SELECT a.sample_id, CAST(row_number() OVER (PARTITION BY a.sample_id ORDER BY a.turn_idx) - 1 AS INTEGER) AS pos, CAST(a.turn_idx + 1 AS VARCHAR) AS turn_id, t.label AS speaker
     FROM (SELECT * FROM hyps WHERE strategy = 'adaptive') a JOIN (SELECT *, CASE speaker WHEN 'user' THEN 'Speaker 0' WHEN 'assistant' THEN 'Speaker 1' ELSE 'Speaker 2' END AS label FROM turns) t USING (sample_id, turn_idx) WHERE t.label <> a.speaker)"""
 
