@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values above this are outliers; weights of the fitness.
@@ -47,6 +47,52 @@ def sliced(scores: DataFrame, slices: dict[str, Column], by: str = "strategy") -
     return rows.groupBy("slice", by).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in ("wer", "cer", "saa", "cpwer", "gap")], (F.avg("latency_ms") / 1000).alias("mean_latency"))
 
 
+#: The slices of ``all_slices``: which of bucket and tier each level tells apart.
+LEVELS = {"overall": (), "bucket": ("bucket",), "tier": ("tier",), "bucket_tier": ("bucket", "tier")}
+DELTAS = ("wer", "cer", "saa", "cpwer", "gap")
+
+
+def all_slices(scores: DataFrame, baseline: str, variant: str = "strategy", places: int = 6) -> DataFrame:
+    """(level, bucket, tier, variant, n, means, trimmed means, mean_latency, outliers, seconds, speedup, delta_..): every rollup in one pass.
+
+    ``scores`` has a bucket and a tier. Grouping sets give all levels from one scan and one shuffle of partial sums; the
+    trimmed means are conditional sums of the same pass. Speedup and deltas are against the baseline of the same slice,
+    found among the few rows of the result; they are null where a slice has no baseline. Numbers are rounded.
+    """
+    sets = [[variant, *keys] for keys in LEVELS.values()]
+    columns = [*macro_columns(), (F.sum("duration_ms") / 1000).alias("seconds"), F.grouping_id().alias("__g")]
+    got = scores.groupingSets(sets, variant, "bucket", "tier").agg(*columns)
+    level = F.when(F.col("__g") == 3, "overall").when(F.col("__g") == 1, "bucket").when(F.col("__g") == 2, "tier").otherwise("bucket_tier")
+    got = got.withColumn("level", level)
+    same = Window.partitionBy("level", "bucket", "tier")
+    base = lambda c: F.max(F.when(F.col(variant) == baseline, F.col(c))).over(same)
+    speedup = F.when(F.col("mean_latency") > 0, base("mean_latency") / F.col("mean_latency")).alias("speedup")
+    shifts = [(F.col(f"mean_{c}") - base(f"mean_{c}")).alias(f"delta_{c}") for c in DELTAS]
+    wide = got.select("level", "bucket", "tier", variant, *[c for c in got.columns if c not in ("level", "bucket", "tier", variant, "__g")], speedup, *shifts)
+    return wide.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in wide.dtypes])
+
+
+def document(slices: DataFrame, variant: str = "strategy") -> DataFrame:
+    """One row: ``all_slices`` folded into one nested document, levels, then slices, then variants.
+
+    (overall: map of variant to numbers, by_bucket and by_tier: map of slice to such a map, by_bucket_and_tier: two deep.)
+    The slices are few whatever the scores, so folding them gathers little.
+    """
+
+    def by_key(entries: Column) -> Column:
+        return F.array_sort(entries, lambda a, b: F.when(a.key < b.key, -1).when(a.key > b.key, 1).otherwise(0))
+
+    numbers = [c for c in slices.columns if c not in ("level", "bucket", "tier", variant)]
+    entry = F.struct(F.col(variant).alias("key"), F.struct(*numbers).alias("value"))
+    per = slices.groupBy("level", "bucket", "tier").agg(F.map_from_entries(by_key(F.collect_list(entry))).alias("m"))
+    tiers = per.where("level = 'bucket_tier'").groupBy("bucket").agg(F.map_from_entries(by_key(F.collect_list(F.struct(F.col("tier").alias("key"), "m")))).alias("tiers"))
+    flat = per.select("level", F.coalesce("bucket", "tier", F.lit("")).alias("slice"), "m", F.lit(None).cast(tiers.schema["tiers"].dataType).alias("tiers")).where("level <> 'bucket_tier'")
+    flat = flat.unionByName(tiers.select(F.lit("bucket_tier").alias("level"), F.col("bucket").alias("slice"), F.lit(None).cast(per.schema["m"].dataType).alias("m"), "tiers"))
+    at = lambda name, value: by_key(F.collect_list(F.when(F.col("level") == name, F.struct(F.col("slice").alias("key"), F.col(value).alias("value")))))
+    lists = flat.agg(at("overall", "m").alias("o"), at("bucket", "m").alias("b"), at("tier", "m").alias("t"), at("bucket_tier", "tiers").alias("bt"))
+    return lists.select(F.get(F.col("o"), 0).value.alias("overall"), F.map_from_entries("b").alias("by_bucket"), F.map_from_entries("t").alias("by_tier"), F.map_from_entries("bt").alias("by_bucket_and_tier"))
+
+
 def fitness(scores: DataFrame, by: list[str]) -> DataFrame:
     """Weighted accuracy, word score and gap score of each group, from means that are not rounded."""
     got = scores.groupBy(*by).agg(F.avg("saa").alias("saa"), F.avg("wer").alias("wer"), F.avg("gap").alias("gap"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..operators import compare, results, rollups, synth, timeline
 from ..plans import search
-from ..sources import views
+from ..sources import files, store, views
+from ..sources.scratch import scratch
 from ..streaming import ingest
 from . import query
 from .corpus import LISTED, pct
@@ -41,6 +42,51 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rollups.macro_summary(scored(spark, sf_dir), ["bucket", "strategy"], "baseline"))
 
 
+GROUPED = f"""g AS (SELECT CASE GROUPING(bucket) * 2 + GROUPING(tier) WHEN 3 THEN 'overall' WHEN 1 THEN 'bucket' WHEN 2 THEN 'tier' ELSE 'bucket_tier' END AS level, bucket, tier, strategy, {MACRO}, sum(duration_ms) / 1000 AS seconds
+      FROM (SELECT *, {BUCKET} AS bucket, {TIER} AS tier FROM scores) GROUP BY GROUPING SETS ((strategy), (strategy, bucket), (strategy, tier), (strategy, bucket, tier)))
+    SELECT g.level, g.bucket, g.tier, g.strategy, g.n, {", ".join(f"round(g.{c}, 6) AS {c}" for c in NUMBERS)}, g.outliers, round(g.seconds, 6) AS seconds, round(b.mean_latency / g.mean_latency, 6) AS speedup,
+      {", ".join(f"round(g.mean_{c} - b.mean_{c}, 6) AS delta_{c}" for c in rollups.DELTAS)}
+    FROM g LEFT JOIN (SELECT * FROM g WHERE strategy = 'baseline') b ON b.level = g.level AND b.bucket IS NOT DISTINCT FROM g.bucket AND b.tier IS NOT DISTINCT FROM g.tier"""
+
+
+@query(f", {GROUPED}")
+def h13_all_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overall, bucket, tier and crossed rollups with trimmed means, speedups and deltas from one pass."""
+    return rollups.all_slices(scored(spark, sf_dir), "baseline")
+
+
+@query(f", {GROUPED}")
+def a18_summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbers written as one nested document, read back and taken apart again."""
+    path = scratch(spark, "summary")
+    made = rollups.document(rollups.all_slices(scored(spark, sf_dir), "baseline"))
+    files.write_document(made, path)
+    doc = files.read_document(spark, path, made.schema)
+    none = F.lit(None).cast("string")
+    overall = doc.select(F.explode("overall").alias("strategy", "v")).select(F.lit("overall").alias("level"), none.alias("bucket"), none.alias("tier"), "strategy", "v.*")
+    one = lambda c, level: doc.select(F.explode(c).alias("slice", "m")).select("slice", F.explode("m").alias("strategy", "v")).select(F.lit(level).alias("level"), *[(F.col("slice") if level == k else none).alias(k) for k in ("bucket", "tier")], "strategy", "v.*")
+    two = doc.select(F.explode("by_bucket_and_tier").alias("bucket", "t")).select("bucket", F.explode("t").alias("tier", "m")).select("bucket", "tier", F.explode("m").alias("strategy", "v")).select(F.lit("bucket_tier").alias("level"), "bucket", "tier", "strategy", "v.*")
+    return overall.unionByName(one("by_bucket", "bucket")).unionByName(one("by_tier", "tier")).unionByName(two)
+
+
+@query("""SELECT 1 AS version, 'baseline' AS strategy, count(*) AS n, round(avg(wer), 6) AS wer, round(avg(saa), 6) AS saa FROM scores WHERE strategy = 'baseline'
+    UNION ALL SELECT 2, CASE WHEN sample_id % 3 = 0 THEN 'adaptive' ELSE 'baseline' END AS s, count(*), round(avg(wer), 6), round(avg(saa), 6) FROM scores WHERE strategy = CASE WHEN sample_id % 3 = 0 THEN 'adaptive' ELSE 'baseline' END GROUP BY s""")
+def m05_compiled_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results merged bucket by bucket before anything is summed up, and a summary compiled from each named version."""
+    own = views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa", F.col("sample_id").alias("pos"))
+    path = scratch(spark, "own-scores")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
+    kept = store.BucketStore(spark, scratch(spark, "results"), buckets=16)
+    kept.put(own.where("strategy = 'baseline'"), 1)
+    again = own.where("strategy = 'adaptive' and sample_id % 3 = 0")
+    kept.put(again, 2)
+    kept.put(again, 2)  # a batch that comes twice
+    summary = lambda df: rounded(df.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("wer").alias("wer"), F.avg("saa").alias("saa")))
+    made = [kept.compile(v, summary, "by-strategy").select(F.lit(v).alias("version"), "*") for v in kept.versions()]
+    return made[0].unionByName(made[1])
+
+
 @query(f", {_speedup('strategy', 'true')}")
 def h01_macro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rollups.macro_summary(scored(spark, sf_dir), ["strategy"], "baseline"))

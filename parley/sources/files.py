@@ -36,6 +36,15 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_document(df: DataFrame, path: str) -> None:
+    """The one row of a nested summary as one JSON document, nulls kept, replacing what was there."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
 def missing_audio(samples: DataFrame, spark: SparkSession, root: str) -> DataFrame:
     """Samples whose file is not under ``root``; only the listing is read, not the content."""
     there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("__f"))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.results import is_missing, upsert
+from ..sources.store import BucketStore
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType, files_a_batch: int = 100) -> DataFrame:
@@ -18,32 +15,21 @@ def read_results(spark: SparkSession, path: str, schema: StructType, files_a_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "sample_id", pos: str = "pos") -> StreamingQuery:
-    """Keeps one row per key under ``target``, the newest, in versions that a pointer file names.
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "sample_id", pos: str = "pos", buckets: int = 64) -> StreamingQuery:
+    """Keeps one row per key under ``target``, the newest, in a ``BucketStore``: a batch rewrites the buckets it touches.
 
-    A batch that runs twice gives the same table: its version is named by the batch, and rows replace rows.
+    A batch that dies changes nothing, and one that runs twice gives the same table: its version is the batch's number.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = current(spark, target)
-        merged = batch if old is None else upsert(old, batch, key, pos).drop("is_new")
-        name = f"v{number}-{uuid.uuid4().hex[:8]}"
-        merged.write.mode("overwrite").parquet(f"{target}/{name}")
-        spark.createDataFrame([(number, name)], "number long, name string").coalesce(1).write.mode("append").json(f"{target}/_versions")
+        BucketStore(batch.sparkSession, target, key, pos, buckets).put(batch, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The newest version, or None before the first. Any failure but a missing path is raised."""
-    try:
-        row = spark.read.schema("number long, name string").json(f"{target}/_versions").orderBy(F.col("number").desc()).head()
-    except AnalysisException as e:
-        if not is_missing(e):
-            raise
-        return None
-    return spark.read.parquet(f"{target}/{row['name']}") if row else None
+    return BucketStore(spark, target).current()
 
 
 def windowed_activity(events: DataFrame, width: str = "1 day", late: str = "1 hour", time: str = "ts") -> DataFrame:
