@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values.
 ZERO_WIDTH = "​‌‍‎‏﻿"
@@ -19,20 +15,19 @@ SPACE = r"[\s\p{Z}]+"
 MAY_COMPOSE = r"[^\x{0}-\x{2FF}]"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
+def composed(text: Column) -> Column:
+    """Canonical composition (NFC), in the JVM: the static method of the Unicode library that Spark's collations ship with.
 
-def compose(df: DataFrame, column: str) -> DataFrame:
-    """Canonical composition (NFC) of ``column``. Only rows that it may change go through the Arrow UDF."""
-    odd = F.coalesce(F.col(column).rlike(MAY_COMPOSE), F.lit(False))
-    return df.where(~odd).unionByName(df.where(odd).withColumn(column, _nfc(column)))
+    Texts that composition cannot change skip the call. The column counts as non-deterministic, as calls to methods do, so it
+    belongs into a projection, not into a join's condition or a group's key.
+    """
+    call = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(MAY_COMPOSE), call).otherwise(text)
 
 
-def composed(text: Column) -> Column:
-    """The same as a column: texts that composition cannot change reach the UDF as nulls."""
-    return F.coalesce(_nfc(F.when(text.rlike(MAY_COMPOSE), text)), text)
+def compose(df: DataFrame, column: str) -> DataFrame:
+    """``composed`` in place."""
+    return df.withColumn(column, composed(F.col(column)))
 
 
 def strip_tags(text: Column) -> Column:

@@ -48,3 +48,25 @@ def test_normalize_is_idempotent(spark):
 def test_slug_and_speaker(spark):
     r = spark.range(1).select(T.model_slug(F.lit("v/some-model-2.5")), T.canonical_speaker(F.lit("spk_07 x")), T.canonical_speaker(F.lit(" host "))).head()
     assert list(r) == ["some_model_2.5", "Speaker 07", "host"]
+
+
+def test_composition_over_all_code_points(spark):
+    import random
+    import unicodedata
+
+    assigned = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    marks = [c for c in assigned if unicodedata.combining(c)]
+    r = random.Random(1)
+    mixed = [r.choice(assigned) + "".join(r.choice(marks) for _ in range(r.randint(1, 4))) + r.choice("áएक가") + r.choice(assigned) for _ in range(20_000)]
+    texts = [" ".join(assigned[i : i + 200]) for i in range(0, len(assigned), 200)] + mixed + ["", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.composed(F.col("t")).alias("n")).collect()
+    assert all(x.n == (x.t and unicodedata.normalize("NFC", x.t)) for x in got)
+
+
+def test_normalization_needs_no_python(spark):
+    from parley import queries as own
+
+    own.load()
+    for name in ("c01_compose", "c07_normalize_documents", "d02_turn_wer", "b01_turn_overlap"):
+        plan = own.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
