@@ -79,10 +79,10 @@ def is_missing(error: Exception) -> bool:
     return condition.startswith("PATH_NOT_FOUND")
 
 
-def tolerant(spark: SparkSession, path: str, schema) -> DataFrame:
+def tolerant(spark: SparkSession, path: str, schema, multi_line: bool = True) -> DataFrame:
     """JSON records of a path; none if it is missing, and none from records that cannot be parsed. Other failures are raised."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return spark.read.schema(schema).option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException as e:
         if not is_missing(e):
             raise

@@ -165,9 +165,16 @@ def a15_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.to_do(views.samples(spark, sf_dir), merged(spark, sf_dir)).select("sample_id")
 
 
-@query("SELECT sample_id FROM samples WHERE false")
+@query("SELECT sample_id, num_turns, n_words FROM samples WHERE sample_id % 4 <> 1")
 def a16_tolerant_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.tolerant(spark, f"{sf_dir}/no_such_results.json", "sample_id long")
+    """Every fourth record is broken, in one of three ways; a path that isn't there adds nothing."""
+    own = views.samples(spark, sf_dir).select("sample_id", "num_turns", "n_words")
+    whole = F.to_json(F.struct(*own.columns))
+    broken = F.element_at(F.array(F.expr("substring(j, 1, length(j) - 1)"), F.lit("not JSON at all"), F.concat(F.lit("]"), F.col("j"))), (F.expr("sample_id div 4") % 3 + 1).cast("int"))
+    path = scratch(spark, "broken")
+    own.withColumn("j", whole).select(F.when(F.col("sample_id") % 4 == 1, broken).otherwise(F.col("j")).alias("value")).write.text(path)
+    found = results.tolerant(spark, path, own.schema, multi_line=False)
+    return found.unionByName(results.tolerant(spark, f"{path}-not-there", own.schema))
 
 
 @query("SELECT sample_id, CASE WHEN sample_id % 2 = 0 THEN 'out/run_' || sample_id || '_partial.json' ELSE 'out/run_' || sample_id || '.json' END AS path FROM samples")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts
 from ..operators import compare, results, rollups, synth, timeline
-from ..plans import search
+from ..plans import backends, search
 from ..sources import files, store, views
 from ..sources.scratch import scratch
 from ..streaming import ingest
@@ -235,12 +235,25 @@ def i10_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.worst(views.scores(spark, sf_dir).where("strategy = 'adaptive'")).select("sample_id", "saa", "gap")
 
 
-@query()
+def judge(prompt: str, n: int) -> tuple[str, float]:
+    """A stand-in for the model that judges and rewrites: its rewritten prompts count themselves."""
+    if prompt.startswith("Reference:"):
+        return f'{{"diarization_score": {len(prompt) % 100}, "finding": "turns of {len(prompt.splitlines())} lines"}}', 0.1
+    return "```\nListen once more, name the speaker of each turn, and let no word of a turn go to anyone but the speaker who said it: version " + str(prompt.count("version") + 1) + "\n```", 0.1
+
+
+@query("""SELECT CAST(g AS INTEGER) AS generation, round(fitness, 4) AS fitness, coalesce(round(fitness, 4) >= max(round(fitness, 4)) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS accepted
+    FROM (SELECT list_position(['baseline', 'flips'], strategy) - 1 AS g, 0.7 * avg(saa) + 0.2 * greatest(0, 1 - avg(wer)) + 0.1 * greatest(0, 1 - avg(gap)) AS fitness FROM scores WHERE strategy IN ('baseline', 'flips') GROUP BY strategy)""")
 def i11_prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.scores(spark, sf_dir)
-    names = {"seed": "baseline", "seed+": "flips", "seed++": "adaptive"}
-    _, history = search.climb(spark, "seed", lambda p: s.where(F.col("strategy") == names.get(p, "labels")), lambda best, worst: best + "+" * min(1, len(worst)))
-    return history
+    """One generation after the seed: the worst samples are judged, the prompt is rewritten by a backend and evaluated."""
+    path = scratch(spark, "scores")
+    views.scores(spark, sf_dir).write.parquet(path)
+    s = spark.read.parquet(path)
+    nested = timeline.nested_turns(views.turns(spark, sf_dir))
+    evaluate = lambda p: s.where(F.col("strategy") == ("flips" if "version 1" in p else "baseline"))
+    shown = lambda p, ids: nested.join(F.broadcast(ids), "sample_id").select("sample_id", F.col("turns").alias("ref"), F.col("turns").alias("hyp"))
+    _, history = search.search(spark, "seed", evaluate, shown, backends.Calls(judge), scratch(spark, "search"), rounds=1)
+    return history.select("generation", "fitness", "accepted")
 
 
 @query(f"SELECT sample_id, strategy, wer FROM scores WHERE sample_id IN ({', '.join(map(str, LISTED))})")
@@ -248,10 +261,12 @@ def i12_listed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.scores(spark, sf_dir).where(F.col("sample_id").isin(LISTED)).select("sample_id", "strategy", "wer")
 
 
-@query("SELECT sample_id, strategy, m.metric, CAST(true AS BOOLEAN) AS ok FROM scores, (SELECT unnest(['wer', 'saa']) AS metric) m")
+@query("SELECT sample_id, strategy, m.metric, NOT (m.metric = 'wer' AND sample_id % 5 = 0 OR m.metric = 'saa' AND strategy = 'flips') AS ok FROM scores, (SELECT unnest(['wer', 'saa']) AS metric) m")
 def i13_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported values are rounded, and some have drifted by twice the tolerance."""
     s = views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa")
-    reported = s.withColumn("wer", F.round("wer", 4)).withColumn("saa", F.round("saa", 4))
+    reported = s.withColumn("wer", F.round("wer", 4) + F.when(F.col("sample_id") % 5 == 0, 0.002).otherwise(0.0))
+    reported = reported.withColumn("saa", F.round("saa", 4) - F.when(F.col("strategy") == "flips", 0.002).otherwise(0.0))
     return compare.consistent(reported, s, ["sample_id", "strategy"], ["wer", "saa"]).select("sample_id", "strategy", "metric", "ok")
 
 
@@ -266,10 +281,14 @@ def j01_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.samples(spark, sf_dir).select("sample_id", prompts.instructions(F.col("num_speakers"), "labelled").alias("prompt"))
 
 
-@query("SELECT unnest([0, 2, 3]) AS n, unnest([0, 2, 3]) AS n_labels, 'utterance,transition_type,speaker' AS fields")
+@query("SELECT sample_id, CASE WHEN sample_id % 4 = 0 THEN 0 ELSE num_speakers END AS n_labels, 'Speaker ' || (num_speakers - 1) AS last_label, 'utterance,transition_type,speaker' AS fields FROM samples WHERE sample_id % 4 <> 0 UNION ALL SELECT sample_id, 0, NULL, 'utterance,transition_type,speaker' FROM samples WHERE sample_id % 4 = 0")
 def j02_response_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [(n, prompts.response_schema(n)["properties"]["dialogue"]["items"]) for n in (0, 2, 3)]
-    return spark.createDataFrame([(n, len(i["properties"]["speaker"].get("enum", [])), ",".join(i["required"])) for n, i in made], "n int, n_labels int, fields string")
+    """The schema of every sample's request, taken apart again; a quarter of the samples state no count."""
+    n = F.when(F.col("sample_id") % 4 == 0, 0).otherwise(F.col("num_speakers"))
+    item = F.get_json_object(prompts.schema_json(n), "$.properties.dialogue.items")
+    labels = F.from_json(F.get_json_object(item, "$.properties.speaker.enum"), "array<string>")
+    got = views.samples(spark, sf_dir).select("sample_id", labels.alias("l"), F.from_json(F.get_json_object(item, "$.required"), "array<string>").alias("f"))
+    return got.select("sample_id", F.coalesce(F.size("l"), F.lit(0)).alias("n_labels"), F.try_element_at("l", F.lit(-1)).alias("last_label"), F.array_join("f", ",").alias("fields"))
 
 
 @query("""SELECT r.sample_id, 'Reference:' || chr(10) || r.t || chr(10) || chr(10) || 'Candidate:' || chr(10) || r.t || chr(10) || chr(10) || 'Score the candidate as JSON.' AS prompt

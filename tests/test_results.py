@@ -166,3 +166,35 @@ def test_partitions_of_equal_cost(spark):
     free = balanced(df.withColumn("cost", F.lit(0.0)), "cost", ["id"], parts=5).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(free) == 5
     assert balanced(df.where("false"), "cost", ["id"], parts=5).count() == 0
+
+
+def test_search_calls_its_judges_and_goes_on(spark, tmp_path):
+    """A broken run continues to the same history, and a finished one calls nobody."""
+    calls = []
+
+    class Recorded:
+        def __init__(self, dies_at=None):
+            self.dies_at = dies_at
+
+        def __call__(self, requests, stage):
+            calls.append(stage)
+            if len(calls) == self.dies_at:
+                raise RuntimeError("killed")
+            reply = F.lit("low") if stage == "critique" else F.concat(F.lit("```\nplease listen closely " + "and closely " * 12), F.expr("length(prompt) - length(replace(prompt, 'closely', ''))").cast("string"), F.lit("\n```"))
+            return requests.withColumn("raw_response", reply).withColumn("error", F.lit(None).cast("string"))
+
+    table = spark.createDataFrame([(i, 0.1 * i, 0.2, 0.1) for i in range(6)], "sample_id long, saa double, wer double, gap double")
+    evaluate = lambda p: table.withColumn("saa", F.col("saa") + F.lit(0.01 * (len(p) % 7)))
+    side = "array<struct<speaker:string,text:string>>"
+    shown = lambda p, ids: ids.select("sample_id", *[F.array(F.struct(F.lit("a").alias("speaker"), F.lit("t").alias("text"))).cast(side).alias(c) for c in ("ref", "hyp")])
+    best, want = search.search(spark, "seed", evaluate, shown, Recorded(), str(tmp_path / "a"), rounds=3)
+    want = want.collect()
+    assert calls == ["critique", "mutation"] * 3 and len(want) == 4 and want[1].prompt.startswith("please listen closely") and want[0].worst == ["0", "1", "2"]
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        search.search(spark, "seed", evaluate, shown, Recorded(dies_at=4), str(tmp_path / "b"), rounds=3)
+    calls.clear()
+    again, got = search.search(spark, "seed", evaluate, shown, Recorded(), str(tmp_path / "b"), rounds=3)
+    assert got.collect() == want and again == best and calls == ["critique", "mutation"] * 2
+    calls.clear()
+    assert search.search(spark, "seed", evaluate, shown, Recorded(), str(tmp_path / "b"), rounds=3)[1].collect() == want and not calls
