@@ -143,7 +143,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     from parley.llm import near_copies
 
     monkeypatch.setattr(near_copies, "MOST_SETS", 16)
-    monkeypatch.setattr("parley.llm.simhash.MOST_GROUP", 16)
+    monkeypatch.setattr(near_copies, "MOST_GROUP", 16)
     base = [f"c{i}" for i in range(300)]
     chain = [" ".join(base[k * 10 : k * 10 + 200]) for k in range(8)]  # neighbours share 0.9, the ends nothing like it
     crowd = [" ".join([*base[:150], f"own{k}", *base[150:]]) for k in range(70)]
