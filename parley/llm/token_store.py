@@ -22,24 +22,27 @@ from .common import small_batches
 FILE_SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>"
 
 
-def part_bounds(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, most_parts: int = 50_000) -> np.ndarray:
-    """Ids that cut the table into about equal parts of ``part_bytes`` of text; an id with very many rows appears again and again.
+def part_bounds(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20, most_parts: int = 50_000) -> tuple[int, np.ndarray]:
+    """(parts for rows without an id, ids that cut the others into about equal parts of ``part_bytes`` of text).
 
-    One pass over lengths and one over ids. At most ``most_parts`` - 1 numbers come to the driver, whatever the table.
+    An id with very many rows appears again and again. One pass over lengths and one over ids. At most ``most_parts`` - 1
+    numbers come to the driver, whatever the table.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 32)).head()[0] or 0
-    n = min(most_parts, max(1, -(-int(total) // part_bytes)))
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + 32
+    total, nameless = docs.agg(F.sum(size), F.sum(F.when(F.col(id_col).cast("long").isNull(), size))).head()
+    first = min(most_parts, -(-int(nameless or 0) // part_bytes))
+    n = min(most_parts, max(1, -(-int((total or 0) - (nameless or 0)) // part_bytes)))
     if n == 1:
-        return np.empty(0, np.int64)
+        return first, np.empty(0, np.int64)
     shares = F.expr("array(" + ", ".join(f"{k / n!r}D" for k in range(1, n)) + ")")
     got = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), shares, F.lit(max(10_000, 10 * n)))).head()[0]
-    return np.array(got or [], np.int64)
+    return first, np.array(got or [], np.int64)
 
 
 def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int | None = bpe.END_ID, row_group_bytes: int = 16 << 20, page_rows: int = 256, part_bytes: int = 16 << 20) -> None:
     """Encode every document and write the ids under ``path`` in ascending id order.
 
-    Null text is empty (the end id alone); null ids come first; rows with the same id are ordered by their ids'
+    Null text is empty (the end id alone); null ids come first, dealt over parts of their own; rows with the same id are ordered by their ids'
     bytes within a file, so repeated rows keep a place each. An id whose rows fill several parts is dealt over them.
     Texts are encoded where they are scanned, and ids travel once. ``part`` numbers the files in id order. A very
     long text is one row, encoded whole; it must fit in a task's memory. Ids must be numbers.
@@ -49,14 +52,16 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     kind = np.dtype("<u2" if max(bpe.most_id(vocab), end_id or 0) < 1 << 16 else "<u4")  # what ids travel as
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = part_bounds(rows, part_bytes=part_bytes)
+    nameless, bounds = part_bounds(rows, part_bytes=part_bytes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = bpe.encoder(vocab), 0
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            ids, turn = batch.column(0).fill_null(0).to_numpy(), seen + np.arange(batch.num_rows)
             lo, hi = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
-            part = lo + (seen + np.arange(len(ids))) % (hi - lo + 1)
+            part = nameless + lo + turn % (hi - lo + 1)
+            if batch.column(0).null_count:
+                part = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), turn % max(nameless, 1), part)
             seen += len(ids)
             raws = [enc.encode(t.as_py() or "") + end for t in batch.column(1)]
             flat = np.frombuffer(b"".join(raws), "<u4").astype(kind)
@@ -77,7 +82,7 @@ def write_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             lists = pa.ListArray.from_arrays(pa.array(((at - at[0]) // kind.itemsize).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts[:-1]), pa.array(n), lists], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
 
-    encoded = rows.mapInArrow(encode, "doc_id long, part int, raw binary").repartitionById(len(bounds) + 1, F.col("part"))
+    encoded = rows.mapInArrow(encode, "doc_id long, part int, raw binary").repartitionById(nameless + len(bounds) + 1, F.col("part"))
     files = encoded.sortWithinPartitions("doc_id", "raw").mapInArrow(lay_out, FILE_SCHEMA)
     writer = files.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows).option("parquet.enable.dictionary", "true")

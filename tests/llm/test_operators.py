@@ -131,9 +131,22 @@ def test_added_tokens_are_ids_of_their_own(tok):
     assert 50256 in np.frombuffer(e.encode("a <|endoftext|> b"), "<u4")
 
 
+def test_token_store_deals_rows_without_ids_over_parts(spark, tok, tmp_path):
+    rows = [(None, f"text number {i} " + "word " * 40) for i in range(60)] + [(i - 2, f"named {i} " * 30) for i in range(30)]
+    path = f"file://{tmp_path}/ids"
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, part_bytes=1000)
+    parts = {p: list(ids) for p, ids in token_store.read_tokens(spark, path).groupBy("part").agg(F.collect_list(F.coalesce("doc_id", F.lit(-99)))).collect()}
+    nameless = [p for p, ids in parts.items() if -99 in ids]
+    assert len(nameless) > 5 and all(set(parts[p]) == {-99} for p in nameless) and max(nameless) < min(set(parts) - set(nameless))
+    got = sorted(token_store.token_rows(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got if r.doc_id is not None] == [i - 2 for i in range(30)] and all(r.doc_id is None for r in got[:60])
+    assert sorted(r.ids_crc32 for r in got) == sorted(crc([*tok(t), 2]) for _, t in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 def test_token_store_deals_a_hot_id_over_parts(spark, tok, tmp_path):
     df = spark.createDataFrame([(7, "one two three")] * 400 + [(7, f"text {i}") for i in range(100)] + [(i, "x") for i in range(100)] + [(None, "y")], "doc_id long, text string")
-    assert (token_store.part_bounds(df, part_bytes=1000) == 7).sum() > 10
+    assert (token_store.part_bounds(df, part_bytes=1000)[1] == 7).sum() > 10
     path = f"file://{tmp_path}/ids"
     token_store.write_tokens(df, path, part_bytes=1000)
     rows = sorted(token_store.token_rows(spark, path).collect(), key=lambda r: r.start)
