@@ -75,6 +75,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, *,
     return left.join(F.broadcast(hot), keys).unionByName(bare.join(cold, keys, how))
 
 
+def spare(docs: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """Column names like the wanted ones that ``docs`` doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 BATCH_BYTES = 8 << 20
 
 

@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, join_hot, release
+from .common import Workspace, join_hot, release, spare
 
 WINDOW, BASE = 50, 13
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers
@@ -208,10 +208,11 @@ def _left(ws: list[bytes], starts: pa.Scalar, copy: bool | None, window: int) ->
 
 
 def _with_marks(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with (__starts, __copy) from ``found``, whose rows are unique by id and tag."""
-    right = found.select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), F.col("starts").alias("__starts"), F.col("copy").alias("__copy"))
-    same = (F.col(id_col).cast("long") == F.col("__d")) & (F.hash(F.col(text_col).cast("string")) == F.col("__t"))
-    return docs.join(right, same, "left").drop("__d", "__t")
+    """``docs`` and, behind its columns, the starts and copy marks from ``found``, whose rows are unique by id and tag."""
+    d, t, starts, copy = spare(docs, "__d", "__t", "__starts", "__copy")
+    right = found.select(F.col("doc_id").alias(d), F.col("tag").alias(t), F.col("starts").alias(starts), F.col("copy").alias(copy))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(d)) & (F.hash(F.col(f"`{text_col}`").cast("string")) == F.col(t))
+    return docs.join(right, same, "left").drop(d, t)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, base: int = BASE) -> DataFrame:

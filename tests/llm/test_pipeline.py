@@ -222,3 +222,6 @@ def test_stages_on_awkward_rows(spark, name):
 def test_strip_keeps_other_columns(spark):
     df = docs_of(spark, [(1, "a b", "en")]).withColumn("starts", F.lit("mine")).withColumn("tag", F.lit(2))
     assert substring_dedup.strip_repeats(df).head().starts == "mine"
+    own = df.withColumns({c: F.lit("mine") for c in ("__d", "__t", "__starts", "__copy")})
+    got = substring_dedup.strip_repeats(own)
+    assert got.columns == own.columns and got.head()[-4:] == ("mine",) * 4
