@@ -86,13 +86,13 @@ def consistent(reported: DataFrame, recomputed: DataFrame, on: list[str], values
 
 def against_constants(summary: DataFrame, constants: DataFrame, values: list[str]) -> DataFrame:
     """Each variant's means minus those of each named baseline row of a small constants table."""
-    base = (constants.select(F.col("name").alias("baseline"), *[F.col(v).alias(f"__{v}") for v in values]))
+    base = constants.select(F.col("name").alias("baseline"), *[F.col(v).alias(f"__{v}") for v in values])
     return summary.crossJoin(base).select("strategy", "baseline", *[(F.col(v) - F.col(f"__{v}")).alias(f"delta_{v}") for v in values])
 
 
 def subset_or_first(samples: DataFrame, ids: list[int], k: int = 3) -> DataFrame:
     """The listed samples if any is there, else the first k by id."""
     listed = samples.where(F.col("sample_id").isin(ids))
-    any_ = (listed.limit(1).agg((F.count("*") > 0).alias("__any")))
+    any_ = listed.limit(1).agg((F.count("*") > 0).alias("__any"))
     first = samples.orderBy("sample_id").limit(k).crossJoin(any_).where(~F.col("__any")).drop("__any")
     return listed.unionByName(first)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..operators import compare, results, rollups, synth, timeline
 from ..plans import backends, search
-from ..sources import files, store, views
+from ..sources import clips, files, store, views
 from ..sources.scratch import scratch
 from ..streaming import ingest
 from . import query
@@ -324,6 +324,18 @@ def l02_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.raw_turns(spark, sf_dir).select("sample_id", "turn_idx", synth.cache_key(F.col("speaker"), F.lit("1.0"), F.col("text")).alias("key"))
 
 
+@query("""SELECT key, CAST(max(n) * 160 AS BIGINT) AS frames, true AS ok, CAST(0 AS BIGINT) AS again FROM (
+    SELECT substr(sha256(speaker || '|1.0|' || text), 1, 24) AS key, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM turns WHERE text IS NOT NULL) GROUP BY key""")
+def l03_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's clip rendered, trimmed, kept under its hash and read back with its header; a second run renders nothing."""
+    kept = clips.ClipStore(spark, scratch(spark, "clips"))
+    wanted = views.raw_turns(spark, sf_dir)
+    kept.add(wanted.where("turn_idx % 2 = 0"))
+    kept.add(wanted)
+    again = kept.add(wanted)
+    return kept.read().withColumn("h", files.check_wav("audio")).select("key", F.col("h.frames").alias("frames"), (F.col("h.ok") & (F.col("h.frames") == F.col("frames"))).alias("ok"), F.lit(again).cast("long").alias("again"))
+
+
 @query("""SELECT printf('call_%03d', row_number() OVER (ORDER BY k, i)) AS spec, bucket, CAST(round((a + (b - a) * i / (n - 1)) * 1000) AS BIGINT) AS duration_ms, CAST(round(13.5 + (row_number() OVER (ORDER BY k, i) * 3.7) % 12.0, 6) AS DOUBLE) AS overlap_pct
     FROM (SELECT *, unnest(range(0, n)) AS i FROM (VALUES (0, 'short_30_70s', 13, 34.0, 66.0), (1, 'medium_70_180s', 13, 76.0, 172.0), (2, 'long_180_300s', 12, 186.0, 294.0), (3, 'very_long_300_600s', 12, 312.0, 585.0)) g(k, bucket, n, a, b))""")
 def l12_specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,8 +388,8 @@ def l08_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l11_second_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = synth.render(l08_timelines(spark, sf_dir), synth.specifications(spark))
-    return synth.second_levels(clips).groupBy("spec").agg(F.count("*").alias("seconds"), F.min("rms").alias("quietest"))
+    made = synth.render(l08_timelines(spark, sf_dir), synth.specifications(spark))
+    return synth.second_levels(made).groupBy("spec").agg(F.count("*").alias("seconds"), F.min("rms").alias("quietest"))
 
 
 @query("SELECT CAST(50 AS BIGINT) AS calls, true AS enough_overlap")

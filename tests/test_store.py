@@ -99,3 +99,24 @@ def test_document_comes_back(spark, tmp_path):
 def test_document_of_nothing(spark):
     doc = rollups.document(rollups.all_slices(spark.createDataFrame([], SCORE_SCHEMA), "base")).head()
     assert doc.overall is None and doc.by_bucket == {}
+
+
+def test_clips_are_rendered_once(spark, tmp_path):
+    import numpy as np
+
+    from parley.sources.clips import ClipStore
+
+    def padded(speaker, text):
+        return np.concatenate([np.zeros(4000), 0.2 * np.sin(np.arange(3200) / 5), np.zeros(6000)])
+
+    s = ClipStore(spark, str(tmp_path / "c"))
+    want = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "one two"), ("a", None), (None, "x"), ("a", "")], "speaker string, text string")
+    assert s.read().count() == 0 and s.missing(want).count() == 3
+    assert s.add(want, padded) == 3 and s.add(want, padded) == 0
+    rows = s.read().withColumn("h", files.check_wav("audio")).collect()
+    assert len(rows) == 3 and all(r.h.ok and r.h.frames == r.frames for r in rows)
+    assert all(3200 + 900 < r.frames <= 3200 + 961 for r in rows)  # 30 ms of the silence are left on each side
+    level = np.sqrt(np.mean((np.frombuffer(bytes(rows[0].audio)[44:], "<i2") / 32767.0) ** 2))
+    assert level == pytest.approx(0.12, abs=0.01)
+    assert s.add(want.union(spark.createDataFrame([("c", "new")], "speaker string, text string")), padded) == 1
+    assert ClipStore(spark, str(tmp_path / "c"), settings="2.0").missing(want).count() == 3
