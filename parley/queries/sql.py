@@ -77,7 +77,7 @@ row_blocks AS (SELECT p, unnest(range(0, (len(x) + {WIDE - 1}) // {WIDE})) AS b
 column_bits AS (SELECT c.p, j, list(coalesce(same, 0::HUGEINT) ORDER BY k.b) AS e FROM row_blocks k JOIN column_words c USING (p) LEFT JOIN row_bits r ON r.p = k.p AND r.b = k.b AND r.w = c.w GROUP BY c.p, j),
 columns_of AS (SELECT p, list(e ORDER BY j) AS cols FROM column_bits GROUP BY p),
 tables_of AS (SELECT d.*, cols, ((len(x) - 1) % {WIDE})::HUGEINT AS last FROM doc_pairs d JOIN columns_of USING (p)),
-costs AS ({" UNION ALL ".join(f"SELECT sample_id, strategy, ref_speaker, hyp_speaker, n, m, CAST({_WALK} AS BIGINT) AS cost FROM tables_of WHERE p % 8 = {k}" for k in range(8))}),
+costs AS MATERIALIZED ({" UNION ALL ".join(f"SELECT sample_id, strategy, ref_speaker, hyp_speaker, n, m, CAST({_WALK} AS BIGINT) AS cost FROM tables_of WHERE p % 8 = {k}" for k in range(8))}),
 saved AS (SELECT sample_id, strategy, ref_speaker, hyp_speaker, n + m - cost AS v FROM costs),
 {best_of("cost_best", "saved")}"""
 

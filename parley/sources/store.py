@@ -111,5 +111,6 @@ class BucketStore:
                 fs.delete(where, True)
         where, fs = self._fs(f"{self.root}/data")
         for status in fs.listStatus(where) if fs.exists(where) else []:
-            if status.getPath().getName() not in named and status.getPath().getName() <= stamps[-1]:
+            name = status.getPath().getName()
+            if name not in named and int(name.split("-")[0]) <= int(stamps[-1].split("-")[0]):
                 fs.delete(status.getPath(), True)
