@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from ..functions.assignment import align, best_pairs, matched_speakers
-from ..functions.distance import character_distance, edit_distance, error_rate, long_character_distance, word_distance
+from ..functions.distance import character_distance, edit_distance, error_rate, long_character_distance
 from ..functions.text import normalize, words
+from ..plans.balance import spread
 
 
 def flat_words(turns: DataFrame, key: list[str], order: str = "turn_idx", words_col: str = "words") -> DataFrame:
@@ -29,27 +30,36 @@ def tagged_arrays(turns: DataFrame, key: list[str], out: str, order: str = "turn
     return rows.select(*key, F.flatten(F.transform("t", lambda t: F.transform(t.w, lambda w: F.struct(t.speaker.alias("speaker"), w.alias("word"))))).alias(out))
 
 
+def both_sides(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
+    """(key.., h, r): both sides' turns of the samples that have both, dealt over all shuffle partitions.
+
+    Gathered turns are many times as large as Spark takes them to be, so the join is a merge join: no side goes whole
+    through the driver.
+    """
+    return _met(nested(hyp, key, "h"), nested(ref, ref_key, "r"), ref_key, key)
+
+
+def _met(hyp: DataFrame, ref: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
+    return spread(hyp.hint("merge").join(ref, ref_key), *key)
+
+
 def confusion(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
     """(key.., ref_speaker, hyp_speaker, n): words aligned as equal or substituted, by both speakers.
 
-    Samples whose words are the same on both sides align position by position and stay in the JVM; only the
-    others go through the alignment in Arrow batches.
+    Words go to the alignment with a speaker and a length for each turn, in Arrow batches.
     """
-    both = tagged_arrays(hyp, key, "h").join(tagged_arrays(ref, ref_key, "r"), ref_key)
-    same = F.col("r.word") == F.col("h.word")
+    both = both_sides(ref, hyp, ref_key, key)
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for *k, hs, hw, rs, rw in pdf.itertuples(index=False):
-                out += [(*k, a, b, n) for (a, b), n in matched_speakers(list(rw), list(hw), rs, hs).items()]
+            for *k, hs, hn, hw, rs, rn, rw in pdf.itertuples(index=False):
+                out += [(*k, a, b, n) for (a, b), n in matched_speakers(list(rw), list(hw), np.repeat(rs, rn).tolist(), np.repeat(hs, hn).tolist()).items()]
             yield pd.DataFrame(out, columns=[*key, "ref_speaker", "hyp_speaker", "n"])
 
     kinds = ", ".join(f"{k} {t}" for k, t in both.select(*key).dtypes)
-    plain = both.where(same).select(*key, F.explode(F.zip_with("r", "h", lambda a, b: F.struct(a.speaker.alias("ref_speaker"), b.speaker.alias("hyp_speaker")))).alias("p"))
-    plain = plain.groupBy(*key, F.col("p.ref_speaker").alias("ref_speaker"), F.col("p.hyp_speaker").alias("hyp_speaker")).agg(F.count("*").alias("n"))
-    rest = both.where(~same).select(*key, F.col("h.speaker").alias("hs"), F.col("h.word").alias("hw"), F.col("r.speaker").alias("rs"), F.col("r.word").alias("rw"))
-    return plain.unionByName(rest.mapInPandas(aligned, f"{kinds}, ref_speaker string, hyp_speaker string, n long"))
+    side = lambda s: (F.col(f"{s}.speaker").alias(f"{s}s"), F.transform(F.col(f"{s}.words"), F.size).alias(f"{s}n"), F.flatten(f"{s}.words").alias(f"{s}w"))
+    return both.where("size(h) > 0 and size(r) > 0").select(*key, *side("h"), *side("r")).mapInPandas(aligned, f"{kinds}, ref_speaker string, hyp_speaker string, n long")
 
 
 def aligned_blocks(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
@@ -128,20 +138,21 @@ def speaker_documents(turns: DataFrame, key: list[str], order: str = "turn_idx",
     return rows.select(*key, "speaker", F.flatten("t.w").alias("doc"))
 
 
+def _both_documents(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
+    """(key.., h, r): arrays of each side's (speaker, doc) in label order."""
+    docs = lambda t, k, name: speaker_documents(t, k).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("speaker", "doc"))).alias(name))
+    return _met(docs(hyp, key, "h"), docs(ref, ref_key, "r"), ref_key, key)
+
+
 def cost_cells(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
     """(key.., i, j, cost): word distance between the i-th reference and j-th hypothesis speaker, padded square.
 
     Speakers are in label order; the shorter side is filled with empty documents. Both sides are a sample's few
     speakers, so the pairs of a sample are as few.
     """
-    docs = lambda t, k, name: speaker_documents(t, k).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("speaker", "doc"))).alias(name))
-    both = docs(hyp, key, "h").join(docs(ref, ref_key, "r"), ref_key)
-    k = F.greatest(F.size("r"), F.size("h"))
-    cells = both.select(*key, "r", "h", F.explode(F.sequence(F.lit(0), k - 1)).alias("i"), k.alias("k")).select(*key, "r", "h", "i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    none = F.array().cast("array<string>")
-    doc = lambda side, at: F.coalesce(F.get(F.col(side), F.col(at)).getField("doc"), none)
-    cells = cells.select(*key, "i", "j", doc("r", "i").alias("a"), doc("h", "j").alias("b"))
-    return cells.select(*key, "i", "j", word_distance(F.col("a"), F.col("b")).alias("cost"))
+    both = _both_documents(ref, hyp, ref_key, key)
+    rows = both.select(*key, F.posexplode(_costs(F.col("r.doc"), F.col("h.doc"))).alias("i", "row"))
+    return rows.select(*key, "i", F.posexplode("row").alias("j", "cost"))
 
 
 def cpwer(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) -> DataFrame:
@@ -149,11 +160,11 @@ def cpwer(ref: DataFrame, hyp: DataFrame, ref_key: list[str], key: list[str]) ->
 
     Samples present on one side only have no row here; ``evaluate`` gives them their fixed values.
     """
-    m = _matrix(cost_cells(ref, hyp, ref_key, key), key, "i", "j", "cost")
-    m = assigned(m, key, False)
-    n = lambda t, k, name: t.groupBy(*k).agg(F.sum(F.size("words")).alias(name))
-    joined = m.join(n(hyp, key, "n_hyp"), key).join(n(ref, ref_key, "n_ref"), ref_key)
-    return joined.select(*key, error_rate(F.col("total"), F.col("n_ref"), F.col("n_hyp")).alias("cpwer"), F.col("total").cast("long").alias("cost"))
+    both = _both_documents(ref, hyp, ref_key, key)
+    n = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda s, x: s + F.size(x.doc))
+    total = _least_cost(F.col("r.doc"), F.col("h.doc"))
+    got = both.select(*key, total.alias("total"), n("r").alias("n_ref"), n("h").alias("n_hyp"))
+    return got.select(*key, error_rate(F.col("total"), F.col("n_ref"), F.col("n_hyp")).alias("cpwer"), F.col("total").cast("long").alias("cost"))
 
 
 def degradation_gap(cp: Column, w: Column) -> Column:
@@ -184,18 +195,35 @@ def _joined_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else character_distance(a.split(" "), b.split(" ")) for a, b in zip(ref, hyp, strict=True)], dtype="Int32")
 
 
+def _cost_matrix(ref: list, hyp: list) -> list[list[int]]:
+    """Word distances of all pairs of two sides' documents, the shorter side filled with empty ones."""
+    k = max(len(ref), len(hyp))
+    rs, hs = ([list(d) for d in side] + [[]] * (k - len(side)) for side in (ref, hyp))
+    return [[character_distance(a, b) for b in hs] for a in rs]
+
+
+def _least(ref: list, hyp: list) -> float:
+    cells = _cost_matrix(ref, hyp)
+    return best_pairs(np.array(cells, float), False)[0] if cells else 0.0
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _costs(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """``_cost_matrix`` of arrays of documents, each an array of words."""
+    return pd.Series([_cost_matrix(r, h) for r, h in zip(ref, hyp, strict=True)], dtype=object)
+
+
+@F.pandas_udf(DoubleType())
+def _least_cost(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """The least total word distance of one-to-one pairs of documents, each an array of words."""
+    return pd.Series([_least(r, h) for r, h in zip(ref, hyp, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def _least_total(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The least total word distance of one-to-one pairs of speakers' documents; the shorter side gets empty ones."""
-    out = []
-    for r, h in zip(ref, hyp, strict=True):
-        if r is None or h is None:
-            out.append(None)
-            continue
-        k = max(len(r), len(h))
-        rs, hs = ([d.split(" ") for d in side] + [[]] * (k - len(side)) for side in (r, h))
-        out.append(best_pairs(np.array([[character_distance(a, b) for b in hs] for a in rs], float), False)[0])
-    return pd.Series(out, dtype="float64")
+    """The same of documents that are texts of joined words."""
+    split = lambda side: [d.split(" ") for d in side]
+    return pd.Series([None if r is None or h is None else _least(split(r), split(h)) for r, h in zip(ref, hyp, strict=True)], dtype="float64")
 
 
 def nested(turns: DataFrame, key: list[str], name: str, order: str = "turn_idx", words_col: str = "words") -> DataFrame:
@@ -248,8 +276,8 @@ def evaluate(samples: DataFrame, ref: DataFrame, hyp: DataFrame, key: str = "sam
     """
     both = [key, strategy]
     r, h = (t.withColumn("words", words(normalize(F.col("text")))) for t in (ref, hyp))
-    rows = samples.select(*both).join(nested(r, [key], "__ref"), key, "left").join(nested(h, both, "__hyp"), both, "left")
-    scored = score_nested(rows, "__ref", "__hyp").withColumn("format_valid", F.col("__hyp").isNotNull())
+    rows = samples.select(*both).hint("merge").join(nested(r, [key], "__ref"), key, "left").hint("merge").join(nested(h, both, "__hyp"), both, "left")
+    scored = score_nested(spread(rows, *both), "__ref", "__hyp").withColumn("format_valid", F.col("__hyp").isNotNull())
     return scored.select(*both, "wer", "cer", "saa", "cpwer", "gap", "mapping", "format_valid")
 
 

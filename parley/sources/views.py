@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, words
+from ..plans.balance import spread
 
 WORD_MS, OVERLAP_WORD_MS = 400, 160
 NEXT_ROLE = {"user": "assistant", "assistant": "system", "system": "user"}
@@ -28,14 +29,6 @@ def raw_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("turn").cast("int").alias("turn_idx"), F.col("role").alias("speaker"), "text")
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by ``keys`` over all shuffle partitions, which adaptive execution then leaves as they are.
-
-    Scoring takes much time for few bytes, so partitions that are joined for their size would leave cores idle.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def turns(spark: SparkSession, sf_dir: str, keep_parts: bool = False) -> DataFrame:
     """Timed reference turns: (sample_id, turn_idx, speaker, text, words, n_words, start_ms, end_ms).
 
