@@ -10,6 +10,8 @@ from pyspark.sql.types import IntegerType
 
 #: Distinct words that two sides may have together: one supplementary code point stands for each.
 ROOM = 1 << 20
+#: Diagonals on either side that the first band of ``character_distance`` has to spare.
+SLACK = 32
 
 
 def _spelled(words: Column, vocabulary: Column) -> Column:
@@ -53,26 +55,53 @@ def edit_distance(a: list, b: list) -> int:
 def character_distance(a: str | list, b: str | list) -> int:
     """Levenshtein distance of two strings (or two lists), a column of the table at a time as bits of one integer.
 
-    Work grows with the product of the lengths over the word size, so whole transcripts stay cheap.
+    Where one side has all of the other in order, the rest of it is the distance. Else only a band around the diagonals that a distance up to a bound can reach is held, and the bound grows fourfold until
+    the distance lies within it, so work grows with the longer side times the distance over the word size; sides that have
+    little in common take the whole table.
     """
     if a == b:
         return 0
-    a, b = sorted((a, b), key=len)
-    if not a:
-        return len(b)
+    b, a = sorted((a, b), key=len)
+    rest = iter(a)
+    if all(c in rest for c in b):
+        return len(a) - len(b)
     where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
+    apart, beyond = len(a) - len(b), SLACK
+    while apart + 2 * beyond < len(a) // 2:
+        distance = _within(where, b, apart, beyond)
+        if distance <= apart + 2 * beyond:
+            return distance
+        beyond *= 4
     every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = every, 0, len(a)  # rows that step up and down from the row above
     for c in b:
         same = where.get(c, 0)
-        vertical = same | down
-        across = (((same & up) + up) ^ up) | same
-        more, less = down | (every & ~(across | up)), up & across
+        level = ((((same & up) + up) ^ up) | same | down) & every
+        more, less = down | (every ^ (level | up)), up & level
         distance += bool(more & last) - bool(less & last)
         more, less = (more << 1 | 1) & every, less << 1 & every
-        up, down = less | (every & ~(vertical | more)), more & vertical
+        up, down = less | (every ^ (level | more)), more & level
+    return distance
+
+
+def _within(where: dict, b: str | list, apart: int, beyond: int) -> int:
+    """The distance as far as paths go at most ``beyond`` diagonals past those of the two ends: exact up to ``apart + 2 * beyond``.
+
+    ``where`` has the places of each item of the longer side as bits, ``apart`` is by how much that is longer. Bit t of
+    column j is row j - beyond + t, so the band moves down a row a column; rows above the table keep the value of its edge.
+    """
+    every, end = (1 << (apart + 2 * beyond + 1)) - 1, 1 << (apart + beyond)
+    up, down, distance = every >> beyond << beyond, 0, apart
+    for at, c in enumerate(b, -beyond):
+        same = where.get(c, 0)
+        same = (same >> at if at >= 0 else same << -at) & every
+        level = ((((same & up) + up) ^ up) | same | down) & every
+        distance += not level & end
+        more, less = down | (every ^ (level | up)), level & up
+        level >>= 1
+        up, down = less | (every ^ (level | more)), level & more
     return distance
 
 
