@@ -32,9 +32,9 @@ def macro_summary(scores: DataFrame, by: list[str] | None = None, baseline: str
     if baseline is None:
         return got
     rest = [c for c in by if c != variant]
-    own = got.where(F.col(variant) == baseline).select(*rest, F.col("mean_latency").alias("__base"))
-    joined = got.join(own, rest, "left") if rest else got.crossJoin(own)
-    return joined.withColumn("speedup", F.when(F.col("mean_latency") > 0, F.col("__base") / F.col("mean_latency"))).drop("__base")
+    known = F.forall(F.array(F.lit(True), *[F.col(c).isNotNull() for c in rest]), lambda x: x)  # no slice is that of a null
+    base = F.max(F.when(F.col(variant) == baseline, F.col("mean_latency"))).over(Window.partitionBy(*rest))  # among the few rows of the result
+    return got.withColumn("speedup", F.when(known & (F.col("mean_latency") > 0), base / F.col("mean_latency")))
 
 
 def sliced(scores: DataFrame, slices: dict[str, Column], by: str = "strategy") -> DataFrame:

@@ -26,6 +26,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read again, so what reads it more than once computes it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.scores(spark, sf_dir)
     return s.withColumn("bucket", timeline.duration_bucket(F.col("duration_ms") / 1000)).withColumn("tier", timeline.conflict_tier(pct()))
@@ -59,7 +66,7 @@ def h13_all_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a18_summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same numbers written as one nested document, read back and taken apart again."""
     path = scratch(spark, "summary")
-    made = rollups.document(rollups.all_slices(scored(spark, sf_dir), "baseline"))
+    made = rollups.document(stored(rollups.all_slices(scored(spark, sf_dir), "baseline"), "slices"))
     files.write_document(made, path)
     doc = files.read_document(spark, path, made.schema)
     none = F.lit(None).cast("string")
@@ -74,9 +81,7 @@ def a18_summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m05_compiled_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results merged bucket by bucket before anything is summed up, and a summary compiled from each named version."""
     own = views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa", F.col("sample_id").alias("pos"))
-    path = scratch(spark, "own-scores")
-    own.write.parquet(path)
-    own = spark.read.schema(own.schema).parquet(path)
+    own = stored(own, "own-scores")
     kept = store.BucketStore(spark, scratch(spark, "results"), buckets=16)
     kept.put(own.where("strategy = 'baseline'"), 1)
     again = own.where("strategy = 'adaptive' and sample_id % 3 = 0")
@@ -246,9 +251,7 @@ def judge(prompt: str, n: int) -> tuple[str, float]:
     FROM (SELECT list_position(['baseline', 'flips'], strategy) - 1 AS g, 0.7 * avg(saa) + 0.2 * greatest(0, 1 - avg(wer)) + 0.1 * greatest(0, 1 - avg(gap)) AS fitness FROM scores WHERE strategy IN ('baseline', 'flips') GROUP BY strategy)""")
 def i11_prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generation after the seed: the worst samples are judged, the prompt is rewritten by a backend and evaluated."""
-    path = scratch(spark, "scores")
-    views.scores(spark, sf_dir).write.parquet(path)
-    s = spark.read.parquet(path)
+    s = stored(views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa", "gap"), "scores")
     nested = timeline.nested_turns(views.turns(spark, sf_dir))
     evaluate = lambda p: s.where(F.col("strategy") == ("flips" if "version 1" in p else "baseline"))
     shown = lambda p, ids: nested.join(F.broadcast(ids), "sample_id").select("sample_id", F.col("turns").alias("ref"), F.col("turns").alias("hyp"))
@@ -264,7 +267,7 @@ def i12_listed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sample_id, strategy, m.metric, NOT (m.metric = 'wer' AND sample_id % 5 = 0 OR m.metric = 'saa' AND strategy = 'flips') AS ok FROM scores, (SELECT unnest(['wer', 'saa']) AS metric) m")
 def i13_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reported values are rounded, and some have drifted by twice the tolerance."""
-    s = views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa")
+    s = stored(views.scores(spark, sf_dir).select("sample_id", "strategy", "wer", "saa"), "scores")
     reported = s.withColumn("wer", F.round("wer", 4) + F.when(F.col("sample_id") % 5 == 0, 0.002).otherwise(0.0))
     reported = reported.withColumn("saa", F.round("saa", 4) - F.when(F.col("strategy") == "flips", 0.002).otherwise(0.0))
     return compare.consistent(reported, s, ["sample_id", "strategy"], ["wer", "saa"]).select("sample_id", "strategy", "metric", "ok")
