@@ -16,6 +16,8 @@ from ..operators.synth import cache_key, hash_text, trim, voice
 from .files import RATE, wav_bytes
 
 CLIPS = "key string, audio binary, frames long"
+#: Bytes of audio that a task holds before it hands them on: a batch of texts becomes thousands of times its size.
+MOST_BYTES = 8 << 20
 
 
 def spoken(speaker: str, text: str) -> np.ndarray:
@@ -59,8 +61,16 @@ class ClipStore:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                clips = [np.clip(trim(speak(s, t)) * 32767, -32768, 32767).astype("<i2").tobytes() for s, t in zip(pdf.speaker, pdf.text, strict=True)]
-                yield pd.DataFrame({"key": pdf.key, "audio": [wav_bytes(c, RATE) for c in clips], "frames": [len(c) // 2 for c in clips]})
+                kept, held = [], 0
+                for key, s, t in pdf[["key", "speaker", "text"]].itertuples(index=False):
+                    clip = np.clip(trim(speak(s, t)) * 32767, -32768, 32767).astype("<i2").tobytes()
+                    kept.append((key, wav_bytes(clip, RATE), len(clip) // 2))
+                    held += len(clip)
+                    if held >= MOST_BYTES:
+                        yield pd.DataFrame(kept, columns=["key", "audio", "frames"])
+                        kept, held = [], 0
+                if kept:
+                    yield pd.DataFrame(kept, columns=["key", "audio", "frames"])
 
         path = f"{self.root}/{uuid.uuid4().hex}"
         self.missing(wanted).mapInPandas(run, CLIPS).write.parquet(path)
