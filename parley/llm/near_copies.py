@@ -1,8 +1,9 @@
 """One row of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity fingerprints differ in a sixth of their bits, and a pigeonhole over so many bits compares nearly all
-pairs. So fingerprints meet by bands of least hashes of the same shingles instead, work that grows with the rows; SimHash
-bits then sort out what meets by chance, and within each loose group that is left the shingle sets themselves decide.
+Fingerprints within three bits meet by op7's generalised pigeonhole (``simhash.linked``). At a similarity of 0.8 they differ
+in a sixth of their bits, and a pigeonhole over so many bits compares nearly all pairs. So those farther apart meet by bands
+of least hashes of the same shingles as well, work that grows with the rows; SimHash bits then sort out what meets by
+chance, and within each loose group that is left the shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -154,6 +155,20 @@ def loose_links(keyed: DataFrame, hot: DataFrame, similarity: float, most_group:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
+def pigeonhole_links(nodes: DataFrame, work: Workspace) -> DataFrame:
+    """Edges (a, b) that connect the nodes whose 64 bits op7's pigeonhole links, directly or over others: a spanning set.
+
+    ``simhash.linked`` meets each fingerprint once, so texts that share one cost it nothing.
+    """
+    prints = work.put(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "prints")
+    roots = simhash.linked(prints.select(F.col("fp").alias("node"), "fp"), work)
+    named = work.put(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    by_root = named.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("nodes"), F.count("*").alias("size")).where("nodes > 1")
+    classes = work.put(join_hot(named, by_root, ["root"], named.count(), n_col="size").select("fp", "first", "n"), "classes")
+    met = join_hot(nodes.select("node", "fp"), classes, ["fp"], nodes.count())
+    return met.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+
+
 def verified(members: DataFrame, hot: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) between the nodes of each loose group whose shingle sets are as similar as asked; enough to connect all that do.
 
@@ -228,7 +243,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = nodes.select(F.explode(F.array(*keys)).alias("key"), "node", *prints)
     shared = work.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = join_hot(keyed, shared, ["key"], nodes.count() * BANDS)
-    loose = loose_links(met, shared.where(F.col("n") > MOST_GROUP), similarity, MOST_GROUP)
+    near = work.put(pigeonhole_links(nodes, own_work := Workspace(spark, "near_bits")), "near")
+    own_work.drop("prints", "named", "classes", "edges", "roots")
+    loose = loose_links(met, shared.where(F.col("n") > MOST_GROUP), similarity, MOST_GROUP).unionByName(near)
     groups = work.put(components(work.put(loose, "loose"), work), "groups")
 
     held = groups.join(nodes.select("node", *prints, "rid"), "node").select(F.col("root").alias("key"), "node", *prints, "rid")
@@ -236,7 +253,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     members = work.put(members, "members")
     large = work.put(groups.groupBy(F.col("root").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_SETS), "large")
     roots = work.put(components(work.put(verified(members, large, similarity), "edges"), work), "roots")
-    work.drop("shared", "loose", "groups", "members", "large", "edges")
+    work.drop("shared", "near", "loose", "groups", "members", "large", "edges")
 
     rows = own.groupBy("doc_id", "node", "h", "g").agg(F.count("*").alias("n")).join(roots, "node", "left")
     rows = work.put(rows.select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "g").alias("row"), "n"), "rows")

@@ -225,3 +225,17 @@ def test_strip_keeps_other_columns(spark):
     own = df.withColumns({c: F.lit("mine") for c in ("__d", "__t", "__starts", "__copy")})
     got = substring_dedup.strip_repeats(own)
     assert got.columns == own.columns and got.head()[-4:] == ("mine",) * 4
+
+
+def test_near_duplicates_meet_by_the_pigeonhole(spark, monkeypatch):
+    """Where no band of least hashes meets, op7's pigeonhole finds fingerprints within three bits; the sets still decide."""
+    from parley.llm import near_copies
+
+    text = [f"w{i}" for i in range(3000)]
+    copies = [" ".join([*text[:k], "changed", *text[k + 1 :]]) for k in (500, 1500, 2500)]
+    rows = [(1, " ".join(text)), *enumerate(copies, 2), (9, " ".join(f"v{i}" for i in range(3000)))]
+    monkeypatch.setattr(near_copies, "loose_links", lambda keyed, hot, *more: spark.createDataFrame([], "a long, b long"))
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 9]
+    far = near_copies.keep_one(spark.createDataFrame([rows[0], rows[1]], "doc_id long, text string"), similarity=0.9999)
+    assert far.count() == 2
