@@ -336,7 +336,9 @@ def l03_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept.add(wanted.where("turn_idx % 2 = 0"))
     kept.add(wanted)
     again = kept.add(wanted)
-    return kept.read().withColumn("h", files.check_wav("audio")).select("key", F.col("h.frames").alias("frames"), (F.col("h.ok") & (F.col("h.frames") == F.col("frames"))).alias("ok"), F.lit(again).cast("long").alias("again"))
+    read = kept.read(F.substring("audio", 1, files.HEAD).alias("head"), F.octet_length("audio").alias("n_bytes"), "frames").withColumn("h", files.check_wav("head"))
+    whole = F.col("h.ok") & (F.col("h.frames") == F.col("frames")) & (F.col("n_bytes") == files.HEAD + 2 * F.col("frames"))
+    return read.select("key", F.col("h.frames").alias("frames"), whole.alias("ok"), F.lit(again).cast("long").alias("again"))
 
 
 @query("""SELECT printf('call_%03d', row_number() OVER (ORDER BY k, i)) AS spec, bucket, CAST(round((a + (b - a) * i / (n - 1)) * 1000) AS BIGINT) AS duration_ms, CAST(round(13.5 + (row_number() OVER (ORDER BY k, i) * 3.7) % 12.0, 6) AS DOUBLE) AS overlap_pct

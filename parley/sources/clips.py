@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.results import is_missing
@@ -18,6 +18,9 @@ from .files import RATE, wav_bytes
 CLIPS = "key string, audio binary, frames long"
 #: Bytes of audio that a task holds before it hands them on: a batch of texts becomes thousands of times its size.
 MOST_BYTES = 8 << 20
+#: Clips are some eighty times as large as their texts. A file's dictionary keeps equal audio once, up to so many bytes of unlike audio
+#: (Parquet's own bound, 1 MB, is some forty clips); where audio rarely repeats, Parquet drops the dictionary.
+LOSSLESS = {"compression": "zstd", "parquet.dictionary.page.size": str(64 << 20)}
 
 
 def spoken(speaker: str, text: str) -> np.ndarray:
@@ -28,18 +31,18 @@ def spoken(speaker: str, text: str) -> np.ndarray:
 class ClipStore:
     """WAV clips in Parquet under ``root``, by key.
 
-    ``add`` renders what is wanted and not there: an anti join on keys alone, so a second run renders nothing, and one that broke
-    off leaves whole clips that count. Silence goes from both ends and the level is set before a clip is kept. Two writers may
-    render the same clip; readers see it once, since equal keys mean equal clips.
+    ``add`` renders what is wanted and not there: an anti join on keys alone, so a second run renders nothing and moves no text,
+    and one that broke off leaves whole clips that count. Silence goes from both ends and the level is set before a clip is kept.
+    Two writers may render the same clip; readers see it once, since equal keys mean equal clips.
     """
 
     def __init__(self, spark: SparkSession, root: str, settings: str = "1.0"):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
 
     def keyed(self, wanted: DataFrame) -> DataFrame:
-        """(key, speaker, text): each text of a speaker once, with the hash of speaker, settings and text; nulls are not spoken."""
-        rows = wanted.select("speaker", "text").where("speaker is not null and text is not null")
-        return rows.withColumn("key", cache_key(F.col("speaker"), F.lit(self.settings), F.col("text"))).dropDuplicates(["key"]).select("key", "speaker", "text")
+        """(key, speaker, text): the hash of speaker, settings and text for every row; nulls are not spoken."""
+        rows = wanted.where("speaker is not null and text is not null")
+        return rows.select(cache_key(F.col("speaker"), F.lit(self.settings), F.col("text")).alias("key"), "speaker", "text")
 
     def _stored(self) -> DataFrame:
         try:
@@ -49,12 +52,21 @@ class ClipStore:
                 raise
             return self.spark.createDataFrame([], CLIPS)
 
-    def read(self) -> DataFrame:
-        """(key, audio, frames), a row a key."""
-        return self._stored().dropDuplicates(["key"])
+    def read(self, *columns: Column | str) -> DataFrame:
+        """(key, audio, frames), a row a key; or the key and ``columns`` of these.
+
+        Equal keys meet in a shuffle, and ``columns`` are made before it: without the audio among them, none is moved, nor held in
+        the queue before a Python function that takes these columns afterwards.
+        """
+        return self._stored().select("key", *(columns or ("audio", "frames"))).dropDuplicates(["key"])
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        return self.keyed(wanted).join(self._stored().select("key"), "key", "left_anti")
+        """(key, speaker, text) of what is wanted and not there, each key once."""
+        return self.keyed(wanted).dropDuplicates(["key"]).join(self._stored().select("key"), "key", "left_anti")
+
+    def has(self, wanted: DataFrame) -> bool:
+        """Whether every clip is there; only keys are moved to tell."""
+        return self.keyed(wanted).select("key").distinct().join(self._stored().select("key"), "key", "left_anti").isEmpty()
 
     def add(self, wanted: DataFrame, speak: Callable[[str, str], np.ndarray] = spoken) -> int:
         """How many clips were rendered."""
@@ -72,6 +84,8 @@ class ClipStore:
                 if kept:
                     yield pd.DataFrame(kept, columns=["key", "audio", "frames"])
 
+        if self.has(wanted):
+            return 0
         path = f"{self.root}/{uuid.uuid4().hex}"
-        self.missing(wanted).mapInPandas(run, CLIPS).write.parquet(path)
+        self.missing(wanted).mapInPandas(run, CLIPS).write.options(**LOSSLESS).parquet(path)
         return self.spark.read.schema(CLIPS).parquet(path).count()

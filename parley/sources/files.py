@@ -55,6 +55,8 @@ _HEADER = StructType().add("channels", IntegerType()).add("rate", IntegerType())
 
 # What a clip must be.
 CHANNELS, RATE, BITS = 1, 16_000, 16
+#: Bytes before the samples in what ``wav_bytes`` makes.
+HEAD = 44
 
 
 def wav_bytes(pcm: bytes, rate: int = RATE, channels: int = CHANNELS, bits: int = BITS) -> bytes:

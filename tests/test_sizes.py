@@ -111,3 +111,44 @@ def test_clips_leave_a_task_in_bounded_batches(spark, tmp_path, monkeypatch):
     frames = list(made[0](iter([many.select(F.col("text").alias("key"), "speaker", "text").toPandas()])))
     assert sum(map(len, frames)) == 3000 and len(frames) > 1
     assert max(f.audio.map(len).sum() for f in frames) < 2 * clips.MOST_BYTES
+
+
+def test_clips_move_no_audio_and_a_second_run_no_text(spark, tmp_path):
+    import os
+
+    from parley.queries import rollups
+    from parley.sources import clips
+
+    used = [line.strip(" :+-") for line in plan(rollups.l03_clips(spark, DIR))[0].splitlines() if "audio" in line]
+    assert used and all(line.startswith(("Project", "Relation")) for line in used)
+    s = clips.ClipStore(spark, str(tmp_path / "c"))
+    want = spark.createDataFrame([("a", "one two"), ("a", "one two"), ("b", "three"), (None, "x")], "speaker string, text string")
+    assert s.add(want) == 2
+    there = os.listdir(tmp_path / "c")
+    assert s.add(want) == 0 and os.listdir(tmp_path / "c") == there
+
+
+def test_equal_audio_is_kept_once_a_file(spark, tmp_path):
+    from parley.sources import clips
+
+    s = clips.ClipStore(spark, str(tmp_path / "c"))
+    rows = [("a", f"{k} " + "word " * n) for n in range(100, 160) for k in range(20)]
+    assert s.add(spark.createDataFrame(rows, "speaker string, text string").coalesce(1)) == len(rows)
+    files = list((tmp_path / "c").glob("*/*.parquet"))
+    assert sum(f.stat().st_size for f in files) < len(files) * 3e6 and sum(len(r.audio) for r in s.read().collect()) > 45e6
+
+
+def test_unlike_audio_comes_back_whole(spark, tmp_path):
+    import numpy as np
+
+    from parley.operators.synth import hash_text, trim
+    from parley.sources import clips, files
+
+    def noise(speaker, text):
+        return np.random.default_rng(hash_text(speaker + text)).normal(0, 0.1, 400 * len(text))
+
+    s = clips.ClipStore(spark, str(tmp_path / "c"))
+    rows = [(f"s{n % 3}", f"{n}" * (1 + n % 7)) for n in range(300)]
+    assert s.add(spark.createDataFrame(rows, "speaker string, text string"), noise) == len(set(rows))
+    wav = lambda x: files.wav_bytes(np.clip(trim(x) * 32767, -32768, 32767).astype("<i2").tobytes())
+    assert sorted(bytes(r.audio) for r in s.read().collect()) == sorted(wav(noise(*r)) for r in set(rows))
